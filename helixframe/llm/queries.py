@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sentencepiece_codec, sharding, token_io
+from . import chat, decontaminate, license_scan, quality, sentencepiece_codec, sharding, token_io, toxicity
 from ._io import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,64 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        "n_unmatched",
+    )
+
+
+def _op3_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.KNOWN.items())
+    steps, seq, names = [], "seq0", []
+    for i, (name, ids) in enumerate(license_scan.RULES):
+        pattern = license_scan.rule_pattern(ids)
+        single = f"replace({seq}, ';', ';;')" if len(ids) == 1 else seq
+        v = f"list_transform(regexp_extract_all({single}, '{pattern}', 1), lambda v: replace('{name}', '{{v}}', v))"
+        steps.append(f"r{i} AS (SELECT *, {v} AS l{i}, regexp_replace(regexp_replace({single}, '{pattern}', ';', 'g'), ';+', ';', 'g') AS seq{i + 1} FROM r{i - 1})")
+        seq, names = f"seq{i + 1}", [*names, f"l{i}"]
+    return f"""
+WITH known(key, name) AS (VALUES {known}),
+lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM lines),
+flat AS (SELECT doc_id, i, regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g') AS f FROM each WHERE regexp_matches(lower(s), '{license_scan.TRIGGERS}')),
+ids AS (SELECT doc_id, i, name || '@' || regexp_extract(f, '({license_scan._NUMBER})', 1) AS id FROM flat
+  JOIN known ON key = trim(regexp_replace(regexp_replace(f, '{license_scan._NUMBER}', '#', 'g'), '[. ]+$', ''), ' ')),
+grouped AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS sentence_ids, ';' || string_agg(id, ';' ORDER BY i) || ';' AS seq0 FROM ids GROUP BY doc_id),
+{", ".join(s.replace("FROM r-1", "FROM grouped") for s in steps)}
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
+  coalesce(array_to_string({"list_concat(" * (len(names) - 1) + names[0] + "".join(f", {x})" for x in names[1:])}, ','), '') AS licenses,
+  coalesce(len(list_filter(string_split({seq}, ';'), lambda x: x <> '')), 0) AS n_unmatched
+FROM documents d LEFT JOIN r{len(names) - 1} r ON d.doc_id = r.doc_id"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -76,9 +134,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op9_token_file": op9_token_file,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": _op1_sql()}
+ORACLES: dict[str, str] = {"op1_chat_format": _op1_sql(), "op3_license_scan": _op3_sql()}
