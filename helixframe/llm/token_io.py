@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,19 +106,32 @@ def _word_encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
 
+    parts = WordCache(lambda words: _each(tokenizer, words))
+
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # The tokenizer lower-cases and parts letters from marks, so "The", "the" and "the," share the work for "the".
-        split = [_PLAIN.fullmatch(w) for w in words]
-        known: dict[str, list[int]] = dict.fromkeys([m[1].lower() if m else w for m, w in zip(split, words, strict=True)])
-        known |= dict.fromkeys(m[2] for m in split if m)
-        known = dict(zip(known, (x.ids for x in tokenizer.encode_batch_fast(list(known), add_special_tokens=False)), strict=True))
-        each = [known[m[1].lower()] + known[m[2]] if m else known[w] for m, w in zip(split, words, strict=True)]
-        return np.fromiter((i for x in each for i in x), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+        return parts.batch([_parts(w) for w in words])
 
     return encode
 
 
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
+def _each(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """Letters in lower case and one mark after them, which the tokenizer parts; other words stay whole.
+
+    Only for Latin letters that have one lower-case letter each.
+    """
+    core = word[:-1] if word[-1:] in _MARKS else word
+    if core.isalpha() and (core.isascii() or (max(core) < "\u0180" and "\u0130" not in core)):
+        return (core.lower(), word[-1]) if len(core) < len(word) else (core.lower(),)
+    return (word,)
+
+
+_MARKS = frozenset(".,;:!?")
 
 
 @lru_cache(2)
