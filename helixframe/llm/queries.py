@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, quality, sentencepiece_codec, sharding, token_io, toxicity
+from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, token_io, toxicity
 from ._io import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -95,6 +95,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search_items(docs, table(spark, sf_dir, "benchmark"))
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op9_token_file": op9_token_file,
