@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, token_io, toxicity
+from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, substring, token_io, toxicity
 from ._io import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -119,6 +119,11 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str, shards: int = 24) ->
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.rendezvous_shard(F.col("doc_id"), (1.0,) * (shards + 1)).alias("grown_shard"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_io.token_path(spark)
     token_io.write_tokens(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
@@ -144,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_file": op9_token_file,
     "op10_sentencepiece": op10_sentencepiece,
 }
