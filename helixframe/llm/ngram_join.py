@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._words import NOT_SPACE, Words, list_array, shingles
+from ._words import NOT_SPACE, Words, list_array, mixed, shingles
 from .components import connected_components
 
 #: Identifiers that may be broadcast: 16 MB of them.  More are joined by a shuffle.
@@ -19,7 +19,7 @@ BROADCAST_IDS = 2_000_000
 #: Tokens put last in the global order, at most.  The order only decides how much work there is.
 MAX_FREQUENT = 500_000
 #: Rounds that test each document against one other of its block, before all remaining pairs are listed.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -128,15 +128,21 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
             sizes, digests, prefixes = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(n := len(s))
-                digests.append(f"{int(s.sum(dtype=np.uint64)):x}.{int(np.bitwise_xor.reduce(s * (s | np.uint64(1)), initial=0)):x}" if n else None)
+                digests.append((s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s)) if n else np.uint64(0)))
                 frequent = np.zeros(n, bool) if not len(late) else late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                 ordered = np.concatenate((s[~frequent], s[frequent]))
                 prefixes.append(ordered[: n - _least(n, percent) + 1 if n else 0])
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), list_array(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())], ["doc", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([d[j] for d in digests], np.uint64).view(np.int64)) for j in (0, 1)), list_array(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())], ["doc", "n", "h1", "h2", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc"), text).mapInArrow(run, f"doc {kind}, n long, digest string, prefix array<long>")
+    return docs.select(F.col(key).alias("doc"), text).mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, prefix array<long>")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The written table of a few narrow columns, to be broadcast if it has ``BROADCAST_IDS`` rows at most; else it is
+    shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,6 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     kind = texts.schema["doc"].dataType.simpleString()
     left, right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+    left, right = left.join(_small(pairs.select("b").distinct()), "b", "left_semi"), right.join(_small(pairs.select("a").distinct()), "a", "left_semi")
     joined = pairs.join(right.hint("merge"), "a").join(left.hint("merge"), "b")
     return joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -184,44 +191,41 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
     docs = given.groupBy(key).agg(F.min(text).alias(text)) if repeated else given
     signed = written(_signatures(docs, key, text, k, percent), "sets")
-    classes = signed.where("n > 0").groupBy("n", "digest").agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix"))
+    alike = ["n", "h1", "h2"]
+    classes = written(signed.where("n > 0").groupBy(*alike).agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix")), "classes")
     tokens = classes.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token")
-    blocks = written(tokens.join(shared.hint("merge"), "token"), "blocks")
-    reps = blocks.select(F.col("rep").alias("doc")).distinct()
-    few = reps.count() <= BROADCAST_IDS
-    held = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(F.broadcast(reps) if few else reps, "doc", "left_semi")
-    texts = written(held, "texts")
-    links = None
-    labels = None
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
+    blocks = written(tokens.join(_small(shared), "token"), "blocks")
+    reps = written(blocks.select(F.col("rep").alias("doc")).distinct(), "reps")
+    texts = written(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(_small(reps), "doc", "left_semi"), "texts")
+    links = labels = None
     near = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
     for r in range(rounds + 1):
-        rows = blocks if labels is None else blocks.join(labels.withColumnsRenamed({"node": "rep", "component": "_c"}), "rep", "left")
+        rows = blocks if labels is None else blocks.join(_small(labels.withColumnsRenamed({"node": "rep", "component": "_c"})), "rep", "left")
         rows = rows.withColumn("comp", F.col("rep") if labels is None else F.coalesce("_c", "rep")).select("token", "rep", "n", "at", "comp")
-        open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "n", "comp")).alias("first"), F.max(F.struct("rep", "n", "comp")).alias("last"), F.min(F.struct("n", "rep", "comp")).alias("short")).where("lo < hi")
+        # Blocks that are connected already are done.
+        spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(*(("rep", "n", "comp") if r % 2 == 0 else ("n", "rep", "comp")))).alias("_o")).where("lo < hi")
         if r < rounds:
-            chosen = ("first", "last", "short")[r % 3]
-            seen = rows.join(open_.select("token", F.col(f"{chosen}.rep").alias("other"), F.col(f"{chosen}.n").alias("n_b"), F.col(f"{chosen}.comp").alias("comp_b")).hint("merge"), "token")
-            pairs = seen.where((F.col("comp") != F.col("comp_b")) & near).groupBy(F.col("rep").alias("b")).agg(F.min("other").alias("a"))
+            other = spread.select("token", F.col("_o.rep").alias("other"), F.col("_o.n").alias("n_b"), F.col("_o.comp").alias("comp_b"))
+            pairs = rows.join(other.hint("merge"), "token").where((F.col("comp") != F.col("comp_b")) & near).groupBy(F.col("rep").alias("b")).agg(F.min("other").alias("a"))
         else:
-            left = written(rows.join(open_.select("token").hint("merge"), "token", "left_semi"), "open")
+            left = written(rows.join(_small(written(spread.select("token"), "open")), "token", "left_semi"), "open")
             right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "at", "comp")))
             # The first token that two sets share leaves enough tokens after it on both sides.
             enough = F.expr(f"{100 + percent} * least(n - at, n_b - at_b) >= {percent} * (n + n_b)")
             pairs = left.join(right.hint("merge"), "token").where((F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & near & enough).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if r < rounds:
-                continue
-            break
+            continue
         found = written(_verified(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(connected_components(links), "components")
-    classes_of = signed.where("n > 0").groupBy("n", "digest").agg(F.min("doc").alias("rep"))
-    if labels is not None:
-        classes_of = classes_of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    classes = classes.drop("prefix")
+    if labels is None:
+        classes = classes.withColumn("component_id", F.col("rep"))
     else:
-        classes_of = classes_of.withColumn("component_id", F.col("rep"))
-    whole = signed.select("doc", "n", "digest").join(classes_of.select("n", "digest", "component_id").hint("merge"), ["n", "digest"], "left")
+        classes = classes.join(_small(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    classes_of = classes.select(*alike, "component_id")
+    whole = signed.select("doc", *alike).join(classes_of.hint("merge"), alike, "left")
     whole = whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return given.select(key).join(whole, key) if repeated else whole
