@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows whose texts have ``limit`` bytes at most (or one longer text): work arrays are many
+    times as large as the texts, so this bounds a task's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(sizes):
+            used = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, used + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class Words:
     """Byte range of each word (``start``, ``end``), 64-bit ``hash`` and ``first``: the n+1 offsets of texts in words."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import ALNUM, Words, gather, list_array, shingles
+from ._words import ALNUM, Words, gather, shingles, sliced
 
 WINDOW = 10
 #: Slots of a shift table.
@@ -123,7 +123,7 @@ def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: st
         sent = spark.sparkContext.broadcast(_patterns(ids, texts, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, text):
                 words = Words(batch.column(text), ALNUM, lower=True)
                 edges = np.zeros(len(words.hash) + 1, np.int64)
                 met: dict[int, set] = {}

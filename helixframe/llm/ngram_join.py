@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._words import NOT_SPACE, Words, list_array, mixed, shingles
+from ._words import NOT_SPACE, Words, list_array, mixed, shingles, sliced
 from .components import connected_components
 
 #: Identifiers that may be broadcast: 16 MB of them.  More are joined by a shuffle.
@@ -108,7 +108,8 @@ def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, times = np.unique(np.concatenate([*shingle_sets(batch.column(0), k), np.zeros(0, np.uint64)]), return_counts=True)
+            sets = [s for part in sliced([batch], 0) for s in shingle_sets(part.column(0), k)]
+            tokens, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             many = times >= max(4, len(batch) // 500)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(times[many])], ["token", "times"])
 
@@ -124,7 +125,7 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = sent.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sizes, digests, prefixes = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(n := len(s))
@@ -150,7 +151,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     the set of a walks through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 3):
             a, b, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [])
             firsts = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]
             own = dict(zip(firsts, shingle_sets(batch.column(2).take(pa.array(firsts, pa.int64())), k), strict=True))

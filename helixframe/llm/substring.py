@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import written
-from ._words import NOT_SPACE, Words, gather, list_array, mixed, shingles
+from ._words import NOT_SPACE, Words, gather, list_array, mixed, shingles, sliced
 
 WINDOW = 13
 #: Words of the sequence whose smallest hash in a window is the window's anchor.
@@ -132,7 +132,7 @@ def _anchors(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def _signed(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             each = [np.unique(h) for _, _, h in _anchors(Words(batch.column(2), NOT_SPACE, lower=False), window)]
             flat = np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(flat, np.array([len(x) for x in each], np.int64), pa.int64())], ["doc", "tid", "anchors"])
@@ -144,7 +144,7 @@ def _segments(held: DataFrame, window: int) -> DataFrame:
     """Passages around shared anchors: runs of windows with one anchor, or for hot anchors single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             cols: tuple[list, ...] = ([], [], [], [], [])
             shared, hot = batch.column("anchors").to_pylist(), batch.column("hot").to_pylist()
             docs, tids = batch.column("doc").to_pylist(), batch.column("tid").to_pylist()
@@ -259,7 +259,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", n_words long, n_removed long, `{kept}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             words = Words(batch.column(text), NOT_SPACE, lower=False, hashed=False)
             edges = np.zeros(len(words.start) + 1, np.int64)
             every, whole = batch.column("_ranges").to_pylist(), batch.column("_whole").to_pylist()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import ALNUM, Words, mixed
+from ._words import ALNUM, Words, mixed, sliced
 
 #: Buckets that terms are hashed into.
 BUCKETS = 1 << 20
@@ -125,7 +125,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     rows = docs.select(key, text).join(F.broadcast(usable), key).select("_y", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             buckets, of = _terms(batch.column(1))
             at = np.searchsorted(of, np.arange(len(batch) + 1))
             packed = [buckets[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -149,7 +149,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sent.value.scores(batch.column(text)), pa.float64())], [*keep, "score"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
