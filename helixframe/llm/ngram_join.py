@@ -18,6 +18,9 @@ from .components import connected_components
 BROADCAST_IDS = 2_000_000
 #: Tokens put last in the global order, at most.  The order only decides how much work there is.
 MAX_FREQUENT = 500_000
+#: Tokens that the prefixes of two linking sets must share at least (or all that they share, if fewer): prefixes are
+#: longer by as much, and sets that share a common phrase alone are no candidates.
+SHARE = 6
 #: Rounds that test each document against one other of its block, before all remaining pairs are listed.
 ROUNDS = 2
 
@@ -40,6 +43,14 @@ def _least(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _prefix(n: int, percent: int) -> int:
+    """Length of the prefix.  If x and y share o tokens, o at least as large as ``_least`` of either, then with k =
+    min(SHARE, both ``_least``) they share k tokens inside their prefixes of n - _least(n) + k tokens: all but
+    _least(n) - k tokens of the set whose prefix ends first are in it, so fewer than k would leave fewer than o."""
+    least = _least(n, percent)
+    return n - least + min(SHARE, least)
+
+
 class PrefixTree:
     """Sets of ascending tokens, stored once for each common beginning.
 
@@ -110,7 +121,7 @@ def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
         for batch in batches:
             sets = [s for part in sliced([batch], 0) for s in shingle_sets(part.column(0), k)]
             tokens, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            many = times >= max(4, len(batch) // 500)
+            many = times >= 3
             yield pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(times[many])], ["token", "times"])
 
     counts = docs.select(text).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
@@ -132,7 +143,7 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> D
                 digests.append((s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s)) if n else np.uint64(0)))
                 frequent = np.zeros(n, bool) if not len(late) else late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                 ordered = np.concatenate((s[~frequent], s[frequent]))
-                prefixes.append(ordered[: n - _least(n, percent) + 1 if n else 0])
+                prefixes.append(ordered[: _prefix(n, percent)])
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([d[j] for d in digests], np.uint64).view(np.int64)) for j in (0, 1)), list_array(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())], ["doc", "n", "h1", "h2", "prefix"])
 
@@ -146,7 +157,7 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sets link.  Rows with the same a come together; their b go into one tree, which
     the set of a walks through."""
 
@@ -166,8 +177,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     out[1].append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], batch.column(1).type)], ["a", "b"])
 
-    kind = texts.schema["doc"].dataType.simpleString()
-    left, right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+    kind = docs.schema[key].dataType.simpleString()
+    left, right = (docs.select(F.col(key).alias(c), F.col(text).alias(f"text_{c}")) for c in "ba")
     left, right = left.join(_small(pairs.select("b").distinct()), "b", "left_semi"), right.join(_small(pairs.select("a").distinct()), "a", "left_semi")
     joined = pairs.join(right.hint("merge"), "a").join(left.hint("merge"), "b")
     return joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, f"a {kind}, b {kind}")
@@ -182,11 +193,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     one; only the two columns are read.
 
     1. Equal sets become one class each; its representative is the smallest key.
-    2. Classes that share a token of their prefixes form blocks.  In each round every class is tested against one other
-       class of its blocks that it isn't connected with yet, and what links is connected.  So a large block of copies
-       collapses without its pairs being listed.
-    3. All remaining pairs of classes that share a block, are near enough in size and aren't connected are tested.
-    Tests run on prefix trees; no pair is left out.
+    2. Classes that share a token of their prefixes form blocks.  In each round every class is tested against one
+       class that leads some of its blocks and isn't connected with it yet, and what links is connected.  So a large
+       block of copies collapses without its pairs being listed.
+    3. All remaining pairs of classes that aren't connected, are near enough in size and share enough blocks are tested.
+    Tests run on prefix trees; no pair that could link is left out.
     """
     given = docs.select(key, text)
     repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
@@ -194,31 +205,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = written(_signatures(docs, key, text, k, percent), "sets")
     alike = ["n", "h1", "h2"]
     classes = written(signed.where("n > 0").groupBy(*alike).agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
+    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
     blocks = written(tokens.join(_small(shared), "token"), "blocks")
-    reps = written(blocks.select(F.col("rep").alias("doc")).distinct(), "reps")
-    texts = written(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(_small(reps), "doc", "left_semi"), "texts")
     links = labels = None
-    near = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    likely = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND shared >= least({SHARE}, ceil({percent} * least(n, n_b) / 100))")
     for r in range(rounds + 1):
         rows = blocks if labels is None else blocks.join(_small(labels.withColumnsRenamed({"node": "rep", "component": "_c"})), "rep", "left")
-        rows = rows.withColumn("comp", F.col("rep") if labels is None else F.coalesce("_c", "rep")).select("token", "rep", "n", "at", "comp")
+        rows = rows.withColumn("comp", F.col("rep") if labels is None else F.coalesce("_c", "rep")).select("token", "rep", "n", "comp")
         # Blocks that are connected already are done.
         spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(*(("rep", "n", "comp") if r % 2 == 0 else ("n", "rep", "comp")))).alias("_o")).where("lo < hi")
         if r < rounds:
-            other = spread.select("token", F.col("_o.rep").alias("other"), F.col("_o.n").alias("n_b"), F.col("_o.comp").alias("comp_b"))
-            pairs = rows.join(other.hint("merge"), "token").where((F.col("comp") != F.col("comp_b")) & near).groupBy(F.col("rep").alias("b")).agg(F.min("other").alias("a"))
+            other = spread.select("token", F.col("_o.rep").alias("rep_b"), F.col("_o.n").alias("n_b"), F.col("_o.comp").alias("comp_b"))
+            met = rows.join(other.hint("merge"), "token").where("comp <> comp_b")
         else:
             left = written(rows.join(_small(written(spread.select("token"), "open")), "token", "left_semi"), "open")
-            right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "at", "comp")))
-            # The first token that two sets share leaves enough tokens after it on both sides.
-            enough = F.expr(f"{100 + percent} * least(n - at, n_b - at_b) >= {percent} * (n + n_b)")
-            pairs = left.join(right.hint("merge"), "token").where((F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & near & enough).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
+            right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp")))
+            met = left.join(right.hint("merge"), "token").where("rep < rep_b AND comp <> comp_b")
+        pairs = met.groupBy("rep", "rep_b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_b").alias("n_b")).where(likely)
+        if r < rounds:
+            pairs = pairs.groupBy("rep").agg(F.max(F.struct("shared", "rep_b"))["rep_b"].alias("rep_b"))
+        pairs = written(pairs.select(F.col("rep_b").alias("a"), F.col("rep").alias("b")), "pairs")
         if pairs.isEmpty():
             continue
-        found = written(_verified(pairs, texts, k, percent), "links")
+        found = written(_verified(pairs, docs, key, text, k, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(connected_components(links), "components")
     classes = classes.drop("prefix")
