@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .normalisation import quantile_cut
 
@@ -49,13 +50,13 @@ def log_rank(df: DataFrame, by: str = "arm", first: str = "low", time: str = "ti
     return sums.withColumn("chi2", chi2).withColumn("p", chi2_tail("chi2"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(chi2: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return chi2.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t, by the incomplete beta function's continued fraction."""
     return pd.Series([_beta(d / (d + x * x), d / 2, 0.5) if d > 0 and x == x else float("nan") for x, d in zip(t, df, strict=True)])

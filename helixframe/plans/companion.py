@@ -1 +1,108 @@
-"""Queries."""
+"""Queries of patient annotation (P14, U4, A23, F16-F26, W11, T1, T4, A46, M12 with given importances)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cohort as K
+from ..operators import companion as C
+from ..operators import metrics as M
+from .base import query
+from .metrics import EMB, embeddings, rounded
+
+VAR = "va AS (SELECT sample_id AS patient_id, ord, gene, variant_class AS variant FROM variants)"
+CN = "cn AS (SELECT sample_id AS patient_id, gene, CAST(score AS DOUBLE) / 2 AS cna FROM cna)"
+PAIRS = "sy AS (SELECT gene_a AS gene, gene_b AS partner FROM sl_dim UNION SELECT gene_b, gene_a FROM sl_dim)"
+
+
+def var(v):
+    return v.variants.select(F.col("sample_id").alias("patient_id"), "ord", "gene", F.col("variant_class").alias("variant"))
+
+
+def cn(v):
+    return v.cna.select(F.col("sample_id").alias("patient_id"), "gene", (F.col("score").cast("double") / 2).alias("cna"))
+
+
+TIER = "bg AS (SELECT gene, bool_or(status = 'Approved') AS a, bool_or(status = 'Clinical trial') AS t FROM drug_dim GROUP BY 1), ti AS (SELECT va.*, CASE WHEN a IS NULL THEN 'IV' WHEN a THEN 'I' WHEN t THEN 'II' ELSE 'III' END AS tier FROM va LEFT JOIN bg ON va.gene = bg.gene)"
+
+
+@query("p14_t4_tiers", f"WITH {VAR}, {TIER} SELECT patient_id, tier, count(*) AS n FROM ti GROUP BY 1, 2 ORDER BY 2")
+def p14(v):
+    return C.tiers(var(v), v.drug_dim).groupBy("patient_id", "tier").agg(F.count(F.lit(1)).alias("n")).orderBy("tier", "patient_id")
+
+
+@query("u4_a23_pathway_hits", f"WITH {VAR}, {CN}, al AS (SELECT patient_id, gene FROM va UNION SELECT patient_id, gene FROM cn WHERE cna >= 0.5) SELECT patient_id, pathway, count(DISTINCT al.gene) AS n_genes, string_agg(DISTINCT al.gene, ', ' ORDER BY al.gene) AS genes FROM al JOIN pathway_dim p ON al.gene = p.gene GROUP BY 1, 2")
+def a23(v):
+    return C.pathway_hits(C.altered_genes(var(v), cn(v)), v.pathway_dim)
+
+
+MATCH = "ma AS (SELECT patient_id, m.gene, alteration, drug, status FROM (SELECT DISTINCT patient_id, gene, 'mutation' AS alteration FROM va UNION ALL SELECT DISTINCT patient_id, gene, 'amplification' FROM cn WHERE cna >= 0.5) m JOIN drug_dim d ON m.gene = d.gene)"
+
+
+@query("f22_drug_matches", f"WITH {VAR}, {CN}, {MATCH} SELECT patient_id, gene, alteration, count(*) AS n, min(drug) AS first_drug FROM ma GROUP BY 1, 2, 3")
+def f22(v):
+    return C.drug_matches(var(v), cn(v), v.drug_dim).groupBy("patient_id", "gene", "alteration").agg(F.count(F.lit(1)).alias("n"), F.min("drug").alias("first_drug"))
+
+
+LETHAL = f"{PAIRS}, ls AS (SELECT gene AS partner, string_agg(DISTINCT drug, ', ' ORDER BY drug) AS drugs FROM drug_dim GROUP BY 1), lo AS (SELECT patient_id, gene FROM va UNION SELECT patient_id, gene FROM cn WHERE cna <= -0.5), le AS (SELECT patient_id, lo.gene, sy.partner, drugs, concat('Loss of ', lo.gene, ' exposes ', sy.partner) AS rationale FROM lo JOIN sy ON lo.gene = sy.gene JOIN ls ON sy.partner = ls.partner)"
+
+
+@query("f20_lethal_hits", f"WITH {VAR}, {CN}, {LETHAL} SELECT patient_id, count(*) AS n, count(DISTINCT partner) AS n_partners, min(rationale) AS rationale, max(drugs) AS drugs FROM le GROUP BY 1")
+def f20(v):
+    rows = C.lethal_hits(C.lost_genes(var(v), cn(v)), K.symmetric(v.sl_dim), v.drug_dim)
+    return rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("partner").alias("n_partners"), F.min("rationale").alias("rationale"), F.max("drugs").alias("drugs"))
+
+
+RISK = "ri AS (SELECT gene, count(*) AS n_mechanisms, CAST(least(1.0, round(0.2 * count(*), 4)) AS DOUBLE) AS risk, arg_min(mechanism, ord) AS top_mechanism FROM resistance_dim GROUP BY 1)"
+ALERT = f"{RISK}, ar AS (SELECT f.patient_id, f.gene, variant, top_mechanism, n_mechanisms, risk FROM (SELECT patient_id, gene, arg_min(variant, ord) AS variant FROM va GROUP BY 1, 2) f JOIN ri ON f.gene = ri.gene)"
+
+
+@query("f19_f21_resistance_alerts", f"WITH {VAR}, {ALERT} SELECT patient_id, gene, variant, top_mechanism, n_mechanisms, risk FROM ar")
+def f21(v):
+    return C.resistance_alerts(var(v), v.resistance_dim)
+
+
+PLAN = f"{MATCH}, {LETHAL}, rs AS (SELECT DISTINCT patient_id, drug FROM va JOIN resistance_dim r ON va.gene = r.gene), rec AS (SELECT ma.patient_id, ma.drug AS therapy, gene, CASE WHEN rs.drug IS NOT NULL THEN 0.27::DOUBLE ELSE 0.9::DOUBLE END AS confidence, rs.drug IS NOT NULL AS resistance_concern, 1 AS ord FROM ma LEFT JOIN rs ON ma.patient_id = rs.patient_id AND ma.drug = rs.drug WHERE status = 'Approved' UNION ALL SELECT patient_id, drugs, gene, 0.65::DOUBLE, false, 2 FROM le UNION ALL SELECT patient_id, 'Immunotherapy', 'TMB', 0.8::DOUBLE, false, 3 FROM va GROUP BY 1 HAVING count(*) >= 10 UNION ALL SELECT patient_id, drug, gene, 0.5::DOUBLE, false, 4 FROM ma WHERE status = 'Clinical trial'), on1 AS (SELECT *, row_number() OVER (PARTITION BY patient_id, therapy, gene ORDER BY confidence DESC, ord) AS r FROM rec), plan AS (SELECT patient_id, therapy, gene, confidence, resistance_concern, ord, row_number() OVER (PARTITION BY patient_id ORDER BY confidence DESC, ord, therapy, gene) AS rank FROM on1 WHERE r = 1)"
+
+
+def plan(v):
+    return C.treatment_plan(var(v), cn(v), v.drug_dim, K.symmetric(v.sl_dim), v.resistance_dim)
+
+
+@query("f23_w11_treatment_plan", f"WITH {VAR}, {CN}, {PLAN} SELECT patient_id, therapy, gene, confidence, resistance_concern, ord, rank FROM plan")
+def f23(v):
+    return plan(v)
+
+
+REPORT = "li AS (SELECT patient_id, 1 AS s, lpad(CAST(ord AS VARCHAR), 5, '0') AS o, concat(gene, ' ', variant, ': tier ', tier) AS line FROM ti UNION ALL SELECT patient_id, 2, gene, concat(gene, ': ', top_mechanism, ' (', CAST(n_mechanisms AS VARCHAR), ' mechanisms)') FROM ar UNION ALL SELECT patient_id, 3, lpad(CAST(rank AS VARCHAR), 5, '0'), concat(CAST(rank AS VARCHAR), '. ', therapy, ' for ', gene) FROM plan), rp AS (SELECT patient_id, string_agg(line, chr(10) ORDER BY s, o, line) AS report FROM li GROUP BY 1)"
+
+
+@query("f24_f25_cohort_report", f"WITH {VAR}, {CN}, {TIER}, {ALERT}, {PLAN}, {REPORT}, al AS (SELECT patient_id, gene FROM va UNION SELECT patient_id, gene FROM cn WHERE cna >= 0.5), ph AS (SELECT patient_id, count(DISTINCT pathway) AS n FROM al JOIN pathway_dim p ON al.gene = p.gene GROUP BY 1) SELECT v.patient_id, v.n AS n_variants, coalesce(a.n, 0) AS n_alerts, coalesce(ph.n, 0) AS n_pathways, coalesce(b.n, 0) AS n_recommendations, b.t AS first_therapy, md5(report) AS report FROM (SELECT patient_id, count(*) AS n FROM ti GROUP BY 1) v LEFT JOIN (SELECT patient_id, count(*) AS n FROM ar GROUP BY 1) a ON v.patient_id = a.patient_id LEFT JOIN ph ON v.patient_id = ph.patient_id LEFT JOIN (SELECT patient_id, count(*) AS n, arg_min(therapy, rank) AS t FROM plan GROUP BY 1) b ON v.patient_id = b.patient_id LEFT JOIN rp ON v.patient_id = rp.patient_id")
+def f24(v):
+    out = C.cohort_report(var(v), cn(v), v.drug_dim, v.pathway_dim, K.symmetric(v.sl_dim), v.resistance_dim)
+    return out.withColumn("report", F.md5(F.col("report").cast("binary")))
+
+
+ANN = f"{PAIRS}, {RISK}, pw AS (SELECT gene, string_agg(pathway, '; ' ORDER BY ord, pathway) AS pathway FROM pathway_dim GROUP BY 1), dg AS (SELECT gene, string_agg(drug, '; ' ORDER BY ord, drug) AS drug, bool_or(status LIKE 'Approved%') AS druggable FROM drug_dim GROUP BY 1), pr AS (SELECT gene, string_agg(DISTINCT partner, ', ' ORDER BY partner) AS partners FROM sy GROUP BY 1)"
+ANN_COLS = "coalesce(pathway, '—') AS pathway, coalesce(drug, '—') AS drug, coalesce(partners, '—') AS partners, coalesce(druggable, false) AS druggable, coalesce(n_mechanisms, 0) AS n_mechanisms, coalesce(risk, CAST(0 AS DOUBLE)) AS risk, coalesce(top_mechanism, 'None catalogued') AS top_mechanism"
+ANN_JOINS = "LEFT JOIN pw ON g.gene = pw.gene LEFT JOIN dg ON g.gene = dg.gene LEFT JOIN pr ON g.gene = pr.gene LEFT JOIN ri ON g.gene = ri.gene"
+
+
+@query("f17_f18_annotations", f"WITH {ANN}, g AS (SELECT DISTINCT gene FROM assay) SELECT g.gene, {ANN_COLS} FROM g {ANN_JOINS}")
+def f17(v):
+    return C.annotations(v.assay.select("gene").distinct(), v.drug_dim, v.pathway_dim, K.symmetric(v.sl_dim), v.resistance_dim)
+
+
+@query("f26_rationale", "WITH d AS (SELECT gene, string_agg(drug, ', ' ORDER BY ord) AS drugs FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY ord, drug) AS r FROM drug_dim) WHERE r <= 3 GROUP BY 1), m AS (SELECT gene, string_agg(mechanism, ', ' ORDER BY ord) AS mechanisms FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY ord, mechanism) AS r FROM resistance_dim) WHERE r <= 2 GROUP BY 1), p AS (SELECT gene, string_agg(pathway, ', ' ORDER BY ord) AS pathways FROM pathway_dim GROUP BY 1) SELECT g.gene, drugs, mechanisms, pathways, concat_ws('; ', g.gene, 'acts in ' || pathways, 'drugs: ' || drugs, 'resistance: ' || mechanisms) AS narrative FROM (SELECT DISTINCT gene FROM assay) g LEFT JOIN d ON g.gene = d.gene LEFT JOIN m ON g.gene = m.gene LEFT JOIN p ON g.gene = p.gene")
+def f26(v):
+    return C.rationale(v.assay.select("gene").distinct(), v.drug_dim, v.pathway_dim, v.resistance_dim)
+
+
+@query("m12_fusion_ranking", f"WITH {EMB}, {ANN}, st AS (SELECT gene, avg(d) AS instability FROM dr GROUP BY 1), im AS (SELECT gene, var_pop(value) / sum(var_pop(value)) OVER () AS importance FROM assay GROUP BY 1), g AS (SELECT im.gene, round(importance, 5) AS importance, round(instability, 4) AS instability, round(round(importance, 5) * round(instability, 4) * 1000, 3) AS fusion_index FROM im JOIN st ON im.gene = st.gene) SELECT g.*, {ANN_COLS} FROM g {ANN_JOINS} ORDER BY fusion_index DESC")
+def m12(v):
+    """Importance (here the share of the variance) times embedding drift, annotated, best first."""
+    share = v.assay.groupBy("gene").agg(F.var_pop("value").alias("_v"))
+    importance = share.join(F.broadcast(share.agg(F.sum("_v").alias("_t")))).select("gene", F.round(F.col("_v") / F.col("_t"), 5).alias("importance"))
+    drift = M.drift_statistics(embeddings(v)).select("gene", F.round("mean", 4).alias("instability"))
+    genes = importance.join(drift, "gene").withColumn("fusion_index", F.round(F.col("importance") * F.col("instability") * 1000, 3))
+    return C.annotations(genes, v.drug_dim, v.pathway_dim, K.symmetric(v.sl_dim), v.resistance_dim).orderBy(F.desc("fusion_index"), "gene")

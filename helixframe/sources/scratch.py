@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes into the folder of ``spark.checkpoint.dir``, which all machines share, and reads it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share, for this application."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Writes into the shared folder and reads back."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
