@@ -1 +1,83 @@
-"""Queries."""
+"""Queries of classifiers (M1-M10): rows without SQL, but for label codes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import learning as L
+from ..operators import metrics as M
+from .base import query
+from .metrics import embeddings, rounded
+
+GENES = [f"G{i}" for i in range(40)]
+
+
+def rows(v):
+    return L.training_rows(L.wide(v.assay, GENES), v.labels_s, GENES).persist()
+
+
+@query("m1a_label_codes", "SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code, count(*) AS n FROM labels_s GROUP BY 1")
+def m1a(v):
+    return L.encoded(v.labels_s).groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m1_m2_w13_importances")
+def m1(v):
+    return L.importances(L.forest().fit(rows(v)), GENES, v.spark, 10)
+
+
+@query("m1b_m9_row_features")
+def m1b(v):
+    return rounded(L.compared({"genes": (rows(v), L.forest()), "genes and rows": (L.with_row_features(v.assay, v.labels_s, GENES).persist(), L.forest())}, "genes", 2))
+
+
+@query("m3_cross_validation")
+def m3(v):
+    return rounded(L.fold_metrics(L.cross_validated(rows(v), L.forest(), 3)))
+
+
+@query("m4_search")
+def m4(v):
+    return rounded(L.searched(rows(v)))
+
+
+@query("m5_baselines")
+def m5(v):
+    data = rows(v)
+    return rounded(L.compared({n: (data, m) for n, m in L.baselines().items()}, "forest", 2))
+
+
+@query("m6_ablation")
+def m6(v):
+    full = rows(v)
+    half = L.training_rows(L.wide(v.assay, GENES[:20]), v.labels_s, GENES[:20]).persist()
+    return rounded(L.compared({"full": (full, L.forest()), "half": (half, L.forest())}, "full", 2))
+
+
+@query("m7_bootstrap_ensemble")
+def m7(v):
+    return rounded(M.ensemble_decision(M.ensemble_prediction(L.bootstrap_ensemble(rows(v))), 5))
+
+
+@query("m8_principal_components")
+def m8(v):
+    # The sign of a component is free.
+    return L.principal_components(rows(v)).select("sample_id", *(F.round(F.abs(F.col("components")[i]), 4).alias(f"pc{i + 1}") for i in range(2)))
+
+
+@query("m9a_fusion_weights")
+def m9a(v):
+    emb = embeddings(v).where("variant_no = 0").persist()
+    weights = v.cna.groupBy("gene").agg((F.avg("score") + 3).alias("weight"))
+    return rounded(L.compared({"uniform": (L.embedded_rows(v.assay, emb, v.labels_s).persist(), L.forest()), "weighted": (L.embedded_rows(v.assay, emb, v.labels_s, weights).persist(), L.forest())}, "uniform", 2))
+
+
+@query("m9b_parameter_sweep")
+def m9b(v):
+    data = rows(v)
+    return rounded(L.compared({f"depth {d}": (data, L.forest(depth=d)) for d in (2, 4)}, "depth 2", 2))
+
+
+@query("m10_hold_out")
+def m10(v):
+    return rounded(M.classification_metrics(L.held_out(rows(v), L.forest()), ["fold"])).drop("fold")
