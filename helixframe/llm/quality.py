@@ -86,7 +86,7 @@ RULES = (
     Rule("length", "n_words < 20", "n_words >= 100"),
 )
 
-BASE_FAILED = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
 @dataclass(frozen=True)
@@ -154,5 +154,5 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, t
     rows = written(rows.select(*keep, *new[:8], *votes), "quality")
     weights = learned(rows.select(*votes), votes)
     return rows.select(
-        *keep, *new[:8], BASE_FAILED.alias("base_failed"), F.array(*votes).alias("votes"), weights.posterior([F.col(v) for v in votes]).alias("quality")
+        *keep, *new[:8], F.expr(BASE_FAILED).alias("base_failed"), F.array(*votes).alias("votes"), weights.posterior([F.col(v) for v in votes]).alias("quality")
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
