@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +47,25 @@ def decoded(codes: DataFrame, names: list[str], code: str = "prediction") -> Dat
 
 
 def wide(assay: DataFrame, genes: list[str]) -> DataFrame:
-    return assay.groupBy("sample_id").pivot("gene", genes).agg(F.avg("value")).fillna(0.0)
+    """(sample_id, x): values of the listed genes in their order, 0 where there is none."""
+    means = assay.where(F.col("gene").isin(genes)).groupBy("sample_id", "gene").agg(F.avg("value").alias("v"))
+    maps = means.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "v"))).alias("_m"))
+    order = F.array(*map(F.lit, genes))
+    return maps.select("sample_id", F.transform(order, lambda g: F.coalesce(F.col("_m")[g], F.lit(0.0))).alias("x"))
 
 
-def training_rows(features: DataFrame, labels: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
-    """sample_id, features, label (code), weight (balanced), id."""
+def training_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """sample_id, features (of the array x), label (code), weight (balanced), id."""
     coded = encoded(labels)
     weighted = coded.join(F.broadcast(cohort.class_weights(coded)), "label").select("sample_id", F.col("code").cast("double").alias("label"), "weight")
-    rows = VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(features.join(weighted, "sample_id"))
-    return rows.select("sample_id", out, "label", "weight", F.col("sample_id").alias("id"))
+    return features.join(weighted, "sample_id").select("sample_id", array_to_vector("x").alias("features"), "label", "weight", F.col("sample_id").alias("id"))
 
 
 def with_row_features(assay: DataFrame, labels: DataFrame, genes: list[str]) -> DataFrame:
     """Genes and the distribution features of each sample in one vector."""
     rows = cohort.row_features(assay)
-    named = rows.select("sample_id", *(F.col(c).alias(f"row_{c}") for c in rows.columns if c != "sample_id"))
-    return training_rows(wide(assay, genes).join(named, "sample_id"), labels, genes + [c for c in named.columns if c != "sample_id"])
+    more = rows.select("sample_id", F.array(*(F.col(c) for c in rows.columns if c != "sample_id")).alias("_r"))
+    return training_rows(wide(assay, genes).join(more, "sample_id").select("sample_id", F.concat("x", "_r").alias("x")), labels)
 
 
 def estimator_pipeline(columns: list[str], model: object) -> Pipeline:
@@ -139,7 +142,5 @@ def held_out(rows: DataFrame, model: object) -> DataFrame:
 
 def embedded_rows(assay: DataFrame, embeddings: DataFrame, labels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Training rows whose features are the (weighted) embedding sums."""
-    z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("_z"))
-    from pyspark.ml.functions import array_to_vector
-
-    return training_rows(z.withColumn("_v", array_to_vector("_z")), labels, ["_v"])
+    z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("x"))
+    return training_rows(z, labels)

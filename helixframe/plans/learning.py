@@ -13,7 +13,7 @@ GENES = [f"G{i}" for i in range(40)]
 
 
 def rows(v):
-    return L.training_rows(L.wide(v.assay, GENES), v.labels_s, GENES).persist()
+    return L.training_rows(L.wide(v.assay, GENES), v.labels_s).persist()
 
 
 @query("m1a_label_codes", "SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code, count(*) AS n FROM labels_s GROUP BY 1")
@@ -50,7 +50,7 @@ def m5(v):
 @query("m6_ablation")
 def m6(v):
     full = rows(v)
-    half = L.training_rows(L.wide(v.assay, GENES[:20]), v.labels_s, GENES[:20]).persist()
+    half = L.training_rows(L.wide(v.assay, GENES[:20]), v.labels_s).persist()
     return rounded(L.compared({"full": (full, L.forest()), "half": (half, L.forest())}, "full", 2))
 
 
