@@ -19,7 +19,7 @@ def lethality_screen(assay: DataFrame, targets: DataFrame, known: DataFrame, bel
         rows = average_rank(assay, "value", ["gene"]).select("sample_id", "gene", F.col("rank").alias("value"))
     a = rows.join(targets, "gene", "left_semi").select("sample_id", F.col("gene").alias("target"), F.col("value").alias("x"))
     b = rows.join(targets, "gene", "left_anti").select("sample_id", "gene", F.col("value").alias("y"))
-    pairs = a.join(b, "sample_id").groupBy("target", "gene").agg(F.corr("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("correlation") < below))
+    pairs = a.join(b, "sample_id").groupBy("target", "gene").agg(F.corr("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.round("correlation", 9) < below))
     flag = known.select(F.col("gene").alias("target"), F.col("partner").alias("gene")).distinct().withColumn("known_sl", F.lit(True))
     out = pairs.join(flag, ["target", "gene"], "left").fillna(False, ["known_sl"])
     if with_p:

@@ -10,7 +10,7 @@ from .base import query
 from .metrics import embeddings
 
 PAIRS = "sy AS (SELECT gene_a AS gene, gene_b AS partner FROM sl_dim UNION SELECT gene_b, gene_a FROM sl_dim), tg AS (SELECT DISTINCT gene_a AS gene FROM sl_dim), a AS (SELECT sample_id, gene AS target, {0} AS x FROM {1} WHERE gene IN (SELECT gene FROM tg)), b AS (SELECT sample_id, gene, {0} AS y FROM {1} WHERE gene NOT IN (SELECT gene FROM tg)), c AS (SELECT target, b.gene, corr(x, y) AS correlation, count(*) AS n FROM a JOIN b ON a.sample_id = b.sample_id GROUP BY 1, 2)"
-OUT = "SELECT target, c.gene, round(correlation, 5) AS correlation, n, sy.gene IS NOT NULL AS known_sl FROM c LEFT JOIN sy ON sy.gene = target AND sy.partner = c.gene WHERE n >= 3 AND correlation < -0.2 ORDER BY correlation"
+OUT = "SELECT target, c.gene, round(correlation, 5) AS correlation, n, sy.gene IS NOT NULL AS known_sl FROM c LEFT JOIN sy ON sy.gene = target AND sy.partner = c.gene WHERE n >= 3 AND round(correlation, 9) < -0.2 ORDER BY correlation"
 
 
 def screen(v, method):
