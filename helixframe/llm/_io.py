@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -24,12 +30,55 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet; ``collected`` lists it."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder, if they are still there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave and that nothing will read again."""
+    for t in tables:
+        if t is not None and (path := _PATHS.pop(t, None)):
+            deleted(t.sparkSession, [path])
+
+
+def viewed(view: DataFrame, of: DataFrame) -> DataFrame:
+    """``view`` only picks and renames columns of the written table ``of`` and is dropped in its place."""
+    if of in _PATHS:
+        _PATHS[view] = _PATHS[of]
+    return view
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """Lists the paths of all tables written inside, so that ``deleted`` can remove them once the result is stored."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

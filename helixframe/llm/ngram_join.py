@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import written
+from ._io import dropped, viewed, written
 from ._words import NOT_SPACE, Words, list_array, mixed, shingles, sliced
 from .components import connected_components
 
-#: Identifiers that may be broadcast: 16 MB of them.  More are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Tokens put last in the global order, at most.  The order only decides how much work there is.
-MAX_FREQUENT = 500_000
-#: Tokens that the prefixes of two linking sets must share at least (or all that they share, if fewer): prefixes are
-#: longer by as much, and sets that share a common phrase alone are no candidates.
+#: Slots of the table that says how common a token is: one byte each, sent to all tasks whatever the input's size.
+SLOTS = 1 << 21
+#: Rows of two identifiers that may be broadcast, after counting them; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Prefixes are longer by so many tokens, and linking sets must share so many more inside them: sets that share a common
+#: phrase alone are no candidates.
 SHARE = 6
-#: Rounds that test each document against one other of its block, before all remaining pairs are listed.
+#: Rounds that test each class against one leader of its blocks before the tries take the rest.
 ROUNDS = 2
+#: Sets that one trie holds; a larger block is dealt out as a grid of such cells.
+CELL = 2_000
+#: Ratio of the sizes within one band of set sizes.
+BAND = 1.02
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingles (63-bit hashes): of k words, or of all words if there are fewer.
 
-    A-Z count as a-z; words are ``[^\\x20\\x09-\\x0D]+``.
+    A-Z count as a-z; words are ``[^\\x20\\x09-\\x0D]+``.  Two shingles count as one if all 63 bits agree.
     """
     words = Words(column, NOT_SPACE, lower=True)
     for a, n in zip(words.first.tolist(), words.count.tolist(), strict=False):
@@ -38,83 +41,118 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield np.unique(h >> np.uint64(1))
 
 
-def _least(n: int, percent: int) -> int:
-    """Tokens that a set of n must share with any set that links with it."""
-    return -(-n * percent // 100)
+class Rule:
+    """What 100 * intersection >= percent * union asks of sizes and overlaps; prefixes stand in the global order.
 
+    Sets x and y of sizes a and b link exactly if they share ``overlap(a, b)`` tokens.  A set of size a shares ``least(a)``
+    at least with any set that it links with.  Its prefix is all but its last ``least(a) - extra(a)`` tokens.  Let x be
+    the one whose prefix ends first.  Each shared token inside x's prefix is inside y's too, and x has ``least(a) -
+    extra(a)`` tokens after its prefix; so linking sets share ``overlap(a, b) - least(a) + extra(a)`` tokens inside both
+    prefixes: ``inside(a, b)``.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def least(self, a):
+        return -(-a * self.percent // 100)
+
+    def extra(self, a):
+        return np.minimum(SHARE, self.least(a))
+
+    def prefix(self, a):
+        return a - self.least(a) + self.extra(a)
+
+    def near(self, a, b):
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+    def overlap(self, a, b):
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def inside(self, a, b):
+        return self.overlap(a, b) - self.least(a) + self.extra(a)
 
-def _prefix(n: int, percent: int) -> int:
-    """Length of the prefix.  If x and y share o tokens, o at least as large as ``_least`` of either, then with k =
-    min(SHARE, both ``_least``) they share k tokens inside their prefixes of n - _least(n) + k tokens: all but
-    _least(n) - k tokens of the set whose prefix ends first are in it, so fewer than k would leave fewer than o."""
-    least = _least(n, percent)
-    return n - least + min(SHARE, least)
+    def inside_any(self, a, low, high):
+        """At most ``inside`` of either set, for every near partner of a size from ``low`` to ``high``."""
+        low, high = np.maximum(low, self.least(a)), np.minimum(high, 100 * a // self.percent)
+        first = self.inside(a, low)
+        # Over b: percent * (a + b) / (100 + percent) - percent * b / 100 falls, extra(b) rises.
+        second = np.floor(self.percent * (a + high) / (100 + self.percent) - self.percent * high / 100) - 1 + self.extra(low)
+        return np.maximum(1, np.minimum(first, second))
 
 
 class PrefixTree:
-    """Sets of ascending tokens, stored once for each common beginning.
+    """Ascending token sequences, stored once for each common beginning.
 
-    A node holds a run of tokens, and the smallest and the largest size of the sets below it.
+    A node holds a run of tokens, the longest rest, the sizes and the group of what is below it.
     """
 
-    __slots__ = ("run", "children", "ends", "low", "high")
+    __slots__ = ("run", "children", "ends", "low", "high", "rest", "group")
 
-    def __init__(self, run: np.ndarray):
+    def __init__(self, run: np.ndarray, entry: tuple):
         self.run, self.children, self.ends = run, {}, []
-        self.low, self.high = 1 << 62, 0
+        self.low = self.high = entry[1]
+        self.rest, self.group = 0, entry[3]
 
-    def add(self, tokens: np.ndarray, key: object) -> None:
+    def _take(self, entry: tuple, rest: int) -> None:
+        self.low, self.high, self.rest = min(self.low, entry[1]), max(self.high, entry[1]), max(self.rest, rest)
+        if self.group != entry[3]:
+            self.group = None
+
+    def add(self, tokens: np.ndarray, entry: tuple) -> None:
+        """``entry``: (key, size of the set, end of its prefix, group)."""
         node, at, n = self, 0, len(tokens)
         while True:
-            node.low, node.high = min(node.low, n), max(node.high, n)
+            node._take(entry, n - at)
             if at == n:
-                node.ends.append((key, n))
+                node.ends.append(entry)
                 return
             child = node.children.get(int(tokens[at]))
             if child is None:
-                child = node.children[int(tokens[at])] = PrefixTree(tokens[at:])
-                child.low = child.high = n
-                child.ends.append((key, n))
+                child = node.children[int(tokens[at])] = PrefixTree(tokens[at:], entry)
+                child.ends.append(entry)
                 return
             m = min(len(child.run), n - at)
             differ = np.flatnonzero(child.run[:m] != tokens[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(child.run):
-                upper = PrefixTree(child.run[:same])
-                upper.low, upper.high = child.low, child.high
+                upper = PrefixTree(child.run[:same], entry)
+                upper.low, upper.high, upper.group, upper.rest = child.low, child.high, child.group, child.rest + len(child.run) - same
                 child.run = child.run[same:]
                 upper.children[int(child.run[0])] = child
                 node.children[int(tokens[at])] = child = upper
             node, at = child, at + same
 
-    def linked(self, tokens: np.ndarray, percent: int) -> Iterator[object]:
-        """Keys of the stored sets that link with this one.
+    def candidates(self, tokens: np.ndarray, entry: tuple, rule: Rule) -> Iterator[object]:
+        """Keys of the stored sequences that share enough tokens with this one and are of another group.
 
-        A subtree shares the overlap of its path; it is left when that and the tokens which both sides still have can't
-        reach what its smallest set needs.
+        The overlap of a path is counted once for all below it.  A subtree is left when it is of the same group, when no
+        size in it is near, or when the overlap and the tokens that both sides still have can't reach what is asked.
         """
+        _, a, end, group = entry
         n, todo = len(tokens), [(c, 0, 0) for c in self.children.values()]
         while todo:
-            node, met, depth = todo.pop()
-            if 100 * min(n, node.high) < percent * max(n, node.low):
+            node, met, used = todo.pop()
+            if (node.group is not None and node.group == group) or not rule.near(a, min(max(a, node.low), node.high)):
+                continue
+            asked = rule.inside_any(a, node.low, node.high)
+            if met + min(len(node.run) + node.rest, n - used) < asked:
                 continue
             at = np.searchsorted(tokens, node.run)
             met += int((tokens[np.minimum(at, n - 1)] == node.run).sum())
-            depth += len(node.run)
-            left = min(node.high - depth, n - int(np.searchsorted(tokens, node.run[-1], "right")))
-            if (100 + percent) * (met + left) < percent * (n + node.low):
-                continue
-            for key, size in node.ends:
-                if 100 * met >= percent * (n + size - met):
+            used = int(np.searchsorted(tokens, node.run[-1], "right"))
+            for key, b, end_b, other in node.ends:
+                if (other != group or group is None) and rule.near(a, b) and met >= (rule.inside(a, b) if end <= end_b else rule.inside(b, a)):
                     yield key
-            todo += [(c, met, depth) for c in node.children.values()]
+            if met + min(node.rest, n - used) >= asked:
+                todo += [(c, met, used) for c in node.children.values()]
 
 
-def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Tokens that many documents hold: counted within each batch of documents, then over all batches.
+def _common(docs: DataFrame, text: str, k: int) -> np.ndarray:
+    """How common the tokens of each slot are: the bit length of the number of times.
 
-    A token that is rare inside every batch isn't counted.  Put last in the global order, these tokens stay out of the
-    blocks; the result of the join doesn't depend on them.
+    A token counts where three documents or more of an Arrow batch have it.  This only decides the global order (common
+    tokens last), never the result; a rare token in the slot of a common one comes late too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,28 +160,27 @@ def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
             sets = [s for part in sliced([batch], 0) for s in shingle_sets(part.column(0), k)]
             tokens, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             many = times >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(times[many])], ["token", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array((tokens[many] % np.uint64(SLOTS)).astype(np.int32)), pa.array(times[many])], ["slot", "times"])
 
-    counts = docs.select(text).mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    rows = counts.orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-    return np.sort(rows.column("token").to_numpy()).astype(np.uint64)
+    counts = docs.select(text).mapInArrow(run, "slot int, times long").groupBy("slot").agg(F.length(F.bin(F.sum("times"))).cast("tinyint").alias("bits"))
+    rows = counts.toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.uint8)
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
+    return out
 
 
-def _signatures(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per document: its size, a 128-bit digest of its set, and the prefix of the set in the global order (frequent
-    tokens last, else by hash): any set that links with it shares one of these tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, k))
+def _signatures(docs: DataFrame, key: str, text: str, k: int, rule: Rule, common) -> DataFrame:
+    """Per document: its size, a 128-bit digest of its set, and the prefix of the set in the global order (slot's
+    commonness, then hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = sent.value
+        bits = common.value
         for batch in sliced(batches, 1):
             sizes, digests, prefixes = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(n := len(s))
                 digests.append((s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s)) if n else np.uint64(0)))
-                frequent = np.zeros(n, bool) if not len(late) else late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                ordered = np.concatenate((s[~frequent], s[frequent]))
-                prefixes.append(ordered[: _prefix(n, percent)])
+                prefixes.append(s[np.argsort(bits[s % np.uint64(SLOTS)], kind="stable")[: rule.prefix(n)]])
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([d[j] for d in digests], np.uint64).view(np.int64)) for j in (0, 1)), list_array(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())], ["doc", "n", "h1", "h2", "prefix"])
 
@@ -157,86 +194,197 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link.  Rows with the same a come together; their b go into one tree, which
-    the set of a walks through."""
+def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule: Rule) -> DataFrame:
+    """Of the pairs (a, b), those whose sets link.
+
+    A text travels once for each of its pairs as b, and once for each cell as a.  Rows come sorted, a's text first, so a
+    task holds one set of a, and pairs of a common a are dealt out over cells of ``CELL``.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells")).where("cells > 1")
+    dealt = pairs.join(sizes.hint("merge"), "a", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("b"), "cells"), F.lit(0))).select("a", "b", "cell")
+    dealt = written(dealt, "cells")
+    needed = written(dealt.select(F.col("a").alias(key)).union(dealt.select("b")).distinct(), "ids")
+    texts = docs.select(key, text).join(_small(needed), key, "left_semi").withColumnsRenamed({key: "id", text: "text"})
+    asked = dealt.select("a", "cell", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("a", "cell", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
+    rows = asked.join(texts.hint("merge"), "id").repartition("a", "cell").sortWithinPartitions("a", "cell", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 3):
-            a, b, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [])
-            firsts = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]
-            own = dict(zip(firsts, shingle_sets(batch.column(2).take(pa.array(firsts, pa.int64())), k), strict=True))
-            sets = shingle_sets(batch.column(3), k)
-            for x, rows in groupby(range(len(a)), key=lambda i: a[i]):
-                tree, start = PrefixTree(np.zeros(0, np.uint64)), None
-                for i in rows:
-                    start = i if start is None else start
-                    tree.add(next(sets), b[i])
-                for y in tree.linked(own[start], percent):
-                    out[0].append(x)
-                    out[1].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], batch.column(1).type)], ["a", "b"])
+        own = None
+        for batch in sliced(batches, "text"):
+            side, a, b, out = batch.column("side").to_pylist(), batch.column("a"), batch.column("id"), []
+            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                if not side[i]:
+                    own = s
+                elif len(s) and len(own):
+                    met = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                    if met >= rule.overlap(len(s), len(own)):
+                        out.append(i)
+            at = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
+
+    links = written(rows.select("a", "side", "id", "text").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    dropped(dealt, needed)
+    return links
+
+
+def _leaders(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """For each class at most one pair (a, b): b the class, a the leader of the most of its blocks that isn't connected
+    with it.  A block's leader is the class with the fewest tokens that no other class has: the middle of a family."""
+    rows = _labelled(held, labels).select("rep", "n", "comp", (F.size("tokens") - F.col("length")).alias("clean"), F.explode("tokens").alias("token"))
+    spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("clean", -F.col("n"), "rep", "comp", "n")).alias("o")).where("lo < hi")
+    met = rows.join(spread.select("token", "o.*").withColumnsRenamed({"rep": "rep_a", "comp": "comp_a", "n": "n_a"}).drop("clean").hint("merge"), "token").where("comp <> comp_a")
+    pairs = met.groupBy("rep", "rep_a").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_a").alias("n_a"))
+    return pairs.groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("shared", "rep_a", "n", "n_a")).alias("o")).select(F.col("o.rep_a").alias("a"), "b", F.col("o.n").alias("n"), F.col("o.n_a").alias("n_a"))
+
+
+def _labelled(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return held.withColumn("comp", F.col("rep"))
+    return held.join(_small(viewed(labels.withColumnRenamed("node", "rep"), labels)), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
-    kind = docs.schema[key].dataType.simpleString()
-    left, right = (docs.select(F.col(key).alias(c), F.col(text).alias(f"text_{c}")) for c in "ba")
-    left, right = left.join(_small(pairs.select("b").distinct()), "b", "left_semi"), right.join(_small(pairs.select("a").distinct()), "a", "left_semi")
-    joined = pairs.join(right.hint("merge"), "a").join(left.hint("merge"), "b")
-    return joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, f"a {kind}, b {kind}")
+
+def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type: str) -> DataFrame:
+    """Pairs (a, b) of classes that aren't connected and share as many tokens of their prefixes as linking sets must.
+
+    A class is in the block of each of its tokens with the tokens from there on.  It leaves a block that has no class of
+    another component, in any band of near sizes, with tokens enough: families that are connected, and sets with too many
+    tokens of their own, are gone before anything is paired.  What is left of each block goes into a prefix tree.
+    """
+    p = rule.percent
+    rows = _labelled(held, labels).select("rep", "n", "comp", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    rows = rows.select("rep", "n", "comp", "token", "pos", (F.col("size") - F.col("pos")).alias("c"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
+    rows = written(rows.withColumn("band", band), "rows")
+    bands = rows.groupBy("token", "band").agg(F.max("c").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.max("n").alias("high"))
+    bands = bands.groupBy("token").agg(F.collect_list(F.struct("c", "lo", "hi", "low", "high")).alias("bands")).where("size(bands) > 1 OR bands[0].lo < bands[0].hi")
+
+    def asked(b: Column) -> Column:
+        """``Rule.inside_any`` as a column."""
+        n, least = F.col("n"), F.ceil(F.col("n") * p / 100)
+        low, high = F.greatest(b["low"], least), F.least(b["high"], F.floor(100 * n / p))
+        extra = lambda x: F.least(F.lit(SHARE), F.ceil(x * p / 100))
+        first = F.ceil(p * (n + low) / (100 + p)) - least + extra(n)
+        second = F.floor(p * (n + high) / (100 + p) - p * high / 100) - 1 + extra(low)
+        return F.when(low > high, 1 << 30).otherwise(F.greatest(F.lit(1), F.least(first, second)))
+
+    open_ = F.exists("bands", lambda b: ((b["lo"] != F.col("comp")) | (b["hi"] != F.col("comp"))) & (F.least(b["c"], F.col("c")) >= asked(b)))
+    left = written(rows.join(bands.hint("merge"), "token").where(open_).select("token", "rep", "comp", "pos"), "open")
+    spread = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("lo < hi")
+    left = left.join(spread.select("token", "cells").hint("merge"), "token")
+    whole = held.select("rep", "n", "end_bits", "end", "tokens", "bits")
+    blocks = left.join(whole.hint("merge"), "rep").select("token", "cells", "rep", "n", "comp", "end_bits", "end", *(F.slice(c, F.col("pos") + 1, F.size("tokens")).alias(c) for c in ("tokens", "bits")))
+    # Cell (i, j) has the sets of parts i and j of a block, and pairs them across; (i, i) pairs part i with itself.
+    part = F.pmod(F.xxhash64("rep"), "cells").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    blocks = blocks.withColumn("part", part).withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")})
+    columns = ["token", "i", "j", "part", "rep", "n", "comp", "end_bits", "end", "tokens", "bits"]
+    dealt = blocks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "part", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if block and any(row[c] != block[0][c] for c in ("token", "i", "j")):
+                    out += _block_pairs(block, rule)
+                    block = []
+                block.append(row)
+            yield _pairs_batch(out, batch)
+        if block:
+            yield _pairs_batch(_block_pairs(block, rule), batch)
+
+    found = written(dealt.mapInArrow(run, f"a {key_type}, b {key_type}").distinct(), "pairs")
+    dropped(rows, left)
+    return found
+
+
+def _pairs_batch(pairs: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    kind = batch.schema.field("rep").type
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["a", "b"])
+
+
+def _block_pairs(block: list[dict], rule: Rule) -> list[tuple]:
+    """Candidates among the sets of one cell: a tree of part i, which the sets of part j walk through."""
+    tokens = np.concatenate([np.array(r["tokens"], np.int64) for r in block])
+    bits = np.concatenate([np.array(r["bits"], np.int64) for r in block])
+    ends = np.array([(r["end_bits"], r["end"]) for r in block], np.int64).reshape(-1, 2)
+    # Ranks in the global order stand for the tokens and for the ends of prefixes.
+    every = np.unique(np.stack((np.concatenate((bits, ends[:, 0])), np.concatenate((tokens, ends[:, 1]))), 1), axis=0, return_inverse=True)[1].ravel()
+    at, out, tree = 0, [], None
+    for k, row in enumerate(block):
+        n = len(row["tokens"])
+        own, entry = every[at : at + n], (row["rep"], row["n"], int(every[len(tokens) + k]), row["comp"])
+        at += n
+        if tree is None:
+            tree = PrefixTree(own[:0], entry)
+        if row["i"] == row["j"] or row["part"] == row["j"]:
+            out += [(min(row["rep"], y), max(row["rep"], y)) for y in tree.candidates(own, entry, rule)]
+        if row["part"] == row["i"]:
+            tree.add(own, entry)
+    return out
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """(key, n_shingles, component_id): documents linked when 100 * intersection >= percent * union of their shingle
     sets; the component is the smallest key reachable by links, itself included.
 
-    Null and empty texts have size 0 and link with nothing; equal sets always link; rows with the
-    same key count as one document, that with the smallest text, and all get its result; an empty table gives an empty
-    one; only the two columns are read.
+    Null and empty texts have size 0 and link with nothing; equal sets always link; rows with the same key count as one
+    document, that with the smallest text, and all get its result; very long texts are cut into batches of their own,
+    never shortened; an empty table gives an empty one; only the two columns are read.
 
-    1. Equal sets become one class each; its representative is the smallest key.
+    1. Equal sets (128 bits over 63-bit shingles) become one class each; its representative is the smallest key.
     2. Classes that share a token of their prefixes form blocks.  In each round every class is tested against one
-       class that leads some of its blocks and isn't connected with it yet, and what links is connected.  So a large
-       block of copies collapses without its pairs being listed.
-    3. All remaining pairs of classes that aren't connected, are near enough in size and share enough blocks are tested.
-    Tests run on prefix trees; no pair that could link is left out.
+       leader of its blocks, and what links is connected: a large block of copies collapses without listing its pairs.
+    3. Prefix trees over what is left of each block give the pairs that may still link; whole sets decide.
+    No pair that could link is left out, and pairs inside a component aren't needed.
     """
+    rule, spark = Rule(percent), docs.sparkSession
     given = docs.select(key, text)
     repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
     docs = given.groupBy(key).agg(F.min(text).alias(text)) if repeated else given
-    signed = written(_signatures(docs, key, text, k, percent), "sets")
+    common = spark.sparkContext.broadcast(_common(docs, text, k))
+    signed = written(_signatures(docs, key, text, k, rule, common), "sets")
     alike = ["n", "h1", "h2"]
     classes = written(signed.where("n > 0").groupBy(*alike).agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = classes.select("rep", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("end"), F.posexplode("prefix").alias("pos", "token"))
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
-    blocks = written(tokens.join(_small(shared), "token"), "blocks")
+    kept = tokens.join(_small(shared), "token").groupBy("rep", "n", "length", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    kind = given.schema[key].dataType.simpleString()
+    held = written(kept.mapInArrow(_with_bits(common), f"rep {kind}, n long, length int, end long, tokens array<long>, end_bits tinyint, bits array<tinyint>"), "held")
+    dropped(shared)
     links = labels = None
-    likely = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND shared >= least({SHARE}, ceil({percent} * least(n, n_b) / 100))")
     for r in range(rounds + 1):
-        rows = blocks if labels is None else blocks.join(_small(labels.withColumnsRenamed({"node": "rep", "component": "_c"})), "rep", "left")
-        rows = rows.withColumn("comp", F.col("rep") if labels is None else F.coalesce("_c", "rep")).select("token", "rep", "n", "comp")
-        # Blocks that are connected already are done.
-        spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(*(("rep", "n", "comp") if r % 2 == 0 else ("n", "rep", "comp")))).alias("_o")).where("lo < hi")
         if r < rounds:
-            other = spread.select("token", F.col("_o.rep").alias("rep_b"), F.col("_o.n").alias("n_b"), F.col("_o.comp").alias("comp_b"))
-            met = rows.join(other.hint("merge"), "token").where("comp <> comp_b")
+            pairs = written(_leaders(held, labels).where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)").select("a", "b"), "pairs")
         else:
-            left = written(rows.join(_small(written(spread.select("token"), "open")), "token", "left_semi"), "open")
-            right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp")))
-            met = left.join(right.hint("merge"), "token").where("rep < rep_b AND comp <> comp_b")
-        pairs = met.groupBy("rep", "rep_b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_b").alias("n_b")).where(likely)
-        if r < rounds:
-            pairs = pairs.groupBy("rep").agg(F.max(F.struct("shared", "rep_b"))["rep_b"].alias("rep_b"))
-        pairs = written(pairs.select(F.col("rep_b").alias("a"), F.col("rep").alias("b")), "pairs")
-        if pairs.isEmpty():
+            pairs = _candidates(held, labels, rule, kind)
+        found = None if pairs.isEmpty() else _linked(pairs, docs, key, text, k, rule)
+        dropped(pairs)
+        if found is None:
             continue
-        found = written(_verified(pairs, docs, key, text, k, percent), "links")
         links = found if links is None else links.unionByName(found)
-        labels = written(connected_components(links), "components")
+        dropped(labels)
+        labels = connected_components(links)
+    dropped(held)
     classes = classes.drop("prefix")
     if labels is None:
         classes = classes.withColumn("component_id", F.col("rep"))
     else:
-        classes = classes.join(_small(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    classes_of = classes.select(*alike, "component_id")
-    whole = signed.select("doc", *alike).join(classes_of.hint("merge"), alike, "left")
+        classes = classes.join(_small(viewed(labels.withColumnRenamed("node", "rep"), labels)), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    whole = signed.select("doc", *alike).join(classes.select(*alike, "component_id").hint("merge"), alike, "left")
     whole = whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return given.select(key).join(whole, key) if repeated else whole
+
+
+def _with_bits(common):
+    """Adds how common the tokens and the end of each prefix are, as the global order counts it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = lambda x: common.value[x.to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(SLOTS)].astype(np.int8)
+            tokens = batch.column("tokens")
+            sizes = np.diff(tokens.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot(batch.column("end"))), list_array(slot(tokens.flatten()), sizes, pa.int8())], [*batch.schema.names, "end_bits", "bits"])
+
+    return run

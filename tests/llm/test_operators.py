@@ -143,8 +143,11 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_ngram_join(spark, k, percent):
+@pytest.mark.parametrize("k,percent,small", [(3, 90, False), (5, 80, False), (5, 80, True)])
+def test_ngram_join(spark, monkeypatch, k, percent, small):
+    if small:  # shuffled lists, and blocks of many cells
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(ngram_join, "CELL", 3)
     r = random.Random(5)
     voc = [f"w{i}" for i in range(300)]
     base = [r.choices(voc, k=r.randint(20, 120)) for _ in range(8)]
@@ -155,20 +158,41 @@ def test_ngram_join(spark, k, percent):
             w[r.randrange(len(w))] = r.choice(voc)
         rows.append((i, " ".join(w[: len(w) - r.choice([0, 0, 4])])))
     frame = docs(spark, rows + rows[-3:]).withColumn("n_shingles", F.lit("clash"))
-    out = ngram_join.jaccard_components(frame, k=k, percent=percent).collect()
+    out = ngram_join.jaccard_components(frame, k=k, percent=percent, rounds=0 if small else 2).collect()
     assert len(out) == len(rows) + 3
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, k, percent)
 
 
-def test_prefix_tree_equals_all_pairs():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
-    tree = ngram_join.PrefixTree(np.zeros(0, np.uint64))
-    for i, s in enumerate(sets):
-        tree.add(s, i)
-    for s in sets:
-        want = {i for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 50 * len(np.union1d(s, o))}
-        assert set(tree.linked(s, 50)) == want
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_prefix_tree_keeps_every_link(percent):
+    rng, rule = np.random.default_rng(1), ngram_join.Rule(percent)
+    base = rng.permutation(60)
+    sets = [np.unique(np.concatenate((base[: rng.integers(2, 40)], rng.integers(0, 60, rng.integers(0, 4))))) for _ in range(80)]
+    prefix = [s[: rule.prefix(len(s))] for s in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            # In the block of the first token that both prefixes share, the tree must give every pair that links.
+            both, o = np.intersect1d(prefix[a], prefix[b]), len(np.intersect1d(sets[a], sets[b]))
+            links = 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o)
+            if not len(both):
+                assert not links
+                continue
+            x, y = (prefix[i][prefix[i] >= both[0]] for i in (a, b))
+            entry = [(i, len(sets[i]), int(prefix[i][-1]), i) for i in (a, b)]
+            tree = ngram_join.PrefixTree(y[:0], entry[1])
+            tree.add(y, entry[1])
+            assert rule.inside_any(len(sets[a]), len(sets[b]) - 3, len(sets[b]) + 3) <= max(1, min(rule.inside(len(sets[a]), len(sets[b])), rule.inside(len(sets[b]), len(sets[a])))) or not rule.near(len(sets[a]), len(sets[b]))
+            assert not links or list(tree.candidates(x, entry[0], rule)) == [b]
+    tree = None
+    for i, s in enumerate(prefix):
+        entry = (i, len(sets[i]), int(s[-1]), i)
+        tree = tree or ngram_join.PrefixTree(s[:0], entry)
+        tree.add(s, entry)
+    for i, s in enumerate(prefix):
+        entry = (i, len(sets[i]), int(s[-1]), i)
+        need = lambda j: rule.inside(len(sets[i]), len(sets[j])) if s[-1] <= prefix[j][-1] else rule.inside(len(sets[j]), len(sets[i]))  # noqa: B023, E731
+        want = {j for j in range(len(sets)) if j != i and rule.near(len(sets[i]), len(sets[j])) and len(np.intersect1d(s, prefix[j])) >= need(j)}
+        assert set(tree.candidates(s, entry, rule)) == want
 
 
 def test_decontamination(spark):
