@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import shared_dir
-from .sentencepiece_codec import WordCache, slices
+from ._io import fresh_path
+from ._words import NOT_SPACE, Words, gather, sliced
 
 #: Bits of a chunk: one byte, so that a chunk is read without shifts.
 CHUNK_BITS = 8
@@ -99,45 +99,88 @@ class DirectCodes:
         return cls(levels, bitmaps, ranks)
 
 
-@lru_cache(2)
-def _word_encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    parts = WordCache(lambda words: _each(tokenizer, words))
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # The tokenizer lower-cases and parts letters from marks, so "The", "the" and "the," share the work for "the".
-        return parts.batch([_parts(w) for w in words])
-
-    return encode
+#: Bytes of words that are cut where letters, digits and marks meet: printable ASCII but for the apostrophe, which starts
+#: endings like 's, and "<", which starts special tokens.
+_LETTER, _DIGIT, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[[0x27, 0x3C]] = _OTHER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
 
 
-def _each(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+class WordCoder:
+    """Ids of whole texts from a tokenizer that lower-cases, drops white space and codes runs of letters, single digits
+    and runs of marks one by one.
 
-
-def _parts(word: str) -> tuple[str, ...]:
-    """Letters in lower case and one mark after them, which the tokenizer parts; other words stay whole.
-
-    Only for Latin letters that have one lower-case letter each.
+    Numpy cuts an Arrow column into such units; words with other bytes stay whole, for the tokenizer to cut.  Arrow
+    numbers the units of a batch, so each distinct one enters Python once, and the tokenizer only if it is new.
+    ``limit`` bounds the units kept; beyond it the cache starts afresh.
     """
-    core = word[:-1] if word[-1:] in _MARKS else word
-    if core.isalpha() and (core.isascii() or (max(core) < "\u0180" and "\u0130" not in core)):
-        return (core.lower(), word[-1]) if len(core) < len(word) else (core.lower(),)
-    return (word,)
-
 
-_MARKS = frozenset(".,;:!?")
+    def __init__(self, path: str, limit: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen, self.ids, self.ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each; null texts have none."""
+        words = Words(column, NOT_SPACE, lower=False, hashed=False)
+        if not len(words.start):
+            return np.zeros(0, np.int32), np.zeros(len(column), np.int64)
+        raw = words.buf[NOT_SPACE[words.buf]]
+        size = words.end - words.start
+        at = np.cumsum(size) - size
+        kind = _CLASS[raw]
+        cut = np.repeat(np.maximum.reduceat(kind, at) < _OTHER, size)
+        begins = np.empty(len(raw), bool)
+        begins[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == _DIGIT
+        begins &= cut
+        begins[at] = True
+        raw = np.where(cut & (kind == _LETTER), raw | np.uint8(0x20), raw)
+        start = np.flatnonzero(begins)
+        units = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.concatenate((start, [len(raw)]))), pa.py_buffer(raw)).dictionary_encode()
+        place = self._places(units.dictionary.to_pylist())[units.indices.to_numpy(zero_copy_only=False)]
+        begin, many = self.ends[place], self.ends[place + 1] - self.ends[place]
+        first = np.searchsorted(start, np.concatenate((at, [len(raw)]))[words.first])
+        total = np.concatenate(([0], np.cumsum(many)))
+        return self.ids[gather(begin, many)], np.diff(total[first])
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        if len(self.seen) > self.limit:
+            self._clear()
+        new = [u for u in units if u not in self.seen]
+        if new:
+            # A unit's last token, and no other, ends with the mark of word ends: many units can be one text.
+            plain, odd = [], []
+            for u in new:
+                (plain if u.isascii() and u.isprintable() and "'" not in u and "<" not in u else odd).append(u)
+            texts = [" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer cuts words in another way")
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            more = len(ids) + np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
+            self.seen.update(zip([*plain, *odd], range(len(self.seen), len(self.seen) + len(new)), strict=True))
+            self.ends = np.concatenate((self.ends, len(self.ids) + np.concatenate((ends, more))))
+            self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(each), np.int32)))
+        return np.fromiter(map(self.seen.__getitem__, units), np.int64, len(units))
 
 
 @lru_cache(2)
-def _cache(path: str) -> WordCache:
+def _coder(path: str) -> WordCoder:
     """Kept as long as the Python worker lives, over tasks."""
-    return WordCache(_word_encoder(path))
+    return WordCoder(path)
 
 
 #: The written table: one row is a block of whole documents of a partition.
@@ -151,27 +194,29 @@ BLOCKS = T.StructType([
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", block_chars: int = 4_000_000) -> None:
     """Encodes all texts and writes their ids as blocks of directly addressable codes, in ascending order of ``key``.
 
-    The tokenizer must drop white space and never join characters across it; its words are then encoded one by one
-    and kept in a bounded cache.  Null texts are empty and have only the end id.  Rows are dealt out by ranges of the
-    key, so partition p holds smaller keys than p + 1; rows with the same key come in order of their text.  The files
-    are a Parquet table (columns ``BLOCKS``): ``codes`` is the code of the ids of a block of whole documents of about
-    ``block_chars`` characters at most (or one longer document), ``start`` the ids of the partition before the block.
+    The tokenizer must be of the kind that ``WordCoder`` describes.  Null and empty texts have only the end id.  Rows are
+    dealt out by ranges of the key and a hash of the text, so partition p holds smaller keys than p + 1 and a repeated
+    key is no group; rows with the same key come in the order of that hash, repeated rows all stay, rows without a key
+    come first.  An empty table gives an empty one; other columns aren't read.  The files are a Parquet table (columns
+    ``BLOCKS``): ``codes`` is the code of the ids of a block of whole documents of about ``block_chars`` bytes at most (or
+    one longer document), ``start`` the ids of the partition before the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        cache = _cache(tokenizer_path)
-        for batch in batches:
-            keys, done = batch.column(0).to_pylist(), 0
-            for texts in slices([t or "" for t in batch.column(1).to_pylist()], block_chars):
-                flat, size = cache.batch([t.replace("\n", " ").split(" ") for t in texts])
-                if end_id is not None:
-                    flat, size = np.insert(flat, np.cumsum(size), end_id), size + 1
-                yield pa.RecordBatch.from_pylist([{"part": part, "block": block, "start": start, "n_tokens": len(flat), "doc_ids": keys[done : done + len(texts)], "doc_tokens": size.tolist(), "codes": DirectCodes.encode(flat).to_bytes()}], _ARROW)
-                done, block, start = done + len(texts), block + 1, start + len(flat)
+        coder = _coder(tokenizer_path)
+        for rows in sliced(batches, 1, block_chars):
+            flat, size = coder.encode(rows.column(1))
+            if end_id is not None:
+                flat, size = np.insert(flat, np.cumsum(size), end_id), size + 1
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([x]) for x in (part, block, start, len(flat))] + [one(rows.column(0)), one(pa.array(size, pa.int64())), pa.array([DirectCodes.encode(flat).to_bytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+            block, start = block + 1, start + len(flat)
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows.repartitionByRange("key").sortWithinPartitions("key", "text").mapInArrow(run, BLOCKS).write.parquet(path)
+    tie = F.xxhash64("text")
+    rows.repartitionByRange("key", tie).sortWithinPartitions("key", tie, "text").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("codes", pa.binary())])
@@ -199,12 +244,13 @@ def read_tokens(spark, path: str, fields: str = "ids array<int>", of=lambda ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = DirectCodes.from_bytes(row["codes"]).decode()
-                size = np.array(row["doc_tokens"], np.int64)
+            for i in range(len(batch)):
+                keys, sizes, codes, first = (batch.column(c)[i] for c in ("doc_ids", "doc_tokens", "codes", "first"))
+                ids = DirectCodes.from_bytes(codes.as_buffer().to_pybytes()).decode()
+                size = sizes.values.to_numpy()
                 to = np.cumsum(size)
-                more = [of(ids[b - n : b]) for b, n in zip(to, size, strict=True)]
-                columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["first"] + to - size), "n_tokens": pa.array(size)}
+                more = [of(ids[a:b]) for a, b in zip((to - size).tolist(), to.tolist(), strict=True)]
+                columns = {"doc_id": keys.values, "start": pa.array(first.as_py() + to - size), "n_tokens": sizes.values}
                 columns |= {k: pa.array([m[k] for m in more]) for k in more[0]}
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -218,9 +264,7 @@ def token_at(spark, path: str, position: int) -> int | None:
 
 
 def token_path(spark) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
+    return fresh_path(spark, "tokens")
 
 
 def crc32_of(ids: np.ndarray) -> dict[str, int]:
