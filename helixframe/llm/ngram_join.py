@@ -24,6 +24,8 @@ SHARE = 6
 ROUNDS = 2
 #: Sets that one trie holds; a larger block is dealt out as a grid of such cells.
 CELL = 2_000
+#: Texts that a task holds to test their pairs.
+HELD = 256
 #: Ratio of the sizes within one band of set sizes.
 BAND = 1.02
 
@@ -170,17 +172,22 @@ def _common(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, key: str, text: str, k: int, rule: Rule, common) -> DataFrame:
-    """Per document: its size, a 128-bit digest of its set, and the prefix of the set in the global order (slot's
-    commonness, then hash)."""
+    """Per document: its size, a 128-bit digest of its set, and the prefix of the set in the global order.
+
+    The order is that of keys: the slot's commonness, then 57 bits of the token.  Where two tokens have one key, prefixes
+    seem to share more than they do, never less, and whole sets decide.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = common.value
+        bits = common.value.astype(np.uint64) << np.uint64(57)
         for batch in sliced(batches, 1):
             sizes, digests, prefixes = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(n := len(s))
                 digests.append((s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s)) if n else np.uint64(0)))
-                prefixes.append(s[np.argsort(bits[s % np.uint64(SLOTS)], kind="stable")[: rule.prefix(n)]])
+                keys = bits[s % np.uint64(SLOTS)] | s >> np.uint64(6)
+                m = rule.prefix(n)
+                prefixes.append(np.sort(np.partition(keys, m - 1)[:m]) if 0 < m < n else np.sort(keys))
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array([d[j] for d in digests], np.uint64).view(np.int64)) for j in (0, 1)), list_array(flat, np.array([len(p) for p in prefixes], np.int64), pa.int64())], ["doc", "n", "h1", "h2", "prefix"])
 
@@ -194,40 +201,70 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule: Rule) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule: Rule, stars: bool) -> DataFrame:
     """Of the pairs (a, b), those whose sets link.
 
-    A text travels once for each of its pairs as b, and once for each cell as a.  Rows come sorted, a's text first, so a
-    task holds one set of a, and pairs of a common a are dealt out over cells of ``CELL``.
+    ``stars``: few a have most of the pairs.  Otherwise pairs that hang together form a group, and each text travels
+    once to its group if that has ``HELD`` texts at most.  Larger groups, and stars, are taken apart: the pairs of one a
+    are dealt out over cells of about ``HELD``, where a's text comes once.
     """
     kind = docs.schema[key].dataType.simpleString()
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells")).where("cells > 1")
-    dealt = pairs.join(sizes.hint("merge"), "a", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("b"), "cells"), F.lit(0))).select("a", "b", "cell")
-    dealt = written(dealt, "cells")
-    needed = written(dealt.select(F.col("a").alias(key)).union(dealt.select("b")).distinct(), "ids")
+    made = []
+    dealt = pairs.select("a", "b", F.col("a").alias("home"))
+    if not stars:
+        groups = connected_components(pairs)
+        small = written(groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= HELD).select("component"), "groups")
+        homes = written(groups.join(_small(small), "component").select(F.col("node").alias("a"), F.col("component").alias("own")), "homes")
+        dealt = pairs.join(_small(homes), "a", "left").select("a", "b", F.coalesce("own", "a").alias("home"), F.col("own").isNotNull().alias("whole"))
+        made += [groups, small, homes]
+    else:
+        dealt = dealt.withColumn("whole", F.lit(False))
+    sizes = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")).where("cells > 1"), "sizes")
+    cell = F.when(F.col("whole"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("b"), "cells"), F.lit(0)))
+    dealt = written(dealt.join(_small(sizes), "a", "left").select("a", "b", "home", cell.alias("cell")), "cells")
+    # A row per text and cell, with the partners of those that are a.
+    ends = dealt.select("home", "cell", F.col("a").alias("id"), F.col("b").alias("other")).union(dealt.select("home", "cell", "b", F.lit(None)))
+    asked = written(ends.groupBy("home", "cell", "id").agg(F.collect_list("other").alias("others")), "asked")
+    needed = written(asked.select(F.col("id").alias(key)).distinct(), "ids")
     texts = docs.select(key, text).join(_small(needed), key, "left_semi").withColumnsRenamed({key: "id", text: "text"})
-    asked = dealt.select("a", "cell", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("a", "cell", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
-    rows = asked.join(texts.hint("merge"), "id").repartition("a", "cell").sortWithinPartitions("a", "cell", "side")
+    rows = asked.join(texts.hint("merge"), "id").repartition("home", "cell").sortWithinPartitions("home", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
+        at, held = None, {}
         for batch in sliced(batches, "text"):
-            side, a, b, out = batch.column("side").to_pylist(), batch.column("a"), batch.column("id"), []
-            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
-                if not side[i]:
-                    own = s
-                elif len(s) and len(own):
-                    met = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
-                    if met >= rule.overlap(len(s), len(own)):
-                        out.append(i)
-            at = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
-
-    links = written(rows.select("a", "side", "id", "text").mapInArrow(run, f"a {kind}, b {kind}"), "links")
-    dropped(dealt, needed)
+            out: list[tuple] = []
+            places = zip(*(batch.column(c).to_pylist() for c in ("home", "cell", "id", "others")), strict=True)
+            for (home, cell, id_, others), own in zip(places, shingle_sets(batch.column("text"), k), strict=True):
+                if (home, cell) != at:
+                    out += _met(held, rule)
+                    at, held = (home, cell), {}
+                held[id_] = (own, others)
+            yield _pairs_batch(out, batch.schema.field("id").type)
+        if held:
+            yield _pairs_batch(_met(held, rule), batch.schema.field("id").type)
+
+    links = written(rows.select("home", "cell", "id", "others", "text").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    dropped(dealt, asked, needed, sizes, *made)
     return links
 
 
+def _met(held: dict, rule: Rule) -> list[tuple]:
+    """The pairs of one cell whose sets link."""
+    out = []
+    for a, (own, others) in held.items():
+        for b in others:
+            s = held[b][0]
+            if len(s) and len(own):
+                met = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                if met >= rule.overlap(len(s), len(own)):
+                    out.append((a, b))
+    return out
+
+
+def _pairs_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["a", "b"])
+
+
 def _leaders(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     """For each class at most one pair (a, b): b the class, a the leader of the most of its blocks that isn't connected
     with it.  A block's leader is the class with the fewest tokens that no other class has: the middle of a family."""
@@ -272,56 +309,45 @@ def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type:
     left = written(rows.join(bands.hint("merge"), "token").where(open_).select("token", "rep", "comp", "pos"), "open")
     spread = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("lo < hi")
     left = left.join(spread.select("token", "cells").hint("merge"), "token")
-    whole = held.select("rep", "n", "end_bits", "end", "tokens", "bits")
-    blocks = left.join(whole.hint("merge"), "rep").select("token", "cells", "rep", "n", "comp", "end_bits", "end", *(F.slice(c, F.col("pos") + 1, F.size("tokens")).alias(c) for c in ("tokens", "bits")))
+    whole = held.select("rep", "n", "end", "tokens")
+    blocks = left.join(whole.hint("merge"), "rep").select("token", "cells", "rep", "n", "comp", "end", F.slice("tokens", F.col("pos") + 1, F.size("tokens")).alias("tokens"))
     # Cell (i, j) has the sets of parts i and j of a block, and pairs them across; (i, i) pairs part i with itself.
     part = F.pmod(F.xxhash64("rep"), "cells").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     blocks = blocks.withColumn("part", part).withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")})
-    columns = ["token", "i", "j", "part", "rep", "n", "comp", "end_bits", "end", "tokens", "bits"]
-    dealt = blocks.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "part", "n")
+    dealt = blocks.select("token", "i", "j", "part", "rep", "n", "comp", "end", "tokens").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "part", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[dict] = []
+        at, block, kind = None, [], None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if block and any(row[c] != block[0][c] for c in ("token", "i", "j")):
+            out, kind = [], batch.schema.field("rep").type
+            tokens = batch.column("tokens")
+            flat, offsets = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+            columns = (batch.column(c).to_pylist() for c in ("token", "i", "j", "part", "rep", "n", "end", "comp"))
+            for r, (token, i, j, part, *entry) in enumerate(zip(*columns, strict=True)):
+                if (token, i, j) != at:
                     out += _block_pairs(block, rule)
-                    block = []
-                block.append(row)
-            yield _pairs_batch(out, batch)
+                    at, block = (token, i, j), []
+                block.append((part != j, part == i, tuple(entry), flat[offsets[r] : offsets[r + 1]]))
+            yield _pairs_batch(out, kind)
         if block:
-            yield _pairs_batch(_block_pairs(block, rule), batch)
+            yield _pairs_batch(_block_pairs(block, rule), kind)
 
     found = written(dealt.mapInArrow(run, f"a {key_type}, b {key_type}").distinct(), "pairs")
     dropped(rows, left)
     return found
 
 
-def _pairs_batch(pairs: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
-    kind = batch.schema.field("rep").type
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["a", "b"])
-
-
-def _block_pairs(block: list[dict], rule: Rule) -> list[tuple]:
+def _block_pairs(block: list[tuple], rule: Rule) -> list[tuple]:
     """Candidates among the sets of one cell: a tree of part i, which the sets of part j walk through."""
-    tokens = np.concatenate([np.array(r["tokens"], np.int64) for r in block])
-    bits = np.concatenate([np.array(r["bits"], np.int64) for r in block])
-    ends = np.array([(r["end_bits"], r["end"]) for r in block], np.int64).reshape(-1, 2)
-    # Ranks in the global order stand for the tokens and for the ends of prefixes.
-    every = np.unique(np.stack((np.concatenate((bits, ends[:, 0])), np.concatenate((tokens, ends[:, 1]))), 1), axis=0, return_inverse=True)[1].ravel()
-    at, out, tree = 0, [], None
-    for k, row in enumerate(block):
-        n = len(row["tokens"])
-        own, entry = every[at : at + n], (row["rep"], row["n"], int(every[len(tokens) + k]), row["comp"])
-        at += n
+    out, tree = [], None
+    for stays, planted, entry, tokens in block:
         if tree is None:
-            tree = PrefixTree(own[:0], entry)
-        if row["i"] == row["j"] or row["part"] == row["j"]:
-            out += [(min(row["rep"], y), max(row["rep"], y)) for y in tree.candidates(own, entry, rule)]
-        if row["part"] == row["i"]:
-            tree.add(own, entry)
+            tree = PrefixTree(tokens[:0], entry)
+        if not stays:
+            out += [(min(entry[0], y), max(entry[0], y)) for y in tree.candidates(tokens, entry, rule)]
+        if planted:
+            tree.add(tokens, entry)
     return out
 
 
@@ -347,11 +373,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = written(_signatures(docs, key, text, k, rule, common), "sets")
     alike = ["n", "h1", "h2"]
     classes = written(signed.where("n > 0").groupBy(*alike).agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    tokens = classes.select("rep", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("end"), F.posexplode("prefix").alias("pos", "token"))
-    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
-    kept = tokens.join(_small(shared), "token").groupBy("rep", "n", "length", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
     kind = given.schema[key].dataType.simpleString()
-    held = written(kept.mapInArrow(_with_bits(common), f"rep {kind}, n long, length int, end long, tokens array<long>, end_bits tinyint, bits array<tinyint>"), "held")
+    tokens = classes.select("rep", F.posexplode("prefix").alias("pos", "token"))
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
+    kept = tokens.join(_small(shared), "token").groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    sizes = classes.select("rep", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("end"))
+    held = written(kept.join(sizes.hint("merge"), "rep"), "held")
     dropped(shared)
     links = labels = None
     for r in range(rounds + 1):
@@ -359,7 +386,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             pairs = written(_leaders(held, labels).where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)").select("a", "b"), "pairs")
         else:
             pairs = _candidates(held, labels, rule, kind)
-        found = None if pairs.isEmpty() else _linked(pairs, docs, key, text, k, rule)
+        found = None if pairs.isEmpty() else _linked(pairs, docs, key, text, k, rule, r < rounds)
         dropped(pairs)
         if found is None:
             continue
@@ -375,16 +402,3 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = signed.select("doc", *alike).join(classes.select(*alike, "component_id").hint("merge"), alike, "left")
     whole = whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return given.select(key).join(whole, key) if repeated else whole
-
-
-def _with_bits(common):
-    """Adds how common the tokens and the end of each prefix are, as the global order counts it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = lambda x: common.value[x.to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(SLOTS)].astype(np.int8)
-            tokens = batch.column("tokens")
-            sizes = np.diff(tokens.offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot(batch.column("end"))), list_array(slot(tokens.flatten()), sizes, pa.int8())], [*batch.schema.names, "end_bits", "bits"])
-
-    return run
