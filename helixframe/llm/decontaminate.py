@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import dropped, viewed, written
 from ._words import ALNUM, Words, gather, shingles, sliced
 
 WINDOW = 10
@@ -18,27 +19,54 @@ SLOTS = 1 << 18
 #: Windows that one lane of the scan covers.
 LANE = 512
 #: Bytes of item texts that one pass over the documents searches for; more items take more passes.
-MAX_ITEM_BYTES = 16_000_000
+MAX_ITEM_BYTES = 8_000_000
+
+
+def _same_bytes(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of ``a`` is word j of ``b``, byte by byte."""
+    size = a.end[i] - a.start[i]
+    same = size == b.end[j] - b.start[j]
+    at = np.flatnonzero(same)
+    near, far = gather(a.start[i[at]], size[at]), gather(b.start[j[at]], size[at])
+    differ = a.buf[near] != b.buf[far]
+    same[np.repeat(at, size[at])[differ]] = False
+    return same
 
 
 class WuManber:
-    """Search tables for word sequences of one length m.
+    """Search tables for word sequences of one length m, all arrays: the words of the items, where sequences start in
+    them, and the items that own each sequence.
 
     The shift table says for each block of two words how far the window may move: to the last place of that block in
     any sequence, or past it.  Where the shift is 0, the hash of the last and the first block selects a bucket of
-    sequences, which are compared word by word and then byte by byte.
+    sequences, which are compared word by word: hashes first, then bytes.
     """
 
-    def __init__(self, texts: list[bytes], hashes: np.ndarray):
-        self.m = m = hashes.shape[1]
+    def __init__(self, words: Words, start: np.ndarray, item: np.ndarray, m: int):
+        self.m, self.words = m, words
         self.block = b = min(2, m)
-        blocks = np.stack([shingles(row, b) for row in hashes])
+        blocks = shingles(words.hash, b)
+        # One entry for each distinct sequence, with all its items.
+        whole = shingles(words.hash, m)[start]
+        order = np.lexsort((item, whole))
+        start, item, whole = start[order], item[order], whole[order]
+        new = np.ones(len(start), bool)
+        new[1:] = whole[1:] != whole[:-1]
+        for j in range(m):
+            new[1:] |= ~_same_bytes(words, start[1:] + j, words, start[:-1] + j)
+        again = ~new
+        again[1:] &= item[1:] == item[:-1]
+        again[:1] = False
+        self.owner, first = item[~again], np.flatnonzero(new[~again])
+        start = start[new]
+        self.owners_from, self.owners = first, np.diff(np.concatenate((first, [len(self.owner)])))
         self.shift = np.full(SLOTS, m - b + 1, np.int16)
         for j in range(m - b + 1):
-            np.minimum.at(self.shift, self._slot(blocks[:, j]), m - b - j)
-        key = self._key(blocks[:, -1], blocks[:, 0])
-        self.order = np.argsort(key, kind="stable")
-        self.key, self.hashes, self.texts = key[self.order], hashes, texts
+            np.minimum.at(self.shift, self._slot(blocks[start + j]), m - b - j)
+        key = self._key(blocks[start + m - b], blocks[start])
+        order = np.argsort(key, kind="stable")
+        self.key, self.start = key[order], start[order]
+        self.owners_from, self.owners = self.owners_from[order], self.owners[order]
 
     @staticmethod
     def _slot(blocks: np.ndarray) -> np.ndarray:
@@ -68,38 +96,44 @@ class WuManber:
         key = self._key(blocks[at + m - b], blocks[at])
         low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         place = np.repeat(at, high - low)
-        which = self.order[gather(low, high - low)]
+        which = gather(low, high - low)
+        for j in range(m):
+            same = words.hash[place + j] == self.words.hash[self.start[which] + j]
+            place, which = place[same], which[same]
         for j in range(m):
-            same = words.hash[place + j] == self.hashes[which, j]
+            same = _same_bytes(words, place + j, self.words, self.start[which] + j)
             place, which = place[same], which[same]
-        same = np.array([words.joined(p, p + m) == self.texts[w] for p, w in zip(place.tolist(), which.tolist(), strict=True)], bool)
-        return place[same], which[same]
-
-
-def _patterns(ids: list, texts: list[str], window: int) -> list[tuple[WuManber, list[list]]]:
-    """A searcher for each length, and the items of each of its sequences."""
-    words = Words(pa.array(texts, pa.string()), ALNUM, lower=True)
-    by: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
-    for k, item in enumerate(ids):
-        a, n = int(words.first[k]), int(words.count[k])
-        m = min(n, window)
-        for i in range(a, a + n - m + 1 if n else a):
-            by.setdefault(m, {}).setdefault(words.joined(i, i + m), (words.hash[i : i + m], set()))[1].add(item)
-    return [(WuManber(list(p), np.stack([h for h, _ in p.values()])), [sorted(s, key=str) for _, s in p.values()]) for m, p in sorted(by.items())]
-
-
-def _item_blocks(items: DataFrame, limit: int) -> Iterator[tuple[list, list[str]]]:
-    """Items in blocks of at most ``limit`` bytes (or one longer item), one block at a time on the driver."""
-    size = F.octet_length("text")
-    k = 1
+        return place, which
+
+    def owned(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``which``, item) for every item of these sequences."""
+        many = self.owners[which]
+        return np.repeat(np.arange(len(which)), many), self.owner[gather(self.owners_from[which], many)]
+
+
+def _searchers(texts: pa.Array, window: int) -> list[WuManber]:
+    """One for each length: ``window``, and the lengths of shorter items."""
+    words = Words(texts, ALNUM, lower=True)
+    length = np.minimum(words.count, window)
+    out = []
+    for m in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == m)
+        many = words.count[own] - m + 1
+        out.append(WuManber(words, gather(words.first[own], many), np.repeat(own, many), m))
+    return out
+
+
+def _item_blocks(items: DataFrame, limit: int) -> Iterator[pa.Table]:
+    """Distinct items in blocks of at most ``limit`` bytes (or one longer item); one block at a time on the driver."""
+    at, k = F.xxhash64("item", "text"), 1
     while True:
-        sizes = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(k)).alias("b")).agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n")).collect()
-        if all(r["s"] <= limit or r["n"] == 1 for r in sizes):
+        sizes = items.groupBy(F.pmod(at, F.lit(k)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.lit(1)).alias("n"), F.count_distinct(at).alias("d")).collect()
+        # Rows of one hash can't be parted further.
+        if all(r["s"] <= limit or r["d"] == 1 for r in sizes):
             break
         k *= 2
     for r in sorted(sizes, key=lambda r: r["b"]):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(k)) == r["b"]).collect()
-        yield [x["item"] for x in rows], [x["text"] for x in rows]
+        yield items.where(F.pmod(at, F.lit(k)) == r["b"]).toArrow()
 
 
 def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -107,9 +141,12 @@ def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     (words in them) and ``items`` (identifiers of the items that occur, sorted as strings).
 
     An occurrence is one of ``window`` consecutive words of an item, or all words of a shorter one.  Null or empty
-    texts have no words, hence no occurrence; items without words never occur; repeated rows and items all count.
-    Nothing is shuffled: each block of items, whose bytes are checked against ``limit``, is sent to all tasks, and
-    documents pass one block after the other.  Input columns called like the new ones are replaced.
+    texts have no words, hence no occurrence; items without words never occur; repeated rows and items all count, and
+    an identifier with several texts has all of them; very long texts are searched whole; without documents or items
+    there are no occurrences.  Nothing is shuffled: a block of items, whose bytes are checked against ``limit``, is
+    indexed as numpy arrays and sent to all tasks.  More items take more passes over the documents: the result of a
+    pass is written before the next block is fetched, so driver and tasks hold one block at a time.  Input columns
+    called like the new ones are replaced.
     """
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "hits", "items"]
@@ -118,42 +155,53 @@ def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     kind = listed.schema["item"].dataType
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(kind))])
     out = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(schema["hits"].dataType).alias("hits"), F.array().cast(schema["items"].dataType).alias("items"))
-    blocks = list(_item_blocks(listed, limit)) or [([], [])]
-    for ids, texts in blocks:
-        sent = spark.sparkContext.broadcast(_patterns(ids, texts, window))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, text):
-                words = Words(batch.column(text), ALNUM, lower=True)
-                edges = np.zeros(len(words.hash) + 1, np.int64)
-                met: dict[int, set] = {}
-                old = batch.column("hits")
-                for d, spans in enumerate(old.to_pylist()):
-                    for s in spans or ():
-                        edges[words.first[d] + s["start"]] += 1
-                        edges[words.first[d] + s["end"]] -= 1
-                for searcher, owners in sent.value:
-                    place, which = searcher.find(words)
-                    np.add.at(edges, place, 1)
-                    np.subtract.at(edges, place + searcher.m, 1)
-                    doc = np.searchsorted(words.first, place, "right") - 1
-                    for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-                        met.setdefault(d, set()).update(owners[w])
-                hit = np.cumsum(edges[:-1]) > 0
-                doc = np.repeat(np.arange(len(batch)), words.count)
-                begin, end = hit.copy(), hit.copy()
-                begin[1:] &= ~(hit[:-1] & (doc[1:] == doc[:-1]))
-                end[:-1] &= ~(hit[1:] & (doc[1:] == doc[:-1]))
-                b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-                of = doc[b]
-                spans = pa.StructArray.from_arrays([pa.array(b - words.first[of]), pa.array(e - words.first[of])], ["start", "end"])
-                at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(batch))))), pa.int32())
-                before = batch.column("items").to_pylist()
-                names = [sorted(met.get(d, set()) | set(before[d] or ()), key=str) for d in range(len(batch))]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(words.count, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(batch)), pa.int64()), pa.ListArray.from_arrays(at, spans), pa.array(names, batch.schema.field("items").type)],
-                    [*keep, *new],
-                )
-
-        out = out.mapInArrow(run, schema)
-    return out
+    sent = None
+    for block in _item_blocks(listed, limit):
+        if sent:
+            done, last = written(out, "pass"), out
+            dropped(last)
+            sent.destroy()
+            out = done
+        sent = spark.sparkContext.broadcast((block.column("item").to_pylist(), _searchers(block.column("text").combine_chunks(), window)))
+        out = viewed(_pass(out, text, keep, schema, sent), out)
+    return out if sent else _pass(out, text, keep, schema, spark.sparkContext.broadcast(([], [])))
+
+
+def _pass(docs: DataFrame, text: str, keep: list[str], schema: T.StructType, sent) -> DataFrame:
+    """Adds the occurrences of one block of items to those found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, searchers = sent.value
+        for batch in sliced(batches, text):
+            words = Words(batch.column(text), ALNUM, lower=True)
+            edges = np.zeros(len(words.hash) + 1, np.int64)
+            met = {d: set(old) for d, old in enumerate(batch.column("items").to_pylist()) if old}
+            for d, spans in enumerate(batch.column("hits").to_pylist()):
+                for s in spans or ():
+                    edges[words.first[d] + s["start"]] += 1
+                    edges[words.first[d] + s["end"]] -= 1
+            for searcher in searchers:
+                place, which = searcher.find(words)
+                np.add.at(edges, place, 1)
+                np.subtract.at(edges, place + searcher.m, 1)
+                doc = np.searchsorted(words.first, place, "right") - 1
+                pairs = np.unique(np.stack((doc, which), 1), axis=0)
+                at, item = searcher.owned(pairs[:, 1])
+                for d, i in zip(pairs[at, 0].tolist(), item.tolist(), strict=True):
+                    met.setdefault(d, set()).add(names[i])
+            hit = np.cumsum(edges[:-1]) > 0
+            doc = np.repeat(np.arange(len(batch)), words.count)
+            begin, end = hit.copy(), hit.copy()
+            begin[1:] &= ~(hit[:-1] & (doc[1:] == doc[:-1]))
+            end[:-1] &= ~(hit[1:] & (doc[1:] == doc[:-1]))
+            b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+            of = doc[b]
+            spans = pa.StructArray.from_arrays([pa.array(b - words.first[of]), pa.array(e - words.first[of])], ["start", "end"])
+            at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(batch))))), pa.int32())
+            found = [sorted(met.get(d, ()), key=str) for d in range(len(batch))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(words.count, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(batch)), pa.int64()), pa.ListArray.from_arrays(at, spans), pa.array(found, batch.schema.field("items").type)],
+                schema.names,
+            )
+
+    return docs.mapInArrow(run, schema)

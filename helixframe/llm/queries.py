@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, substring, token_io, toxicity
+from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, sql, substring, token_io, toxicity
 from ._io import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,26 +30,6 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns, "conv_id", ["turn", "step"]), "conv_id")
 
 
-def _op1_sql() -> str:
-    escaped = "replace({}, '\\', '\\\\')"
-    for c in sorted(chat.CHATML.controls, key=len, reverse=True):
-        escaped = f"replace({escaped}, '{c}', '{c[0]}\\{c[1:]}')"
-    around = len(chat.CHATML.open) - len("{role}") + len(chat.CHATML.close)
-    role, text = escaped.format("role"), escaped.format("text")
-    return f"""
-WITH t AS (
-  SELECT conv_id, turn, 0 AS step, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 0, 1, 'assistant', '</s>[INST] ok [/INST]'
-), g AS (
-  SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, step, role, text) AS said,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, step, role, text), '') AS loss,
-    sum({around} + length({role}) + length({text})) AS formatted_chars
-  FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-  CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
@@ -66,30 +46,6 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _op3_sql() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.KNOWN.items())
-    steps, seq, names = [], "seq0", []
-    for i, (name, ids) in enumerate(license_scan.RULES):
-        pattern = license_scan.rule_pattern(ids)
-        single = f"replace({seq}, ';', ';;')" if len(ids) == 1 else seq
-        v = f"list_transform(regexp_extract_all({single}, '{pattern}', 1), lambda v: replace('{name}', '{{v}}', v))"
-        steps.append(f"r{i} AS (SELECT *, {v} AS l{i}, regexp_replace(regexp_replace({single}, '{pattern}', ';', 'g'), ';+', ';', 'g') AS seq{i + 1} FROM r{i - 1})")
-        seq, names = f"seq{i + 1}", [*names, f"l{i}"]
-    return f"""
-WITH known(key, name) AS (VALUES {known}),
-lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
-each AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM lines),
-flat AS (SELECT doc_id, i, regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g') AS f FROM each WHERE regexp_matches(lower(s), '{license_scan.TRIGGERS}')),
-ids AS (SELECT doc_id, i, name || '@' || regexp_extract(f, '({license_scan._NUMBER})', 1) AS id FROM flat
-  JOIN known ON key = trim(regexp_replace(regexp_replace(f, '{license_scan._NUMBER}', '#', 'g'), '[. ]+$', ''), ' ')),
-grouped AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS sentence_ids, ';' || string_agg(id, ';' ORDER BY i) || ';' AS seq0 FROM ids GROUP BY doc_id),
-{", ".join(s.replace("FROM r-1", "FROM grouped") for s in steps)}
-SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
-  coalesce(array_to_string({"list_concat(" * (len(names) - 1) + names[0] + "".join(f", {x})" for x in names[1:])}, ','), '') AS licenses,
-  coalesce(len(list_filter(string_split({seq}, ';'), lambda x: x <> '')), 0) AS n_unmatched
-FROM documents d LEFT JOIN r{len(names) - 1} r ON d.doc_id = r.doc_id"""
-
-
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -115,7 +71,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = sharding.assign_shards(docs, "doc_id", (1.0,) * shards)
+    placed = sharding.assign_shards(docs, "doc_id", (1.0,) * shards, ties=["size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.rendezvous_shard(F.col("doc_id"), (1.0,) * (shards + 1)).alias("grown_shard"))
 
 
@@ -154,4 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": _op1_sql(), "op3_license_scan": _op3_sql()}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": sql.op1_sql(),
+    "op3_license_scan": sql.op3_sql(),
+    "op5_ngram_join": sql.op5_sql(3, 90),
+    "op6_decontaminate": sql.op6_sql(decontaminate.WINDOW),
+    "op7_rendezvous_shards": sql.op7_sql(24),
+    "op8_substring_dedup": sql.op8_sql(substring.WINDOW),
+}

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a shard are numbered within this many sub-groups, so that no task sorts a whole shard.
-SLOT_BUCKETS = 256
+#: Hex digits of the hash that parts a shard into sub-groups (16 for each digit), so that no task sorts a whole shard.
+BUCKET_DIGITS = 3
 
 
 def _draw(key: Column, shard: int) -> Column:
@@ -40,24 +40,28 @@ def assign_shards(
     weights: Sequence[float] = (1.0,) * 24,
     shard: str = "shard",
     slot: str = "slot",
-    buckets: int = SLOT_BUCKETS,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Adds the shard of each row and a slot: 0, 1, 2... without gaps within the shard.
 
-    Rows are numbered inside (shard, bucket of the key) groups; a table of shards x buckets counts, whose size doesn't
-    depend on the data, gives the offsets.  A repeated key keeps all its rows, in slots side by side; an empty table
-    gives an empty one.  Input columns called like the new ones are replaced.
+    Rows are numbered inside (shard, bucket) groups, in the order of key and ``ties``; a bucket is a hash of these
+    columns, so rows of one key are spread over buckets where ``ties`` differ.  A table of shards x 4096 counts, whose
+    size doesn't depend on the data, gives the offsets.  Rows that agree in key and ties can't be told apart: they have
+    neighbouring slots, in no order.  A null key counts as the empty one; long texts aren't read; an empty table gives
+    an empty one.  Input columns called like the new ones are replaced.
     """
     from pyspark.sql import Window as W
 
+    order = [F.col(key), *map(F.col, ties)]
     placed = df.drop(shard, slot).withColumn(shard, rendezvous_shard(F.col(key), weights))
-    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    told = F.concat_ws("|", *(c.cast("string") for c in order))
+    placed = placed.withColumn("_bucket", F.substring(F.md5(told.cast("binary")), 1, BUCKET_DIGITS))
     counts = placed.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = W.partitionBy(shard, "_bucket").orderBy(F.col(key))
+    inside = W.partitionBy(shard, "_bucket").orderBy(*order)
     numbered = placed.withColumn("_place", F.row_number().over(inside) - 1)
-    # At most len(weights) * buckets rows: safe to broadcast at any data size.
+    # At most len(weights) * 4096 rows: safe to broadcast at any data size.
     return (
         numbered.join(F.broadcast(offsets), [shard, "_bucket"])
         .withColumn(slot, (F.col("_from") + F.col("_place")).cast("long"))
