@@ -114,6 +114,14 @@ class Words:
         return b" ".join(self.text(i) for i in range(first, last))
 
 
+def numbered(words: Words, member: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal for equal words (byte by byte), and the distinct words."""
+    raw = words.buf[member[words.buf]]
+    ends = np.concatenate(([0], np.cumsum(words.end - words.start)))
+    told = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+    return told.indices.to_numpy(zero_copy_only=False).astype(np.int64), told.dictionary
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive entries: position i stands for i..i+k-1."""
     n = len(hashes) - k + 1

@@ -243,9 +243,11 @@ def test_sharding(spark):
     assert sharding.assign_shards(repeated, "id").select("shard", "slot").distinct().count() == 3
 
 
-@pytest.mark.parametrize("hot", [500, 5])
+@pytest.mark.parametrize("hot", [500, 5, 0])
 def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "HOT", hot or 5)
+    for name in () if hot else ("BROADCAST_ROWS", "BROADCAST_RANGES", "BROADCAST_IDS"):
+        monkeypatch.setattr(substring, name, -1)  # everything is shuffled
     rows = prose(7, 120)
     first = {}
     tokens = [(i, WORD.findall(t or "")) for i, t in rows]
@@ -317,3 +319,33 @@ def test_words_at_text_edges():
 
 def test_digest_of_loss():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_fm_index_matching_statistics():
+    r = np.random.default_rng(3)
+    passages = [r.integers(0, 12, r.integers(3, 40)) for _ in range(60)]
+    sizes, owners = np.array([len(p) for p in passages]), r.permutation(60)
+    index = substring.FmIndex(np.concatenate(passages), sizes, owners, 16)
+    streamed = [*passages[:10], *(r.integers(-1, 14, 30) for _ in range(10))]
+    flat = np.concatenate(streamed)
+    first = np.repeat(np.cumsum([len(p) for p in streamed]) - [len(p) for p in streamed], [len(p) for p in streamed])
+    length, low, high = index.matching_statistics(flat, first, 8)
+    for j in range(len(flat)):
+        met = lambda m: [o for p, o in zip(passages, owners, strict=True) for i in range(len(p) - m + 1) if (p[i : i + m] == flat[j - m + 1 : j + 1]).all()]  # noqa: B023, E731
+        longest = max((m for m in range(1, min(8, j - first[j] + 1) + 1) if met(m)), default=0)
+        assert length[j] == longest
+        if longest:
+            assert high[j] - low[j] == len(met(longest)) and index.smallest_owner(low[j : j + 1], high[j : j + 1])[0] == min(met(longest))
+
+
+def test_wavelet_tree_is_compressed():
+    r = np.random.default_rng(4)
+    symbols = np.minimum(r.geometric(0.3, 5000), 200)
+    tree = substring.WaveletTree(symbols, 300)
+    p = np.bincount(symbols)[np.bincount(symbols) > 0] / 5000
+    assert sum(64 * len(b) for b in tree.bits) < 5000 * (1 - (p * np.log2(p)).sum()) + 64 * 300
+    at = r.integers(0, 5001, 400)
+    some = symbols[r.integers(0, 5000, 400)]
+    assert tree.rank(some, at).tolist() == [int((symbols[:a] == s).sum()) for s, a in zip(some, at, strict=True)]
+    one = substring.WaveletTree(np.zeros(5, np.int64), 1)
+    assert one.rank(np.zeros(2, np.int64), np.array([2, 5])).tolist() == [2, 5]
