@@ -105,32 +105,38 @@ class Weights:
             odds += F.when(v == 1, F.lit(math.log(a / (1 - b)))).when(v == -1, F.lit(math.log((1 - a) / b))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
+    def probability(self, votes: tuple[int, ...]) -> float:
+        """``posterior`` of one pattern."""
+        odds = math.log(self.prior / (1 - self.prior))
+        for v, a, b in zip(votes, self.good, self.bad, strict=True):
+            odds += math.log(a / (1 - b)) if v == 1 else math.log((1 - a) / b) if v == -1 else 0.0
+        return 1 / (1 + math.exp(-odds))
+
 
 def learned(votes: DataFrame, columns: list[str], rounds: int = 20) -> Weights:
     """Expectation-maximisation over all rows.
 
-    Rows are first counted by their votes: at most 3 ** rules patterns, whatever the number of rows.  A round is one
-    aggregation over these counts.  Five pseudo-votes at 0.8 smooth each accuracy, so no rule becomes certain; an empty
-    table keeps the starting values.
+    One aggregation counts the rows by their votes: at most 3 ** rules patterns, whatever the number of rows.  The
+    rounds are arithmetic over these counts.  Five pseudo-votes at 0.8 on either side smooth each accuracy, so no rule
+    becomes certain; an empty table keeps the starting values.
     """
-    patterns = written(votes.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).coalesce(1), "votes")
-    each = [F.col(c) for c in columns]
-    now = Weights(0.7, (0.8,) * len(columns), (0.8,) * len(columns))
-    for _ in range(rounds):
-        told = patterns.withColumn("_p", now.posterior(each))
-        good, bad = F.col("_n") * F.col("_p"), F.col("_n") * (1 - F.col("_p"))
-        sums = [F.sum("_n"), F.sum(good)]
-        for v in each:
-            sums += [F.sum(F.when(v == 1, good)), F.sum(F.when(v != 0, good)), F.sum(F.when(v == -1, bad)), F.sum(F.when(v != 0, bad))]
-        n, p, *rest = (float(x or 0) for x in told.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first())
-        if not n:
-            return now
-        rate = lambda hit, all_: (hit + 8) / (all_ + 10)
-        then = Weights(
-            min(max(p / n, 0.05), 0.95),
-            tuple(rate(rest[i], rest[i + 1]) for i in range(0, len(rest), 4)),
-            tuple(rate(rest[i + 2], rest[i + 3]) for i in range(0, len(rest), 4)),
-        )
+    patterns = [(r["_n"], tuple(r[c] for c in columns)) for r in votes.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).collect()]
+    return fitted(sorted(patterns, key=lambda p: p[1]), len(columns), rounds)
+
+
+def fitted(patterns: list[tuple[int, tuple[int, ...]]], rules: int, rounds: int = 20) -> Weights:
+    """``learned`` from (rows, votes) patterns."""
+    now, total = Weights(0.7, (0.8,) * rules, (0.8,) * rules), sum(n for n, _ in patterns)
+    for _ in range(rounds if total else 0):
+        good = [n * now.probability(v) for n, v in patterns]
+        bad = [n - g for (n, _), g in zip(patterns, good, strict=True)]
+
+        def rate(i: int, side: int, mass: list[float]) -> float:
+            hit = sum(m for m, (_, v) in zip(mass, patterns, strict=True) if v[i] == side)
+            voted = sum(m for m, (_, v) in zip(mass, patterns, strict=True) if v[i])
+            return (hit + 8) / (voted + 10)
+
+        then = Weights(min(max(sum(good) / total, 0.05), 0.95), tuple(rate(i, 1, good) for i in range(rules)), tuple(rate(i, -1, bad) for i in range(rules)))
         moved = max(abs(a - b) for a, b in zip((then.prior, *then.good, *then.bad), (now.prior, *now.good, *now.bad), strict=True))
         now = then
         if moved < 1e-4:

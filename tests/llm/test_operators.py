@@ -1,7 +1,6 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empty and repeated rows, ties,
 clashing columns and empty tables."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -64,30 +63,85 @@ def test_fingerprint_ignores_order():
     assert chat.fingerprint(chat.field_paths({"a": 1, "b": [{"c": 2}, {"d": 3}]})) == chat.fingerprint(chat.field_paths({"b": [{"d": 0, "c": 0}], "a": ""}))
 
 
-def test_toxicity_learns_pairs_and_holds_out(spark):
+@pytest.mark.parametrize("xor", [False, True])
+def test_toxicity_learns_pairs_and_holds_out(spark, xor):
     r = random.Random(1)
     rows, labels = [], []
-    for i in range(1200):
+    for i in range(2000):
         words = [f"n{r.randrange(40)}" for _ in range(8)]
         insult, group = r.random() < 0.5, r.random() < 0.5
         rows.append((i, " ".join(words + ["insultum"] * insult + ["groupus"] * group)))
-        labels.append((i, int(insult and group)))
-    scored = toxicity.toxicity_scores(docs(spark, rows + [(9001, None), (9002, "")]), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
+        labels.append((i, int((insult != group) if xor else (insult and group))))
+    more = [(9001, None), (9002, ""), (9003, "x " * 50_000), (3, rows[3][1])]
+    scored = toxicity.toxicity_scores(docs(spark, rows + more).withColumn("score", F.lit("clash")), spark.createDataFrame(labels + labels[:9] + [(5, None), (None, 1)], "doc_id long, toxic int")).toPandas()
     truth = dict(labels)
     held = scored[scored.held_out & scored.doc_id.isin(truth)]
     assert (held.predicted == held.doc_id.map(truth)).mean() > 0.95
-    assert ((scored.score >= 0) & (scored.score <= 1)).all() and len(scored) == 1202
+    assert ((scored.score >= 0) & (scored.score <= 1)).all() and len(scored) == 2004
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) == h for i, h in zip(scored.doc_id, scored.held_out, strict=True))
     none = toxicity.toxicity_scores(docs(spark, rows[:3]), spark.createDataFrame([], "doc_id long, toxic int")).toPandas()
     assert (none.score == 0.5).all()
+    assert toxicity.toxicity_scores(docs(spark, rows[:3]).limit(0), spark.createDataFrame(labels[:9], "doc_id long, toxic int")).count() == 0
+
+
+def test_factorization_machine_sums_all_pairs():
+    r = np.random.default_rng(2)
+    place = np.full(toxicity.BUCKETS, -1, np.int32)
+    texts = ["a b c d", "", None, "a a a stupidity", "z"]
+    buckets, of = toxicity._terms(pa.array(texts))
+    known = np.unique(buckets)[:-1]
+    place[known] = np.arange(len(known))
+    m = toxicity.FactorizationMachine(0.3, r.normal(size=len(known)), r.normal(size=(len(known), 3)), place)
+    for i, score in enumerate(m.scores(pa.array(texts))):
+        rows = [place[b] for b, t in zip(buckets, of, strict=True) if t == i and place[b] >= 0]
+        logit = 0.3 + sum(m.linear[x] for x in rows) + sum(float(m.factors[x] @ m.factors[y]) for k, x in enumerate(rows) for y in rows[:k])
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def brute_licenses(ids):
+    """Rules in order over a list of id@version, by position and with marks of what is used."""
+    used, names = [False] * len(ids), []
+    for name, rule in license_scan.RULES:
+        i = 0
+        while i < len(ids):
+            j, ok = i, True
+            for k in rule:
+                if j < len(ids) and not used[j] and ids[j].split("@")[0] == k.rstrip("?"):
+                    j += 1
+                elif not k.endswith("?"):
+                    ok = False
+                    break
+            if ok:
+                names.append(name.replace("{v}", ids[i].split("@")[1]))
+                used[i:j] = [True] * (j - i)
+                i = j
+            else:
+                i += 1
+    return names, used.count(False)
 
 
 def test_license_rules(spark):
-    mit = "\n".join(license_scan.SENTENCES["mit-grant"] + license_scan.SENTENCES["mit-notice"])
-    rows = [(1, "Intro.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, mit), (3, "All rights reserved. All rights reserved."), (4, None), (5, "")]
-    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
-    assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["All-rights-reserved"] * 2, 4: [], 5: []}
-    assert all(re.search(license_scan.TRIGGERS, s.lower()) for each in license_scan.SENTENCES.values() for s in each)
+    S = license_scan.SENTENCES
+    mit = S["mit-grant"] + S["mit-notice"]
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with\n#  the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software distributed\n# under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR\n# CONDITIONS OF ANY KIND, either express or implied."
+    wrapped = "\n * ".join(re.sub(r"(.{30}\S*) ", r"\1\n * ", x) for x in mit)
+    texts = {
+        1: ("Intro.\nLicensed under the Apache License, Version 2.0.\nmore", ["Apache-2.0"], 0), 2: ("\n".join(mit), ["MIT"], 0), 3: ("All rights reserved. All rights reserved.", ["All-rights-reserved"] * 2, 0),
+        4: (None, [], 0), 5: ("", [], 0), 6: ("\n".join(mit + mit), ["MIT", "MIT"], 0), 7: ("\n".join([*S["mit-grant"], *S["bsd-use"], *S["bsd-as-is"], *S["mit-notice"]]), ["BSD-2-Clause"], 2),
+        8: (apache, ["Apache-2.0"], 0), 9: (wrapped, ["MIT"], 0), 10: ("// SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"], 0), 11: ("word " * 50_000 + "\n\nReleased under the MIT License.", ["MIT"], 0),
+        12: ("Licensed under CC BY 4.0\nand more words here", ["CC-BY-4.0"], 0),
+    }
+    rows = [(i, t) for i, (t, _, _) in texts.items()]
+    r = random.Random(6)
+    every = [s for each in S.values() for s in each]
+    rows += [(100 + i, r.choice(["\n", " ", "\n\n"]).join(r.choice(every) for _ in range(r.randint(1, 9)))) for i in range(150)]
+    out = license_scan.scan_licenses(docs(spark, rows + rows[:2]).withColumn("licenses", F.lit("clash"))).collect()
+    assert len(out) == len(rows) + 2
+    got = {x["doc_id"]: (x["licenses"], x["n_unmatched"]) for x in out}
+    assert {i: got[i] for i in texts} == {i: (names, n) for i, (_, names, n) in texts.items()}
+    assert all(got[x["doc_id"]] == brute_licenses(x["sentence_ids"]) for x in out)
+    assert all(re.search(license_scan.TRIGGERS, s.lower()) for s in every)
+    assert license_scan.scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
 def measures(t):
@@ -195,74 +249,95 @@ def test_prefix_tree_keeps_every_link(percent):
         assert set(tree.candidates(s, entry, rule)) == want
 
 
-def test_decontamination(spark):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    r = random.Random(4)
-    voc = [f"v{i}" for i in range(30)]
-    items = [(i, " ".join(r.choices(voc, k=r.randint(1, 25)))) for i in range(12)] + [(50, None), (51, ""), (52, "Solo"), (53, "solo")]
-    rows = [(1, None), (2, ""), (3, "SOLO, solo!")]
-    for i in range(10, 80):
-        w = r.choices(voc, k=r.randint(0, 30))
-        if r.random() < 0.4:
-            w += (r.choice(items)[1] or "").upper().split()
-        rows.append((i, "; ".join(w)))
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_hits(rows, items):
     windows = {}
     for i, t in items:
-        w = word.findall(lower(t or ""))
+        w = ALNUM.findall(lower(t or ""))
         m = min(len(w), 10)
         for k in range(len(w) - m + 1 if w else 0):
             windows.setdefault(tuple(w[k : k + m]), set()).add(i)
     want = {}
     for i, t in rows:
-        w = word.findall(lower(t or ""))
+        w = ALNUM.findall(lower(t or ""))
         hit, met = np.zeros(len(w), bool), set()
-        for p, own in windows.items():
-            for k in range(len(w) - len(p) + 1):
-                if tuple(w[k : k + len(p)]) == p:
-                    hit[k : k + len(p)] = True
+        for m in {len(p) for p in windows}:
+            for k in range(len(w) - m + 1):
+                if (own := windows.get(tuple(w[k : k + m]))) is not None:
+                    hit[k : k + m] = True
                     met |= own
         want[i] = (len(w), int(hit.sum()), sorted(met, key=str))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontaminate.MAX_ITEM_BYTES, 200):
-        out = decontaminate.search_items(docs(spark, rows), bench, limit=limit).collect()
+    return want
+
+
+def test_decontamination(spark):
+    r = random.Random(4)
+    voc = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(r.choices(voc, k=r.randint(1, 25)))) for i in range(12)] + [(50, None), (51, ""), (52, "Solo"), (53, "solo"), (3, "another text of item three"), (None, "no name at all"), (None, "no name again")]
+    rows = [(1, None), (2, ""), (3, "SOLO, solo!"), (4, "No name at all; " + "v1 " * 20_000), (4, "No name at all; " + "v1 " * 20_000)]
+    for i in range(10, 80):
+        w = r.choices(voc, k=r.randint(0, 30))
+        if r.random() < 0.4:
+            w += (r.choice(items)[1] or "").upper().split()
+        rows.append((i, "; ".join(w)))
+    want, bench = brute_hits(rows, items), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.MAX_ITEM_BYTES, 200, 20):
+        out = decontaminate.search_items(docs(spark, rows).withColumn("n_hit", F.lit("clash")), bench, limit=limit).collect()
+        assert len(out) == len(rows)
         assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in out} == want
         assert all(sum(s["end"] - s["start"] for s in x["hits"]) == x["n_hit"] for x in out)
     assert decontaminate.search_items(docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.search_items(docs(spark, rows).limit(0), bench).count() == 0
 
 
 def test_sharding(spark):
+    import hashlib
+
+    def draw(k, s):
+        return (int(hashlib.md5(f"{k}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
     frame = spark.range(3000).withColumn("slot", F.lit("clash"))
     one = {r["id"]: (r["shard"], r["slot"]) for r in sharding.assign_shards(frame, "id", (1.0,) * 5).collect()}
     more = {r["id"]: r["shard"] for r in sharding.assign_shards(frame, "id", (1.0,) * 6).collect()}
+    assert all(s == max(range(5), key=lambda j: draw(i, j)) for i, (s, _) in one.items())
     assert all(more[i] in (s, 5) for i, (s, _) in one.items()) and any(s == 5 for s in more.values())
     for shard in range(5):
         assert sorted(t for s, t in one.values() if s == shard) == list(range(sum(s == shard for s, _ in one.values())))
-    weighted = Counter(r["shard"] for r in sharding.assign_shards(frame, "id", (1.0, 3.0, 0.0)).collect())
-    assert 0.2 < weighted[0] / 3000 < 0.3 and weighted[2] == 0
-    repeated = spark.createDataFrame([(1,), (1,), (None,)], "id long")
-    assert sharding.assign_shards(repeated, "id").select("shard", "slot").distinct().count() == 3
-
-
-@pytest.mark.parametrize("hot", [500, 5, 0])
-def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot or 5)
-    for name in () if hot else ("BROADCAST_ROWS", "BROADCAST_RANGES", "BROADCAST_IDS"):
-        monkeypatch.setattr(substring, name, -1)  # everything is shuffled
-    rows = prose(7, 120)
-    first = {}
-    tokens = [(i, WORD.findall(t or "")) for i, t in rows]
+    weighted = {r["id"]: r["shard"] for r in sharding.assign_shards(frame, "id", (1.0, 3.0, 0.0)).collect()}
+    assert all(s == max((0, 1), key=lambda j: -(1.0, 3.0)[j] / np.log(draw(i, j))) for i, s in weighted.items())
+    assert 0.2 < Counter(weighted.values())[0] / 3000 < 0.3
+    repeated = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (None, None)], "id long, t string")
+    slots = {n: [(r["id"], r["t"], r["shard"], r["slot"]) for r in sharding.assign_shards(repeated.repartition(n), "id", ties=["t"]).collect()] for n in (1, 3)}
+    assert sorted(map(str, slots[1])) == sorted(map(str, slots[3])) and len({x[2:] for x in slots[1]}) == 4
+    assert sharding.assign_shards(frame.limit(0), "id").count() == 0
+
+
+def brute_repeats(rows):
+    """(key, words, words removed, words kept) of each row."""
+    first, tokens = {}, [(i, WORD.findall(t or "")) for i, t in rows]
     for i, w in tokens:
         for k in range(len(w) - 12):
             first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
-    want = []
+    out = []
     for i, w in tokens:
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 12):
             if first[tuple(w[k : k + 13])] < i:
                 gone[k : k + 13] = True
-        want.append((i, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+        out.append((i, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [500, 5, 0])
+def test_substring_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot or 5)
+    for name in () if hot else ("BROADCAST_ROWS", "BROADCAST_RANGES", "BROADCAST_IDS"):
+        monkeypatch.setattr(substring, name, -1)  # everything is shuffled
+    rows = prose(7, 120)
     out = substring.without_repeats(docs(spark, rows).withColumn("n_removed", F.lit("clash"))).collect()
-    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == sorted(want)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == sorted(brute_repeats(rows))
     assert substring.without_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -317,10 +392,6 @@ def test_words_at_text_edges():
     assert [b.num_rows for b in sliced([batch], "t", 4)] == [1, 3, 1]
 
 
-def test_digest_of_loss():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-
-
 def test_fm_index_matching_statistics():
     r = np.random.default_rng(3)
     passages = [r.integers(0, 12, r.integers(3, 40)) for _ in range(60)]
