@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,11 @@ POSITION_WEIGHTS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value``, computed once a row even where ``body`` names it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def gc_content(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, (F.length(seq) - F.length(F.regexp_replace(F.upper(seq), "[GC]", ""))) / F.length(seq)).otherwise(0.0)
 
@@ -35,18 +42,25 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def gc_windows(df: DataFrame, width: int = 200, step: int = 100, least: float = 0.6) -> DataFrame:
-    """Full windows with a GC content of at least ``least``: (gene, start, gc)."""
-    starts = F.when(F.length("seq") >= width, F.sequence(F.lit(0), F.length("seq") - width, F.lit(step)))
-    rows = df.select("gene", "seq", F.explode(starts).alias("start"))
-    return rows.select("gene", "start", gc_content(F.substring("seq", F.col("start") + 1, F.lit(width))).alias("gc")).where(F.col("gc") >= least)
+    """Full windows with a GC content of at least ``least``: (gene, start, gc).
+
+    A text is cut once into blocks as long as the largest common divisor of width and step; a window adds the counts of
+    its blocks.
+    """
+    block = math.gcd(width, step)
+    m = width // block
+    rows = df.select("gene", F.transform(F.regexp_extract_all("seq", F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda b: F.length(F.regexp_replace(F.upper(b), "[^GC]", ""))).alias("_g"))
+    starts = F.when(F.size("_g") >= m, F.sequence(F.lit(0), F.size("_g") - m, F.lit(step // block)))
+    count = lambda i: F.aggregate(F.slice("_g", i + 1, m), F.lit(0), lambda s, x: s + x)
+    each = rows.select("gene", F.explode(F.transform(starts, lambda i: F.struct((i * block).alias("start"), (count(i) / width).alias("gc")))).alias("w"))
+    return each.select("gene", "w.start", "w.gc").where(F.col("gc") >= least)
 
 
 def translate_dna(seq: Column) -> Column:
     """Codons from the first base; unknown ones are X; ends before a stop."""
     table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    n = F.floor(F.length(seq) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(table[F.upper(F.substring(seq, i * 3 + 1, F.lit(3)))], F.lit("X")))
-    return F.when(n > 0, F.substring_index(F.array_join(each, ""), "*", 1)).otherwise("")
+    codons = F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), F.lit(0))
+    return F.substring_index(F.array_join(F.transform(codons, lambda c: F.coalesce(table[c], F.lit("X"))), ""), "*", 1)
 
 
 def parse_protein_change(change: Column) -> Column:
@@ -74,11 +88,16 @@ def mutant_peptides(variants: DataFrame, proteins: DataFrame, lengths: tuple[int
     """
     rows = variants.join(proteins, "gene").withColumn("_p", parse_protein_change(F.col("change"))).where("_p IS NOT NULL")
     pos, n = F.col("_p.position"), F.length("seq")
-    rows = rows.where((pos >= 0) & (pos < n)).withColumn("_m", F.concat(F.substring("seq", F.lit(1), pos), F.col("_p.aa"), F.substring("seq", pos + 2, n)))
+    # Only the part of the protein that a window can reach travels on.
+    reach = max(lengths) - 1
+    base = F.greatest(F.lit(0), pos - reach)
+    rows = rows.where((pos >= 0) & (pos < n)).select("gene", "change", pos.alias("pos"), F.col("_p.aa").alias("aa"), n.alias("n"), base.alias("base"), F.substring("seq", base + 1, pos - base + reach + 1).alias("seq"))
+    pos, n, at = F.col("pos"), F.col("n"), F.col("pos") - F.col("base")
+    rows = rows.withColumn("_m", F.concat(F.substring("seq", F.lit(1), at), F.col("aa"), F.substring("seq", at + 2, F.lit(reach))))
     rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
     lo, hi = F.greatest(F.lit(0), pos - F.col("length") + 1), F.least(pos, n - F.col("length"))
     rows = rows.withColumn("start", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
-    cut = lambda c: F.substring(F.col(c), F.col("start") + 1, F.col("length"))
+    cut = lambda c: F.substring(F.col(c), F.col("start") - F.col("base") + 1, F.col("length"))
     return rows.select("gene", "change", "length", "start", cut("seq").alias("wt"), cut("_m").alias("mut")).where("wt <> mut")
 
 
@@ -95,14 +114,17 @@ def neoantigen_summary(candidates: DataFrame) -> DataFrame:
 
 
 def guides(df: DataFrame) -> DataFrame:
-    """20-base spacers before an NGG on both strands, without N: (gene, strand, position, spacer)."""
+    """20-base spacers before an NGG on both strands, without N: (gene, strand, position, spacer).
+
+    One pass of a pattern gives the spacers, one over the letters their places, in the same order.
+    """
     both = df.select("gene", F.upper("seq").alias("s"), F.lit("+").alias("strand")).union(df.select("gene", reverse_complement(F.col("seq")), F.lit("-")))
-    places = F.when(F.length("s") >= 23, F.sequence(F.lit(20), F.length("s") - 3))
-    # Only places with GG after them are exploded.
-    places = F.filter(places, lambda i: F.substring(F.col("s"), i + 2, F.lit(2)) == "GG")
-    rows = both.select("gene", "strand", "s", F.explode(places).alias("i")).withColumn("spacer", F.substring("s", F.col("i") - 19, F.lit(20)))
-    position = F.when(F.col("strand") == "+", F.col("i")).otherwise(F.length("s") - F.col("i"))
-    return rows.where(~F.col("spacer").contains("N")).select("gene", "strand", position.alias("position"), "spacer")
+    rows = both.select("gene", "strand", F.regexp_extract_all("s", F.lit("(?s)(?=(.{20}).GG)"), F.lit(1)).alias("spacers"), F.split("s", "").alias("b"), F.length("s").alias("n"))
+    inside = F.when(F.col("n") >= 23, F.sequence(F.lit(20), F.col("n") - 3))
+    places = _let(F.col("b"), lambda b: F.filter(inside, lambda i: (b[i + 1] == "G") & (b[i + 2] == "G")))
+    rows = rows.select("gene", "strand", "n", F.explode(F.arrays_zip(places.alias("i"), F.col("spacers").alias("spacer"))).alias("x"))
+    position = F.when(F.col("strand") == "+", F.col("x.i")).otherwise(F.col("n") - F.col("x.i"))
+    return rows.where(~F.col("x.spacer").contains("N")).select("gene", "strand", position.alias("position"), "x.spacer")
 
 
 def on_target(spacer: Column) -> Column:
@@ -121,7 +143,7 @@ def on_target(spacer: Column) -> Column:
 
 def off_target(spacer: Column) -> Column:
     n = F.length(spacer)
-    trimers = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(spacer, i, F.lit(3)))))
+    trimers = F.size(F.array_distinct(F.regexp_extract_all(spacer, F.lit("(?=(.{3}))"), F.lit(1))))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.3 + F.abs(gc_content(spacer) - 0.41) * 0.5 + F.when(trimers / (n - 2) < 0.5, 0.25).otherwise(0.0)))
 
 
@@ -147,16 +169,14 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 def point_mutants(df: DataFrame, mutants: int = 3) -> DataFrame:
     """Mutants with max(3, length / 100) changed bases, at the places with the smallest hashes: (gene, mutant, seq)."""
-    n = F.length("seq")
-    each = df.where(n > 0).select("gene", "seq", F.explode(F.sequence(F.lit(1), F.lit(mutants))).alias("mutant"))
+    each = df.where(F.length("seq") > 0).select("gene", F.split("seq", "").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(mutants))).alias("mutant"))
     draw = lambda i: F.md5(F.concat_ws("|", F.col("gene"), F.col("mutant").cast("string"), i.cast("string")).cast("binary"))
-    order = F.sort_array(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(draw(i).alias("h"), i.alias("i"))))
-    chosen = F.slice(order, F.lit(1), F.least(n, F.greatest(F.lit(3), F.floor(n / 100).cast("int"))))
-    each = each.withColumn("_c", F.map_from_entries(F.transform(chosen, lambda x: F.struct(x["i"], x["h"]))))
+    n = F.size("b")
+    draws = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(draw(i).alias("h"), i.alias("i")))
+    last = lambda d: F.element_at(F.sort_array(d), F.least(n, F.greatest(F.lit(3), F.floor(n / 100).cast("int"))))
     # The hash's first digit picks one of the three other bases: the next ones in the cycle A, C, G, T.
-    step = lambda i: F.conv(F.substring(F.col("_c")[i], 1, 1), 16, 10).cast("int") % 3 + 1
-    base = lambda i: F.substring(F.col("seq"), i, F.lit(1))
-    place = lambda i: F.when(base(i) == "A", 1).when(base(i) == "C", 2).when(base(i) == "G", 3).otherwise(4)
-    turned = lambda i: F.substring(F.lit("ACGTACGT"), place(i) + step(i), F.lit(1))
-    letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.col("_c")[i].isNotNull(), turned(i)).otherwise(base(i)))
+    step = lambda h: F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 3 + 1
+    place = lambda b: F.when(b == "A", 1).when(b == "C", 2).when(b == "G", 3).otherwise(4)
+    turned = lambda b, h: F.substring(F.lit("ACGTACGT"), place(b) + step(h), F.lit(1))
+    letters = _let(draws, lambda d: _let(last(d), lambda end: F.zip_with("b", d, lambda b, x: F.when(x <= end, turned(b, x["h"])).otherwise(b))))
     return each.select("gene", "mutant", F.array_join(letters, "").alias("seq"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 GENE_SYMBOL = "^[A-Z][A-Z0-9/-]*$"
 # Variant classes by impact.
 HIGH_IMPACT = ("Nonsense_Mutation", "Frame_Shift_Del", "Frame_Shift_Ins", "Splice_Site", "Translation_Start_Site", "Nonstop_Mutation")
@@ -171,16 +173,19 @@ def driver_profile(drivers: DataFrame, variants: DataFrame, n_patients: DataFram
     return drivers.join(mutation_frequency(variants, n_patients), "gene", "left").fillna(0.0, ["frequency"])
 
 
-def survival_by_mutation(clinical: DataFrame, mutated: Column, approx: bool = False) -> DataFrame:
-    mid = (lambda c: F.percentile_approx(c, 0.5, 10_000)) if approx else F.median
-    m, w = F.when(mutated, F.col("time")), F.when(~mutated, F.col("time"))
-    return clinical.agg(F.count(m).alias("n_mut"), F.count(w).alias("n_wt"), mid(m).alias("m"), mid(w).alias("w")).select(
-        "n_mut", "n_wt", F.round("m", 1).alias("median_mut"), F.round("w", 1).alias("median_wt"), F.round(F.col("m") / F.greatest(F.col("w"), F.lit(0.1)), 3).alias("ratio")
-    )
+def survival_by_mutation(clinical: DataFrame, mutated: Column) -> DataFrame:
+    """One row: patients and exact median time of each arm, and the ratio of the medians."""
+    arms = clinical.select(F.coalesce(mutated, F.lit(False)).alias("_arm"), "time").where("time IS NOT NULL")
+    mid = quantiles(arms, "time", [0.5], ["_arm"]).select("_arm", F.col("quantiles")[0].alias("_m"))
+    both = arms.groupBy("_arm").agg(F.count(F.lit(1)).alias("_n")).join(mid, "_arm")
+    pick = lambda c, arm: F.max(F.when(F.col("_arm") == arm, F.col(c)))
+    out = both.agg(F.coalesce(pick("_n", True), F.lit(0)).alias("n_mut"), F.coalesce(pick("_n", False), F.lit(0)).alias("n_wt"), pick("_m", True).alias("m"), pick("_m", False).alias("w"))
+    return out.select("n_mut", "n_wt", F.round("m", 1).alias("median_mut"), F.round("w", 1).alias("median_wt"), F.round(F.col("m") / F.greatest(F.col("w"), F.lit(0.1)), 3).alias("ratio"))
 
 
 def median_label(clinical: DataFrame) -> DataFrame:
-    return clinical.join(F.broadcast(clinical.agg(F.median("time").alias("_m")))).withColumn("label", (F.col("time") < F.col("_m")).cast("int")).drop("_m")
+    mid = quantiles(clinical, "time", [0.5]).select(F.col("quantiles")[0].alias("_m"))
+    return clinical.join(F.broadcast(mid)).withColumn("label", (F.col("time") < F.col("_m")).cast("int")).drop("_m")
 
 
 def row_features(assay: DataFrame) -> DataFrame:

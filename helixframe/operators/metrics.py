@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cohort import decision_quality
-from .normalisation import average_rank, quantile_cut
+from .normalisation import quantile_cut
+from .ranks import cumulative
+from .survival import normal_tail
 
 
 def drift(reference: Column, mutant: Column) -> Column:
@@ -89,11 +91,12 @@ def classification_metrics(rows: DataFrame, by: list[str], truth: str = "y", pre
 
 def roc_auc(rows: DataFrame, by: list[str], positive: str = "y", score: str = "p") -> DataFrame:
     """Rank statistic: share of (1, 0) pairs in order, ties half.  Null when a side is empty."""
-    keys = [*by, "_all"]
-    ranked = average_rank(rows.withColumn("_all", F.lit(1)), score, keys)
-    n1 = F.sum(positive)
-    u = F.sum(F.when(F.col(positive) == 1, F.col("rank"))) - n1 * (n1 + 1) / 2
-    return ranked.groupBy(*keys).agg(F.when((n1 > 0) & (F.count(F.lit(1)) > n1), u / (n1 * (F.count(F.lit(1)) - n1))).alias("auc")).drop("_all")
+    # Counts of each distinct score are all that the statistic needs.
+    cells = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(positive).alias("_p"))
+    ranked = cumulative(cells, by, [score], ["_n"]).withColumn("_rank", F.col("before__n") + (F.col("_n") + 1) / 2)
+    n1, n = F.sum("_p"), F.sum("_n")
+    u = F.sum(F.col("_p") * F.col("_rank")) - n1 * (n1 + 1) / 2
+    return ranked.groupBy(*by).agg(F.when((n1 > 0) & (n > n1), u / (n1 * (n - n1))).alias("auc"))
 
 
 def one_vs_rest_auc(members: DataFrame, truth: DataFrame, score: str = "p") -> DataFrame:
@@ -152,11 +155,17 @@ def returns_to_go(episodes: DataFrame, gamma: float, by: str = "episode", step:
 
 
 def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Signed ranks of a - b: n, W+ and the one-sided normal approximation z of "greater"."""
-    d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d")).withColumn("_all", F.lit(1))
-    sums = average_rank(d, "m", ["_all"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"))
+    """Signed ranks of a - b: n, W+, the one-sided normal approximation z of "greater", and its p.
+
+    Distinct absolute differences are counted, and the counts added up by ranges.  Without differences z and p are null.
+    """
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
+    cells = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("d") > 0).cast("long")).alias("_p"))
+    ranked = cumulative(cells, [], ["m"], ["_n"]).withColumn("_rank", F.col("before__n") + (F.col("_n") + 1) / 2)
+    sums = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_p") * F.col("_rank")), F.lit(0.0)).alias("w_plus"))
     n = F.col("n").cast("double")
-    return sums.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    z = F.when(n > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    return sums.withColumn("z", z).withColumn("p", normal_tail("z"))
 
 
 # Folds and samples: a hash of the key takes the place of a random generator.
@@ -171,7 +180,8 @@ def hashed(*parts: Column | str) -> Column:
 def stratified_folds(rows: DataFrame, k: int, key: str = "id", label: str = "y", seed: str = "0") -> DataFrame:
     """Fold numbers whose sizes differ by one at most within a class."""
     h = F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string")).cast("binary"))
-    return rows.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(h, key)) - 1) % k).cast("int"))
+    placed = cumulative(rows.withColumns({"_h": h, "_one": F.lit(1)}), [label], ["_h", key], ["_one"])
+    return placed.withColumn("fold", (F.col("before__one") % k).cast("int")).select(*rows.columns, "fold")
 
 
 def repeated_folds(rows: DataFrame, k: int, repeats: int, key: str = "id", label: str = "y") -> DataFrame:

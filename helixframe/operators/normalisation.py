@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import counted, quantiles
+
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
-    """Average rank of ``value`` within ``by``: equal values are counted first, so that a window sees each value once."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    """Average rank of ``value`` within ``by``: equal values are counted first, and counts are added up by ranges."""
+    ranks = counted(df, value, by).select(*by, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
@@ -25,22 +24,29 @@ def standard_scale(assay: DataFrame) -> DataFrame:
     return assay.join(moments, "gene").withColumn("value", (F.col("value") - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
 
 
+def _by_index(assay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counted values of each gene, and the mean over genes of the values with each index (from 0) in their gene."""
+    values = counted(assay, "value", ["gene"])
+    # Equal values take neighbouring indices.
+    each = values.select("value", F.explode(F.sequence("before__n", F.col("before__n") + F.col("_n") - 1)).alias("_i"))
+    return values, each.groupBy("_i").agg(F.avg("value").alias("_q"))
+
+
 def quantile_normalise(assay: DataFrame) -> DataFrame:
     """Each value becomes the mean, over genes, of the values with its (smallest) rank in its gene."""
-    by_gene = W.partitionBy("gene")
-    ranked = assay.withColumn("_i", F.row_number().over(by_gene.orderBy("value", "sample_id"))).withColumn("_r", F.rank().over(by_gene.orderBy("value")))
-    means = ranked.groupBy(F.col("_i").alias("_r")).agg(F.avg("value").alias("_q"))
-    return ranked.join(means, "_r").select("sample_id", "gene", F.col("_q").alias("value"))
+    values, means = _by_index(assay)
+    told = values.select("gene", "value", F.col("before__n").alias("_i")).join(means, "_i")
+    return assay.join(told, ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
 
 
 def quantile_normalise_to(source: DataFrame, reference: DataFrame) -> DataFrame:
     """Source values take the reference's quantile of their rank; over genes that both have."""
     common = source.select("gene").distinct().join(reference.select("gene").distinct(), "gene")
-    ref = reference.join(common, "gene").withColumn("_i", F.row_number().over(W.partitionBy("gene").orderBy("value", "sample_id")) - 1)
-    quantiles = ref.groupBy("_i").agg(F.avg("value").alias("_q"))
-    size = ref.agg(F.max("_i").alias("_last"))
-    ranked = source.join(common, "gene").withColumn("_r", F.rank().over(W.partitionBy("gene").orderBy("value")) - 1).join(F.broadcast(size))
-    return ranked.withColumn("_i", F.least("_r", "_last")).join(quantiles, "_i").select("sample_id", "gene", F.col("_q").alias("value"))
+    _, quantiles_ = _by_index(reference.join(common, "gene", "left_semi"))
+    size = quantiles_.agg(F.max("_i").alias("_last"))
+    own = source.join(common, "gene", "left_semi")
+    ranked = counted(own, "value", ["gene"]).join(F.broadcast(size)).select("gene", "value", F.least("before__n", "_last").alias("_i"))
+    return own.join(ranked.join(quantiles_, "_i"), ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
 
 
 def combat(rows: DataFrame, batch: str = "batch", parametric: bool = True) -> DataFrame:
@@ -88,7 +94,7 @@ def adapt(source: DataFrame, reference: DataFrame, k: int = 500) -> DataFrame:
 def quantile_cut(df: DataFrame, value: str, q: int, by: list[str] | None = None, out: str = "bin", duplicates: str = "raise") -> DataFrame:
     """Bins by linear quantiles, right-closed, the lowest included.  Equal edges: an error, or dropped."""
     keys = by or []
-    edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(i / q) for i in range(q + 1)))).alias("_e"))
+    edges = quantiles(df, value, [i / q for i in range(q + 1)], keys).withColumnRenamed("quantiles", "_e")
     distinct = F.array_distinct("_e")
     if duplicates == "raise":
         distinct = F.when(F.size(distinct) < q + 1, F.raise_error(F.lit("bin edges must be unique"))).otherwise(F.col("_e"))
@@ -96,7 +102,3 @@ def quantile_cut(df: DataFrame, value: str, q: int, by: list[str] | None = None,
     joined = df.join(edges, keys) if keys else df.join(F.broadcast(edges))
     below = F.size(F.filter("_e", lambda e: e < F.col(value)))
     return joined.withColumn(out, F.greatest(below - 1, F.lit(0))).drop("_e")
-
-
-def pearson(a: Column, b: Column) -> Column:
-    return F.corr(a, b)

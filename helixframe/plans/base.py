@@ -34,9 +34,9 @@ VIEW_SQL = {
     "dose_response": "SELECT l_suppkey AS cell_line, p_brand AS drug, (CAST(l_quantity AS DOUBLE) - 25) / 8 AS ln_ic50, l_returnflag AS tissue FROM lineitem JOIN part ON l_partkey = p_partkey",
     "cna": "SELECT concat('G', CAST(l_partkey % 40 AS VARCHAR)) AS gene, l_suppkey AS sample_id, max(CAST(l_quantity AS INTEGER) % 5 - 2) AS score FROM lineitem GROUP BY 1, 2",
     "methylation": "SELECT l_suppkey AS sample_id, concat('G', CAST(l_partkey % 40 AS VARCHAR)) AS probe, avg(l_discount) * 10 AS beta FROM lineitem GROUP BY 1, 2",
-    "sequences": "SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 600) AS seq FROM documents",
-    "proteins": "SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACDEFGHIKLMNPQRSTVWYACDEFG'), 1, 600) AS seq FROM documents",
-    "drug_gene": "SELECT DISTINCT concat('drug', CAST(l_suppkey AS VARCHAR)) AS drug, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45",
+    "sequences": "SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents",
+    "proteins": "SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACDEFGHIKLMNPQRSTVWYACDEFG') AS seq FROM documents",
+    "drug_gene": "SELECT DISTINCT concat('drug', CAST(l_suppkey AS VARCHAR)) AS drug, p_brand AS gene FROM lineitem JOIN part ON l_partkey = p_partkey",
     "gene_pathway": "SELECT DISTINCT p_brand AS gene, p_type AS pathway FROM part",
     "predictions": "SELECT d.doc_id AS id, quality AS y, CAST(n_chars % 1000 AS DOUBLE) / 1000.0 AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "member_proba": "SELECT id, m, k, w / sum(w) OVER (PARTITION BY id, m) AS p FROM (SELECT id, m, k, CAST((id * 7919 + m * 104729 + k * 31) % 1000 + 1 AS DOUBLE) AS w FROM (SELECT id FROM predictions), (SELECT unnest(range(10)) AS m), (SELECT unnest(range(3)) AS k))",
@@ -121,14 +121,14 @@ class Views:
 
     def _letters(self, alphabet: str) -> DataFrame:
         letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", alphabet)
-        return self.documents.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("gene"), F.substring(letters, 1, 600).alias("seq"))
+        return self.documents.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("gene"), letters.alias("seq"))
 
     sequences = property(lambda self: self._letters("ACGTACGTACGTACGTACGTACGTAC"))
     proteins = property(lambda self: self._letters("ACDEFGHIKLMNPQRSTVWYACDEFG"))
 
     @property
     def drug_gene(self) -> DataFrame:
-        rows = self.lineitem.where("l_quantity > 45").join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        rows = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         return rows.select(F.concat(F.lit("drug"), F.col("l_suppkey").cast("string")).alias("drug"), F.col("p_brand").alias("gene")).distinct()
 
     @property

@@ -24,21 +24,30 @@ def g2(v):
     return G.degree_centrality(*graph(v))
 
 
-BFS = "l0 AS (SELECT node AS source, node, 0 AS dist, 1.0::DOUBLE AS sigma FROM nodes WHERE type = 'gene')"
-for _k in range(1, 5):
+BFS = "l0 AS MATERIALIZED (SELECT node AS source, node, 0 AS dist, 1.0::DOUBLE AS sigma FROM nodes WHERE type = 'gene')"
+#: More levels than any of the given graphs has.
+DEPTH = 12
+for _k in range(1, DEPTH + 1):
     _seen = " UNION ALL ".join(f"SELECT source, node FROM l{j}" for j in range(_k))
-    BFS += f", s{_k} AS ({_seen}), l{_k} AS (SELECT l.source, e.dst AS node, {_k} AS dist, sum(sigma) AS sigma FROM l{_k - 1} l JOIN edges e ON l.node = e.src LEFT JOIN s{_k} s ON s.source = l.source AND s.node = e.dst WHERE s.node IS NULL GROUP BY 1, 2)"
-ALL = " UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(5))
+    BFS += f", s{_k} AS ({_seen}), l{_k} AS MATERIALIZED (SELECT l.source, e.dst AS node, {_k} AS dist, sum(sigma) AS sigma FROM l{_k - 1} l JOIN edges e ON l.node = e.src LEFT JOIN s{_k} s ON s.source = l.source AND s.node = e.dst WHERE s.node IS NULL GROUP BY 1, 2)"
+ALL = " UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(DEPTH + 1))
 
 
 @query("g3_shortest_paths", f"WITH {GRAPH}, {BFS} SELECT source, dist, count(*) AS n, round(sum(sigma), 2) AS paths FROM ({ALL}) GROUP BY 1, 2")
 def g3(v):
     nodes, edges = graph(v)
-    paths = G.shortest_paths(edges, nodes.where("type = 'gene'"), 4)
+    paths = G.shortest_paths(edges, nodes.where("type = 'gene'"))
     return paths.groupBy("source", "dist").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sigma"), 2).alias("paths"))
 
 
-@query("g4_betweenness")
+#: Shares that flow back along shortest paths, level by level.
+BACK = f"d{DEPTH} AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS delta FROM l{DEPTH})"
+for _k in range(DEPTH, 0, -1):
+    BACK += f", d{_k - 1} AS MATERIALIZED (SELECT a.source, a.node, a.sigma * coalesce(sum((1 + d.delta) / w.sigma), 0) AS delta FROM l{_k - 1} a LEFT JOIN (l{_k} w JOIN d{_k} d ON d.source = w.source AND d.node = w.node JOIN edges e ON e.dst = w.node) ON w.source = a.source AND e.src = a.node GROUP BY a.source, a.node, a.sigma)"
+FLOW = " UNION ALL ".join(f"SELECT node, delta FROM d{j}" for j in range(1, DEPTH + 1))
+
+
+@query("g4_betweenness", f"WITH {GRAPH}, {BFS}, {BACK}, t AS (SELECT node, sum(delta) AS t FROM ({FLOW}) GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes) SELECT nodes.node, type, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes CROSS JOIN n LEFT JOIN t ON nodes.node = t.node")
 def g4(v):
     nodes, edges = graph(v)
     return G.betweenness(nodes, edges, nodes.where("type = 'gene'"))

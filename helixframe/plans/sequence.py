@@ -88,7 +88,7 @@ def a48(v):
     return Q.library_summary(Q.guide_library(v.sequences))
 
 
-@query("f12_point_mutants", "WITH e AS (SELECT gene, seq, m, i, md5(concat(gene, '|', CAST(m AS VARCHAR), '|', CAST(i AS VARCHAR))) AS h FROM (SELECT gene, seq, m, unnest(range(1, length(seq) + 1)) AS i FROM sequences, (SELECT unnest(range(1, 4)) AS m))), r AS (SELECT *, row_number() OVER (PARTITION BY gene, m ORDER BY h, i) AS r FROM e), c AS (SELECT *, substr(seq, i, 1) AS b, r <= least(length(seq), greatest(3, length(seq) // 100)) AS hit FROM r) SELECT gene, CAST(m AS INTEGER) AS mutant, string_agg(CASE WHEN hit THEN substr('ACGTACGT', CAST(strpos('ACGT', b) + ('0x' || substr(h, 1, 1))::BIGINT % 3 + 1 AS INTEGER), 1) ELSE b END, '' ORDER BY i) AS seq FROM c GROUP BY gene, m")
+@query("f12_point_mutants", "WITH e AS (SELECT gene, length(seq) AS n, b, m, i, md5(concat(gene, '|', CAST(m AS VARCHAR), '|', CAST(i AS VARCHAR))) AS h FROM (SELECT gene, seq, m, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS b FROM sequences, (SELECT unnest(range(1, 4)) AS m) WHERE seq <> '')), r AS (SELECT *, row_number() OVER (PARTITION BY gene, m ORDER BY h, i) AS r FROM e), c AS (SELECT *, r <= least(n, greatest(3, n // 100)) AS hit FROM r) SELECT gene, CAST(m AS INTEGER) AS mutant, string_agg(CASE WHEN hit THEN substr('ACGTACGT', CAST(strpos('ACGT', b) + ('0x' || substr(h, 1, 1))::BIGINT % 3 + 1 AS INTEGER), 1) ELSE b END, '' ORDER BY i) AS seq FROM c GROUP BY gene, m")
 def f12(v):
     return Q.point_mutants(v.sequences)
 
