@@ -118,11 +118,15 @@ class WordCoder:
     ``limit`` bounds the units kept; beyond it the cache starts afresh.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # Plain units are in lower case and cut already: only white space between them is left to see.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._clear()
@@ -163,9 +167,9 @@ class WordCoder:
             # A unit's last token, and no other, ends with the mark of word ends: many units can be one text.
             plain, odd = [], []
             for u in new:
-                (plain if u.isascii() and u.isprintable() and "'" not in u and "<" not in u else odd).append(u)
+                (plain if u.isascii() and u.isprintable() and u == u.lower() and "'" not in u and "<" not in u else odd).append(u)
             texts = [" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
-            ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer cuts words in another way")
