@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import cohort, metrics, screens
 
 
@@ -24,15 +25,17 @@ def forest(trees: int = 20, depth: int = 4, seed: int = 1) -> RandomForestClassi
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted(rounds: int = 10, depth: int = 3, seed: int = 1) -> OneVsRest:
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="features", labelCol="label", weightCol="weight")
+def boosted(rounds: int = 3, depth: int = 3, rate: float = 0.3, seed: int = 1) -> OneVsRest:
+    """Multi-class boosting: one boosted ensemble for each class against the rest."""
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed), featuresCol="features", labelCol="label", weightCol="weight", parallelism=4)
 
 
 def baselines() -> dict[str, object]:
     return {
         "logistic": LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30, regParam=0.01),
         "forest": forest(),
-        "svm": OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="label", weightCol="weight"),
+        "svm": OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="label", weightCol="weight", parallelism=4),
+        "boosted": boosted(),
     }
 
 
@@ -69,8 +72,8 @@ def with_row_features(assay: DataFrame, labels: DataFrame, genes: list[str]) ->
 
 
 def estimator_pipeline(columns: list[str], model: object) -> Pipeline:
-    """Assembly and classifier as one estimator."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), model])
+    """Assembly of vectors or numbers, and classifier, as one estimator."""
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="all"), model.copy({model.featuresCol: "all"})])
 
 
 def importances(model: object, names: list[str], spark, k: int) -> DataFrame:
@@ -79,9 +82,14 @@ def importances(model: object, names: list[str], spark, k: int) -> DataFrame:
     return spark.createDataFrame([(g, v, i + 1) for i, (g, v) in enumerate(values)], "gene string, importance double, rank int")
 
 
-def cross_validated(rows: DataFrame, model: object, folds: int = 3, repeats: int = 1) -> DataFrame:
+def plan_of(rows: DataFrame) -> tuple[int, int]:
+    """Folds and repeats: five folds, three times from 200 rows on."""
+    return 5, 3 if rows.count() >= 200 else 1
+
+
+def cross_validated(rows: DataFrame, model: object, folds: int = 5, repeats: int = 1) -> DataFrame:
     """Predictions of held-out folds: (repeat, fold, id, y, yhat)."""
-    split = metrics.repeated_folds(rows.withColumnRenamed("label", "y"), folds, repeats).withColumnRenamed("y", "label").persist()
+    split = written(metrics.repeated_folds(rows.withColumnRenamed("label", "y"), folds, repeats).withColumnRenamed("y", "label"), "split")
     out = None
     for r in range(repeats):
         for f in range(folds):
@@ -106,15 +114,42 @@ def searched(rows: DataFrame, folds: int = 3, depths: tuple[int, ...] = (2, 4),
     return rows.sparkSession.createDataFrame(points, "depth int, trees int, f1 double")
 
 
-def compared(variants: dict[str, tuple[DataFrame, object]], base: str, folds: int = 3) -> DataFrame:
-    """Mean metrics of each variant (rows and model), and the difference in F1 to ``base``: baselines and ablations."""
-    out = None
+def compared(variants: dict[str, tuple[DataFrame, object]], base: str, folds: int = 5, repeats: int = 1) -> DataFrame:
+    """Per variant (rows and model): mean and spread of its metrics over the same folds, the difference in F1 to
+    ``base``, and z and p of the paired signed-rank test that ``base`` is better."""
+    runs = {}
     for name, (rows, model) in variants.items():
-        one = fold_metrics(cross_validated(rows, model, folds)).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    means = out.groupBy("variant").agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"), F.stddev_pop("f1").alias("f1_std"))
-    reference = means.where(F.col("variant") == base).select(F.col("f1").alias("_b"))
-    return means.join(F.broadcast(reference)).withColumn("delta_f1", F.col("f1") - F.col("_b")).drop("_b")
+        runs[name] = written(fold_metrics(cross_validated(rows, model, folds, repeats)).withColumn("variant", F.lit(name)), "folds")
+    out = None
+    for name, one in runs.items():
+        means = one.groupBy("variant").agg(*(f(c).alias(f"{c}{s}") for c in ("accuracy", "f1") for f, s in ((F.avg, ""), (F.stddev_pop, "_std"))), F.count(F.lit(1)).alias("n_folds"))
+        pairs = runs[base].select("repeat", "fold", F.col("f1").alias("a")).join(one.select("repeat", "fold", F.col("f1").alias("b")), ["repeat", "fold"])
+        test = metrics.wilcoxon(pairs).select("z", "p")
+        means = means.join(F.broadcast(pairs.agg(F.avg(F.col("b") - F.col("a")).alias("delta_f1")))).join(F.broadcast(test))
+        out = means if out is None else out.unionByName(means)
+    return out
+
+
+def synergy(compared_: DataFrame, neither: str, a: str, b: str, both: str) -> DataFrame:
+    """One row: gains in F1 of both components and of each alone over neither, and what both give beyond their sum."""
+    pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("f1")))
+    row = compared_.agg(*(pick(v).alias(c) for v, c in ((neither, "n"), (a, "a"), (b, "b"), (both, "ab"))))
+    return row.select((F.col("ab") - F.col("n")).alias("gain_both"), (F.col("a") - F.col("n")).alias("gain_a"), (F.col("b") - F.col("n")).alias("gain_b"), (F.col("ab") - F.col("a") - F.col("b") + F.col("n")).alias("synergy"))
+
+
+def row_feature_use(assay: DataFrame, labels: DataFrame, genes: list[str]) -> DataFrame:
+    """One row: mean mutual information of the row features with the label, and the share of them that a forest over
+    genes and row features uses."""
+    features = cohort.row_features(assay)
+    names = [c for c in features.columns if c != "sample_id"]
+    told = written(features.join(labels.select("sample_id", "label"), "sample_id"), "features")
+    info = None
+    for c in names:
+        one = metrics.mutual_information(told.where(F.col(c).isNotNull()), "label", c)
+        info = one if info is None else info.unionByName(one)
+    model = forest().fit(with_row_features(assay, labels, genes))
+    used = sum(1 for x in model.featureImportances.toArray()[len(genes) :] if x > 0) / len(names)
+    return info.agg(F.avg("mi").alias("information")).withColumn("used", F.lit(float(used)))
 
 
 def bootstrap_ensemble(rows: DataFrame, members: int = 3, model: Callable[[int], object] = lambda i: forest(seed=i)) -> DataFrame:
@@ -144,3 +179,31 @@ def embedded_rows(assay: DataFrame, embeddings: DataFrame, labels: DataFrame, we
     """Training rows whose features are the (weighted) embedding sums."""
     z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("x"))
     return training_rows(z, labels)
+
+
+def fused_rows(assay: DataFrame, genes: list[str], embeddings: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:
+    """Training rows of gene values and weighted embedding sums side by side."""
+    z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("z"))
+    return training_rows(wide(assay, genes).join(z, "sample_id").select("sample_id", F.concat("x", "z").alias("x")), labels)
+
+
+def fitted_fusion(assay: DataFrame, labels: DataFrame, embeddings: DataFrame, drift: DataFrame, k: int = 20, least: int = 5, components: int = 8) -> DataFrame:
+    """The end-to-end ranking: (gene, importance, instability, fusion_index, accuracy, accuracy_std), best first.
+
+    Genes with a symbol's name; rare classes merged; a forest whose ``k`` largest importances choose the targets; the
+    importance-weighted embedding sums, projected on their principal components, beside the gene values, cross-validated;
+    and importance times instability (``drift``: gene, mean) as the index.
+    """
+    assay = written(cohort.gene_symbols(assay), "assay")
+    labels = cohort.merge_rare(labels, least)
+    genes = sorted(r["gene"] for r in assay.select("gene").distinct().collect())  # the columns of the matrix
+    rows = written(training_rows(wide(assay, genes), labels), "rows")
+    top = written(importances(forest().fit(rows), genes, assay.sparkSession, k), "importances")
+    fused = embedded_rows(assay, embeddings, labels, top.select("gene", F.col("importance").alias("weight")))
+    parts = principal_components(fused, components).withColumnRenamed("components", "_pc")
+    both = written(rows.join(parts, "sample_id").select("sample_id", F.concat(vector_to_array("features"), "_pc").alias("x")), "fused")
+    scores = fold_metrics(cross_validated(training_rows(both, labels), forest(), *plan_of(rows)))
+    scores = scores.agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_std"))
+    ranked = top.join(drift.select("gene", F.col("mean").alias("instability")), "gene", "left").fillna(0.0, ["instability"])
+    ranked = ranked.withColumn("fusion_index", F.round(F.col("importance") * F.col("instability") * 1000, 4)).join(F.broadcast(scores))
+    return ranked.drop("rank").orderBy(F.desc("fusion_index"), "gene")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .ranks import cumulative
 
 
 def tripartite(drug_gene: DataFrame, gene_pathway: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,11 +107,15 @@ def propagate(features: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: i
     return features
 
 
-def node_scores(features: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Norm of each node's features over the largest one of its type, with its rank inside the type."""
+def node_scores(features: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Norm of each node's features over the largest one of its type, its rank inside the type (equal scores by name),
+    its degree, and how many of its neighbours are genes."""
     norm = features.groupBy("node").agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm")).join(nodes, "node")
     top = norm.groupBy("type").agg(F.greatest(F.max("norm"), F.lit(1e-10)).alias("top"))
-    return norm.join(F.broadcast(top), "type").select("node", "type", F.round(F.col("norm") / F.col("top"), 4).alias("score"))
+    near = edges.join(nodes.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum((F.col("type") == "gene").cast("int")).alias("n_genes"))
+    scored = norm.join(F.broadcast(top), "type").select("node", "type", F.round(F.col("norm") / F.col("top"), 4).alias("score")).join(near, "node", "left").fillna(0, ["degree", "n_genes"])
+    placed = cumulative(scored.withColumns({"_down": -F.col("score"), "_one": F.lit(1)}), ["type"], ["_down", "node"], ["_one"])
+    return placed.select("node", "type", "score", (F.col("before__one") + 1).alias("rank"), "degree", "n_genes")
 
 
 def pair_scores(features: DataFrame, pairs: DataFrame) -> DataFrame:

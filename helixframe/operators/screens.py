@@ -29,9 +29,11 @@ def lethality_screen(assay: DataFrame, targets: DataFrame, known: DataFrame, bel
 
 
 def embedding_sum(assay: DataFrame, embeddings: DataFrame, weights: DataFrame | None = None, normalise: bool = True) -> DataFrame:
-    """(sample_id, dim, z): sum over genes of value (times weight) times embedding; each sample's vector of norm 1."""
+    """(sample_id, dim, z): sum over genes of value (times weight) times embedding; each sample's vector of norm 1.
+
+    A gene with several vectors takes part with their mean."""
     rows = assay if weights is None else assay.join(weights, "gene").withColumn("value", F.col("value") * F.col("weight"))
-    dims = embeddings.select("gene", F.posexplode("embedding").alias("dim", "e"))
+    dims = embeddings.select("gene", F.posexplode("embedding").alias("dim", "e")).groupBy("gene", "dim").agg(F.avg(F.col("e").cast("double")).alias("e"))
     z = rows.join(dims, "gene").groupBy("sample_id", "dim").agg(F.sum(F.col("value") * F.col("e").cast("double")).alias("z"))
     if not normalise:
         return z

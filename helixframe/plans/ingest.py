@@ -70,8 +70,8 @@ def s7(v):
 
     path = _path(v, "patients")
     mutations = F.collect_list(F.struct("gene", F.col("variant_class").alias("variant"), F.lit(None).cast("double").alias("vaf")))
-    v.variants.groupBy(F.col("sample_id").cast("string").alias("patient_id")).agg(mutations.alias("mutations")).withColumn("cna", F.create_map(F.lit("MYC"), F.lit(0.8))).write.json(path)
-    variants, _ = explode_profiles(v.spark.read.schema(R.PATIENT_SCHEMA).json(path))
+    v.variants.groupBy(F.col("sample_id").cast("string").alias("patient_id")).agg(mutations.alias("mutations")).withColumn("cna", F.create_map(F.lit("MYC"), F.lit(0.8))).groupBy(F.pmod(F.xxhash64("patient_id"), F.lit(8)).alias("part")).agg(F.to_json(F.collect_list(F.struct("patient_id", "mutations", "cna")), {"pretty": "true"}).alias("value")).write.partitionBy("part").text(path)
+    variants, _ = explode_profiles(R.read_patients(v.spark, path))
     return variants.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_mutations"), F.count_distinct("gene").alias("n_genes"))
 
 

@@ -8,6 +8,7 @@ from ..operators import cohort as C
 from ..operators import metrics as M
 from ..operators import normalisation as N
 from .base import query
+from .survival import TAIL
 
 
 def rounded(df, digits=5, keep=()):
@@ -193,10 +194,10 @@ def w15(v):
     return M.returns_to_go(rows, 0.9).groupBy("t").agg(F.round(F.avg("g"), 4).alias("g"), F.count(F.lit(1)).alias("n"))
 
 
-@query("w16_wilcoxon", "WITH d AS (SELECT round(l_discount - l_tax, 4) AS d FROM lineitem WHERE round(l_discount - l_tax, 4) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d), s AS (SELECT count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus FROM r) SELECT n, w_plus, round((w_plus - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24), 4) AS z FROM s")
+@query("w16_wilcoxon", f"WITH d AS (SELECT round(l_discount - l_tax, 4) AS d FROM lineitem WHERE round(l_discount - l_tax, 4) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d), s AS (SELECT count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus FROM r), zz AS (SELECT *, (w_plus - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24) AS z1, least(abs((w_plus - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24)), 9) AS z FROM s) SELECT n, w_plus, round(z1, 4) AS z, round(CASE WHEN z1 >= 0 THEN {TAIL} ELSE 1 - {TAIL} END, 6) AS p FROM zz")
 def w16(v):
     rows = v.lineitem.select(F.round(F.col("l_discount") - F.col("l_tax"), 4).alias("a"), F.lit(0.0).alias("b"))
-    return M.wilcoxon(rows).withColumn("z", F.round("z", 4))
+    return M.wilcoxon(rows).withColumns({"z": F.round("z", 4), "p": F.round("p", 6)})
 
 
 @query("w18_stratified_folds", "WITH f AS (SELECT r, y, (row_number() OVER (PARTITION BY r, y ORDER BY md5(concat(CAST(r AS VARCHAR), '|', CAST(id AS VARCHAR))), id) - 1) % 5 AS fold, id FROM predictions, (SELECT unnest(range(3)) AS r)) SELECT CAST(r AS INTEGER) AS repeat, y, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f GROUP BY 1, 2, 3")

@@ -74,10 +74,10 @@ def g9(v):
     return G.propagate(G.node_features(nodes, edges), nodes, edges).withColumn("h", F.round("h", 5))
 
 
-@query("g10_node_scores", f"WITH {GRAPH}, {FEAT}, n AS (SELECT h2.node, type, sqrt(sum(h * h)) AS norm FROM h2 JOIN nodes USING (node) GROUP BY 1, 2) SELECT node, type, round(norm / max(norm) OVER (PARTITION BY type), 4) AS score FROM n")
+@query("g10_node_scores", f"WITH {GRAPH}, {FEAT}, n AS (SELECT h2.node, type, sqrt(sum(h * h)) AS norm FROM h2 JOIN nodes USING (node) GROUP BY 1, 2), sc AS (SELECT node, type, round(norm / max(norm) OVER (PARTITION BY type), 4) AS score FROM n), nb AS (SELECT src, count(*) AS degree, count(*) FILTER (type = 'gene') AS n_genes FROM edges JOIN nodes ON dst = node GROUP BY 1) SELECT node, type, score, row_number() OVER (PARTITION BY type ORDER BY score DESC, node) AS rank, coalesce(degree, 0) AS degree, coalesce(n_genes, 0) AS n_genes FROM sc LEFT JOIN nb ON src = node")
 def g10(v):
     nodes, edges = graph(v)
-    return G.node_scores(G.propagate(G.node_features(nodes, edges), nodes, edges), nodes)
+    return G.node_scores(G.propagate(G.node_features(nodes, edges), nodes, edges), nodes, edges)
 
 
 @query("p17_g10_pair_scores", f"WITH {GRAPH}, {FEAT}, nn AS (SELECT node, sqrt(sum(h * h)) AS n FROM h2 GROUP BY 1), u AS (SELECT h2.node, dim, h / n AS u FROM h2 JOIN nn USING (node)) SELECT a.node AS a, b.node AS b, round(1 / (1 + exp(-sum(a.u * b.u))), 4) AS score FROM drug_gene p JOIN u a ON a.node = p.drug JOIN u b ON b.node = p.gene AND a.dim = b.dim GROUP BY 1, 2")

@@ -95,7 +95,10 @@ def f12(v):
 
 @query("s14_fasta", "SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, regexp_replace(upper(regexp_replace(concat('>D', CAST(doc_id AS VARCHAR), chr(10), text), '^>[^' || chr(10) || ']*' || chr(10), '')), '[^ACGT]', '', 'g') AS seq FROM documents")
 def s14(v):
-    from ..sources.readers import fasta_sequence
+    from ..sources.readers import read_fasta
+    from .ingest import _path
 
-    record = F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
-    return v.documents.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("gene"), fasta_sequence(record).alias("seq"))
+    path = _path(v, "fasta")
+    letters = F.regexp_replace("text", "[^A-Za-z\n]", "")
+    v.documents.select(F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit("\n"), letters)).write.text(path)
+    return read_fasta(v.spark, path)

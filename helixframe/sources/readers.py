@@ -122,7 +122,10 @@ def fasta_sequence(record: Column) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(fasta_sequence(F.col("value")).alias("seq"))
+    """(gene, seq) of each record of FASTA files: the first word of its header, and its letters."""
+    record = F.regexp_replace("value", "^>", "")
+    rows = spark.read.text(path, lineSep="\n>").where("value <> ''").select(record.alias("r"))
+    return rows.select(F.regexp_extract("r", "^([^ \t\n]*)", 1).alias("gene"), fasta_sequence(F.concat(F.lit(">"), "r")).alias("seq"))
 
 
 def flatten_targets(raw: DataFrame, column: str = "json") -> DataFrame:
