@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, ngram_join, quality, sentencepiece_codec, substring
-from helixframe.llm._io import collected, deleted, dropped, table, written
+from helixframe.llm._io import collected, deleted, dropped, may_occur, swept, table, written
 from helixframe.llm.queries import PIECE_MODEL
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,7 @@ def _tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         deleted(spark, _left)
+        swept(spark)
         with collected() as paths:
             out = stage(spark, docs, sf_dir)
         _left[:] = paths
@@ -55,8 +56,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     groups = ngram_join.jaccard_components(keyed, k=5, percent=80)
     gone = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    few = gone.count() <= ngram_join.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    told = may_occur(docs, "doc_id", gone, "_may")  # rows that surely stay aren't shuffled
+    return told.where("NOT _may").unionByName(told.where("_may").join(gone, "doc_id", "left_anti")).select(*docs.columns)
 
 
 @_tidy

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _OPEN: list[list[str]] = []
@@ -83,3 +84,25 @@ def collected() -> Iterator[list[str]]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the map that tells which keys may occur in a list: its size doesn't depend on the data.
+KEY_BITS = 1 << 24
+
+
+def may_occur(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds ``flag``: false where ``key`` surely isn't in the table ``keys`` (one column), so that rows without a
+    partner needn't be shuffled for a join.  A bit map of the keys' hashes, ``KEY_BITS`` / 64 rows at most, is broadcast.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_at % 64 AS INT))")
+    own = keys.columns[0]
+    words = keys.select(F.pmod(F.xxhash64(F.col(own)), F.lit(KEY_BITS)).alias("_at")).groupBy(F.expr("_at div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    told = rows.withColumn("_at", at).withColumn("_word", F.expr("_at div 64")).join(F.broadcast(words), "_word", "left")
+    met = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return told.withColumn(flag, met).drop("_at", "_word", "_bits")
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets the driver collect garbage: Spark then deletes the shuffle files of tables that nothing refers to."""
+    spark._jvm.System.gc()

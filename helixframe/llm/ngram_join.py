@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import dropped, viewed, written
+from ._io import dropped, may_occur, swept, written
 from ._words import NOT_SPACE, Words, list_array, mixed, shingles, sliced
 from .components import connected_components
 
 #: Slots of the table that says how common a token is: one byte each, sent to all tasks whatever the input's size.
 SLOTS = 1 << 21
-#: Rows of two identifiers that may be broadcast, after counting them; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
 #: Prefixes are longer by so many tokens, and linking sets must share so many more inside them: sets that share a common
 #: phrase alone are no candidates.
 SHARE = 6
@@ -195,12 +193,6 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, rule: Rule, common
     return docs.select(F.col(key).alias("doc"), text).mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, prefix array<long>")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """The written table of a few narrow columns, to be broadcast if it has ``BROADCAST_IDS`` rows at most; else it is
-    shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule: Rule, stars: bool) -> DataFrame:
     """Of the pairs (a, b), those whose sets link.
 
@@ -213,21 +205,20 @@ def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule
     dealt = pairs.select("a", "b", F.col("a").alias("home"))
     if not stars:
         groups = connected_components(pairs)
-        small = written(groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= HELD).select("component"), "groups")
-        homes = written(groups.join(_small(small), "component").select(F.col("node").alias("a"), F.col("component").alias("own")), "homes")
-        dealt = pairs.join(_small(homes), "a", "left").select("a", "b", F.coalesce("own", "a").alias("home"), F.col("own").isNotNull().alias("whole"))
-        made += [groups, small, homes]
+        small = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= HELD).select("component")
+        homes = groups.join(small, "component").select(F.col("node").alias("a"), F.col("component").alias("own"))
+        dealt = pairs.join(homes, "a", "left").select("a", "b", F.coalesce("own", "a").alias("home"), F.col("own").isNotNull().alias("whole"))
+        made.append(groups)
     else:
         dealt = dealt.withColumn("whole", F.lit(False))
-    sizes = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")).where("cells > 1"), "sizes")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")).where("cells > 1")
     cell = F.when(F.col("whole"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("b"), "cells"), F.lit(0)))
-    dealt = written(dealt.join(_small(sizes), "a", "left").select("a", "b", "home", cell.alias("cell")), "cells")
+    dealt = written(dealt.join(sizes, "a", "left").select("a", "b", "home", cell.alias("cell")), "cells")
     # A row per text and cell, with the partners of those that are a.
     ends = dealt.select("home", "cell", F.col("a").alias("id"), F.col("b").alias("other")).union(dealt.select("home", "cell", "b", F.lit(None)))
     asked = written(ends.groupBy("home", "cell", "id").agg(F.collect_list("other").alias("others")), "asked")
-    needed = written(asked.select(F.col("id").alias(key)).distinct(), "ids")
-    texts = docs.select(key, text).join(_small(needed), key, "left_semi").withColumnsRenamed({key: "id", text: "text"})
-    rows = asked.join(texts.hint("merge"), "id").repartition("home", "cell").sortWithinPartitions("home", "cell")
+    texts = may_occur(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", asked.select("id"), "_may").where("_may").drop("_may")
+    rows = asked.join(texts, "id").repartition("home", "cell").sortWithinPartitions("home", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -244,7 +235,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, rule
             yield _pairs_batch(_met(held, rule), batch.schema.field("id").type)
 
     links = written(rows.select("home", "cell", "id", "others", "text").mapInArrow(run, f"a {kind}, b {kind}"), "links")
-    dropped(dealt, asked, needed, sizes, *made)
+    dropped(dealt, asked, *made)
+    swept(docs.sparkSession)
     return links
 
 
@@ -270,7 +262,7 @@ def _leaders(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     with it.  A block's leader is the class with the fewest tokens that no other class has: the middle of a family."""
     rows = _labelled(held, labels).select("rep", "n", "comp", (F.size("tokens") - F.col("length")).alias("clean"), F.explode("tokens").alias("token"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("clean", -F.col("n"), "rep", "comp", "n")).alias("o")).where("lo < hi")
-    met = rows.join(spread.select("token", "o.*").withColumnsRenamed({"rep": "rep_a", "comp": "comp_a", "n": "n_a"}).drop("clean").hint("merge"), "token").where("comp <> comp_a")
+    met = rows.join(spread.select("token", "o.*").withColumnsRenamed({"rep": "rep_a", "comp": "comp_a", "n": "n_a"}).drop("clean"), "token").where("comp <> comp_a")
     pairs = met.groupBy("rep", "rep_a").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n_a").alias("n_a"))
     return pairs.groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("shared", "rep_a", "n", "n_a")).alias("o")).select(F.col("o.rep_a").alias("a"), "b", F.col("o.n").alias("n"), F.col("o.n_a").alias("n_a"))
 
@@ -278,7 +270,7 @@ def _leaders(held: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _labelled(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return held.withColumn("comp", F.col("rep"))
-    return held.join(_small(viewed(labels.withColumnRenamed("node", "rep"), labels)), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    return held.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
 def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type: str) -> DataFrame:
@@ -306,11 +298,11 @@ def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type:
         return F.when(low > high, 1 << 30).otherwise(F.greatest(F.lit(1), F.least(first, second)))
 
     open_ = F.exists("bands", lambda b: ((b["lo"] != F.col("comp")) | (b["hi"] != F.col("comp"))) & (F.least(b["c"], F.col("c")) >= asked(b)))
-    left = written(rows.join(bands.hint("merge"), "token").where(open_).select("token", "rep", "comp", "pos"), "open")
+    left = written(rows.join(bands, "token").where(open_).select("token", "rep", "comp", "pos"), "open")
     spread = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("lo < hi")
-    left = left.join(spread.select("token", "cells").hint("merge"), "token")
+    left = left.join(spread.select("token", "cells"), "token")
     whole = held.select("rep", "n", "end", "tokens")
-    blocks = left.join(whole.hint("merge"), "rep").select("token", "cells", "rep", "n", "comp", "end", F.slice("tokens", F.col("pos") + 1, F.size("tokens")).alias("tokens"))
+    blocks = left.join(whole, "rep").select("token", "cells", "rep", "n", "comp", "end", F.slice("tokens", F.col("pos") + 1, F.size("tokens")).alias("tokens"))
     # Cell (i, j) has the sets of parts i and j of a block, and pairs them across; (i, i) pairs part i with itself.
     part = F.pmod(F.xxhash64("rep"), "cells").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
@@ -374,12 +366,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     alike = ["n", "h1", "h2"]
     classes = written(signed.where("n > 0").groupBy(*alike).agg(F.min("doc").alias("rep"), F.first("prefix").alias("prefix")), "classes")
     kind = given.schema[key].dataType.simpleString()
-    tokens = classes.select("rep", F.posexplode("prefix").alias("pos", "token"))
+    members = written(signed.select("doc", *alike), "members")
+    dropped(signed)
+    tokens = classes.select("rep", F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"), "tokens")
-    kept = tokens.join(_small(shared), "token").groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    kept = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     sizes = classes.select("rep", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("end"))
-    held = written(kept.join(sizes.hint("merge"), "rep"), "held")
-    dropped(shared)
+    held = written(kept.join(sizes, "rep"), "held")
+    ids = written(classes.select("rep", *alike), "ids")
+    dropped(shared, classes)
+    swept(spark)
     links = labels = None
     for r in range(rounds + 1):
         if r < rounds:
@@ -394,11 +390,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         dropped(labels)
         labels = connected_components(links)
     dropped(held)
-    classes = classes.drop("prefix")
     if labels is None:
-        classes = classes.withColumn("component_id", F.col("rep"))
+        ids = ids.withColumn("component_id", F.col("rep"))
     else:
-        classes = classes.join(_small(viewed(labels.withColumnRenamed("node", "rep"), labels)), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    whole = signed.select("doc", *alike).join(classes.select(*alike, "component_id").hint("merge"), alike, "left")
+        ids = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    whole = members.join(ids.select(*alike, "component_id"), alike, "left")
     whole = whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return given.select(key).join(whole, key) if repeated else whole

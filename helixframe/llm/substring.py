@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import dropped, written
+from ._io import dropped, may_occur, swept, written
 from ._words import NOT_SPACE, Words, gather, list_array, mixed, numbered, shingles, sliced
 
 WINDOW = 13
@@ -26,8 +26,6 @@ SHARD_SYMBOLS = 150_000
 BYTES_A_SYMBOL = 6
 #: Suffixes whose smallest owner is kept as one number.
 BLOCK = 16
-#: Rows and ranges that may be broadcast, after counting them; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_RANGES, BROADCAST_IDS = 200_000, 2_000_000, 500_000
 
 
 class WaveletTree:
@@ -294,22 +292,24 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = rows.withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("uid", F.xxhash64("doc", "tid"))
     signed = written(_signed(rows, window), "anchors")
     firsts = written(signed.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "firsts")
-    later = signed.select("doc", "tid", "uid").distinct().join(_small(firsts), "tid").where("doc > first").select("doc", "tid", "uid")
+    later = signed.select("doc", "tid", "uid").distinct().join(firsts, "tid").where("doc > first").select("doc", "tid", "uid")
     later = written(later, "later")
-    unique = signed.join(_small(later.select("uid")), "uid", "left_anti").select("uid", F.explode("anchors").alias("anchor"))
+    unique = signed.join(later.select("uid"), "uid", "left_anti").select("uid", F.explode("anchors").alias("anchor"))
     shared = written(unique.groupBy("anchor").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("anchor", (F.col("m") > HOT).alias("is_hot")), "shared")
-    own = unique.join(_small(shared), "anchor")
+    own = unique.join(shared, "anchor")
     by_doc = written(own.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")), "own")
     dropped(signed, firsts, shared)
-    held = rows.join(_small(by_doc.select("uid")), "uid", "left_semi")
-    segments = written(_segments(held.join(by_doc.hint("merge"), "uid").select("doc", "tid", "text", "anchors", "hot"), window), "segments")
+    held = may_occur(rows, "uid", by_doc.select("uid"), "_may").where("_may")
+    swept(spark)
+    segments = written(_segments(held.join(by_doc, "uid").select("doc", "tid", "text", "anchors", "hot"), window), "segments")
     dropped(by_doc)
+    swept(spark)
     windows = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(16, -(-windows // BYTES_A_SYMBOL // SHARD_SYMBOLS))
     placed = segments.withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).withColumn("cid", F.unhex(F.md5(F.col("words").cast("binary"))))
     contents = placed.groupBy("shard", "cid", "words").agg(F.min("doc").alias("doc"))
     owners = written(_first_owners(contents, window), "owners")
-    flagged = placed.select("shard", "cid", "doc", "tid", "start").join(owners.hint("merge"), ["shard", "cid"])
+    flagged = placed.select("shard", "cid", "doc", "tid", "start").join(owners, ["shard", "cid"])
     starts = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc"), i + F.col("start"))), lambda x: x.isNotNull())
     # The windows of a passage that are repeated stand next to each other but for rare gaps: first and last of each run.
     spans = flagged.withColumn("s", starts).where(F.size("s") > 0).withColumn(
@@ -322,11 +322,6 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """To be broadcast if it has ``BROADCAST_IDS`` rows at most; else it is shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
-
-
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, kept: str = "kept_text") -> DataFrame:
     """Adds to each row ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by single spaces.
 
@@ -336,14 +331,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts are judged whole; an empty table gives an empty one.  Input columns called like the new ones are replaced.
     """
     found = repeated_ranges(docs, key, text, window)
-    rows, ranges = (found.agg(F.count(F.lit(1)), F.sum(F.size("ranges"))).first())
-    small = rows <= BROADCAST_ROWS and (ranges or 0) <= BROADCAST_RANGES
     new = ["n_words", "n_removed", kept]
     tid = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     keep = [c for c in docs.columns if c not in new]
     given = docs.select(*keep).withColumns({"_doc": F.col(key).cast("long"), "_tid": tid})
     told = found.withColumnsRenamed({"doc": "_doc", "tid": "_tid", "ranges": "_ranges", "whole": "_whole"})
-    joined = given.join(F.broadcast(told) if small else told.hint("merge"), ["_doc", "_tid"], "left").select(*keep, "_ranges", "_whole")
+    # Texts that surely keep all their words aren't shuffled.
+    given = may_occur(given, "_doc", told.select("_doc"), "_may")
+    met = given.where("_may").join(told, ["_doc", "_tid"], "left").select(*keep, "_ranges", "_whole")
+    joined = met.unionByName(given.where("NOT _may").select(*keep, F.lit(None).cast("array<int>").alias("_ranges"), F.lit(None).cast("boolean").alias("_whole")))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", n_words long, n_removed long, `{kept}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,9 +199,11 @@ def brute_components(rows, k, percent):
 
 @pytest.mark.parametrize("k,percent,small", [(3, 90, False), (5, 80, False), (5, 80, True)])
 def test_ngram_join(spark, monkeypatch, k, percent, small):
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     if small:  # shuffled lists, and blocks of many cells
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         monkeypatch.setattr(ngram_join, "CELL", 3)
+        monkeypatch.setattr(ngram_join, "HELD", 4)
     r = random.Random(5)
     voc = [f"w{i}" for i in range(300)]
     base = [r.choices(voc, k=r.randint(20, 120)) for _ in range(8)]
@@ -333,8 +335,7 @@ def brute_repeats(rows):
 @pytest.mark.parametrize("hot", [500, 5, 0])
 def test_substring_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT", hot or 5)
-    for name in () if hot else ("BROADCAST_ROWS", "BROADCAST_RANGES", "BROADCAST_IDS"):
-        monkeypatch.setattr(substring, name, -1)  # everything is shuffled
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if hot else "-1")
     rows = prose(7, 120)
     out = substring.without_repeats(docs(spark, rows).withColumn("n_removed", F.lit("clash"))).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out) == sorted(brute_repeats(rows))
