@@ -23,6 +23,23 @@ def field_paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+#: Names of fields that say something about a record or a turn but aren't said in it: they don't belong to a layout.
+IGNORED = frozenset(("id", "uuid", "name", "source", "lang", "language", "model", "created", "timestamp", "date", "index", "score", "weight", "category", "topic", "tags", "split", "license", "meta", "metadata"))
+
+
+def layout_paths(paths: set[str], texts: frozenset[str], ignored: frozenset[str] = IGNORED) -> set[str]:
+    """The paths that tell a layout: without ignored fields and what is below them, and with a text that comes as a list
+    of strings or of {type, text} parts as one text.  ``texts``: paths where mappings expect texts."""
+    out = set()
+    for p in paths:
+        names = [n.replace("[]", "").replace("{}", "") for n in p.split(".")]
+        if p not in texts and any(n in ignored for n in names):
+            continue
+        whole = next((t for t in texts if p in (f"{t}[]", f"{t}[].text", f"{t}[].type")), p)
+        out.add(whole)
+    return out
+
+
 def fingerprint(paths: set[str]) -> str:
     """Hash of the sorted paths: equal for records of one layout, whatever the order of their fields."""
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
@@ -77,6 +94,9 @@ def _at(record: object, path: str) -> object:
 
 
 def _text(value: object) -> str:
+    """A list of strings and {type, text} parts is their texts, one after the other."""
+    if isinstance(value, list) and all(isinstance(x, str) or (isinstance(x, dict) and isinstance(x.get("text"), str)) for x in value):
+        return "".join(x if isinstance(x, str) else x["text"] for x in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -93,14 +113,17 @@ MAPPINGS = (
 TURNS = "layout string, fingerprint string, step int, role string, text string"
 
 
-def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, ignored: frozenset[str] = IGNORED) -> DataFrame:
     """A row per turn: key, layout, fingerprint, step within the record (from 0), role and text.
 
-    ``record`` holds JSON objects.  Their nested field paths are hashed; the hash selects a mapping.  A record whose
-    fingerprint no mapping has keeps one row with a null layout, role and text (an unparsable or null record also a
-    null fingerprint), so that nothing goes unseen.  A null text is empty.  Only the two columns are read.
+    ``record`` holds JSON objects.  Their nested field paths, but for ``ignored`` fields, are hashed; the hash selects a
+    mapping.  A record whose fingerprint no mapping has keeps one row with a null layout, role and text (an unparsable
+    or null record also a null fingerprint), so that nothing goes unseen; ``layouts`` counts them.  A null text is empty,
+    a text in parts is joined; repeated rows all stay; an empty table gives none.  Only the two columns are read, so
+    other columns may have any name.
     """
     by = {f: m for m in mappings for f in m.fingerprints()}
+    texts = frozenset(p for m in mappings for p in m.paths())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -110,7 +133,7 @@ def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[M
                     value = json.loads(raw)
                 except (TypeError, ValueError):
                     value = None
-                print_ = None if value is None else fingerprint(field_paths(value))
+                print_ = None if value is None else fingerprint(layout_paths(field_paths(value), texts, ignored))
                 m = by.get(print_)
                 turns = m.turns(value) if m else [(None, None)]
                 out += [(k, m.name if m else None, print_, i, *t) for i, t in enumerate(turns)]
@@ -121,6 +144,11 @@ def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[M
     return records.select(F.col(key).alias("key"), F.col(record).alias("record")).mapInPandas(run, schema).withColumnRenamed("key", key)
 
 
+def layouts(turns: DataFrame) -> DataFrame:
+    """(layout, fingerprint, records): how often each layout was met; a null layout is one without a mapping."""
+    return turns.where("step = 0").groupBy("layout", "fingerprint").agg(F.count(F.lit(1)).alias("records"))
+
+
 @dataclass(frozen=True)
 class Template:
     """Text around a turn; ``{role}`` is the role.  ``controls`` must not occur unescaped inside texts."""
@@ -186,15 +214,20 @@ READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string,
 
 
 def read_back(formatted: DataFrame, key: str, template: Template = CHATML) -> DataFrame:
-    """What the formatted text itself says: turns and texts under the loss mask, unescaped, as digests."""
+    """What the formatted text itself says: turns and texts under the loss mask, unescaped, as digests.
+
+    A null ``formatted`` has no turns; empty and very long texts, repeated rows and an empty table are read like others;
+    other columns aren't read.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k, text, spans in zip(frame["key"], frame["formatted"], frame["loss_spans"], strict=True):
+                text = text or ""
                 turns = template.read(text)
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                loss = "".join(template.unescape(text[s["start"] : s["end"]]) for s in spans)
+                loss = "".join(template.unescape(text[s["start"] : s["end"]]) for s in (() if spans is None else spans))
                 out.append((k, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             yield pd.DataFrame(out, columns=["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 

@@ -250,7 +250,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str =
     """Adds the ids of each text (``array<int>``), as the library gives them, and the text decoded from them.
 
     Null texts count as empty: only the end id, decoded to the empty text.  Nothing is shuffled, and a text is never
-    cut.  Input columns called like the new ones are replaced.
+    cut; repeated rows all stay; an empty table gives an empty one.  Input columns called like the new ones are replaced.
     """
     keep = [c for c in df.columns if c not in (ids, decoded)]
     from pyspark.sql import types as T

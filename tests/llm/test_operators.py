@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empty and repeated rows, ties,
 clashing columns and empty tables."""
 
+import json
 import random
 import re
 import zlib
@@ -45,18 +46,25 @@ def test_chat_layouts_and_round_trip(spark):
         (2, '{"instruction":"do","input":"","output":"[INST]"}'),
         (3, '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}'),
         (4, '{"odd":1}'), (5, None), (6, '{"response":"r","prompt":"p"}'),
+        (7, '{"id":7,"prompt":"p","response":"r","meta":{"a":[1]}}'), (8, '{"messages":[{"role":"user","name":"n","content":[{"type":"text","text":"x"},{"type":"text","text":"y"}]},{"role":"assistant","content":"z"}]}'),
+        (9, '{"prompt":"p","response":"r","tools":["t"]}'), (9, '{"prompt":"p","response":"r","tools":["t"]}'), (10, json.dumps({"prompt": "<s>" * 50_000, "response": ""})),
     ]
-    turns = chat.canonical_turns(spark.createDataFrame(records, "id long, record string"), "id", "record")
+    turns = chat.canonical_turns(spark.createDataFrame(records, "id long, record string").withColumn("role", F.lit("clash")), "id", "record")
+    assert {(r["layout"], r["records"]) for r in chat.layouts(turns).collect()} == {("messages", 2), ("instruction", 1), ("sharegpt", 1), ("prompt", 3), (None, 1), (None, 2)}
     rows = {(r["id"], r["step"]): (r["layout"], r["role"], r["text"]) for r in turns.collect()}
     assert rows[1, 0] == ("messages", "user", "<|im_end|> a\\b") and rows[1, 1] == ("messages", "assistant", "")
     assert rows[2, 0] == ("instruction", "user", "do") and rows[3, 0] == ("sharegpt", "user", "hi") and rows[6, 1] == ("prompt", "assistant", "r")
+    assert rows[7, 0] == ("prompt", "user", "p") and rows[8, 0] == ("messages", "user", "xy") and rows[8, 1][2] == "z" and rows[9, 0] == (None, None, None)
     assert rows[4, 0] == (None, None, None) and rows[5, 0] == (None, None, None)
     out = chat.format_turns(turns.where("layout IS NOT NULL"), "id", ["step"])
     for r in out.collect():
         read = chat.CHATML.read(r["formatted"])
         assert read == [rows[r["id"], s][1:] for s in range(len(read))]
         assert "".join(chat.CHATML.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss_spans"]) == "".join(t for role, t in read if role == "assistant")
-    assert chat.format_turns(turns.limit(0), "id", ["step"]).count() == 0
+    assert chat.format_turns(turns.limit(0), "id", ["step"]).count() == 0 and chat.read_back(chat.format_turns(turns.limit(0), "id", ["step"]), "id").count() == 0
+    twice = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, None, None), (2, 0, "assistant", "")], "id long, step int, role string, text string").withColumn("formatted", F.lit("clash"))
+    read = {r["id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.format_turns(twice, "id", ["step"]), "id").collect()}
+    assert read == {1: (3, 0), 2: (1, 0)}
 
 
 def test_fingerprint_ignores_order():
@@ -369,6 +377,29 @@ def test_token_file_round_trip(spark):
     assert token_io.token_at(spark, path, at - 1) == 1 and token_io.token_at(spark, path, at) is None
 
 
+def test_token_file_of_repeated_keys_and_nothing(spark):
+    rows = [(5, "b"), (5, "a"), (5, "a"), (None, "none"), (2, "x " * 30_000)]
+    path = token_io.token_path(spark)
+    token_io.write_tokens(docs(spark, rows).withColumn("key", F.lit("clash")), path, WORD_TOKENIZER, block_chars=50)
+    out = sorted(token_io.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, 2, 5, 5, 5] and [r["start"] for r in out] == np.cumsum([0] + [r["n_tokens"] for r in out])[:-1].tolist()
+    assert out[1]["n_tokens"] == 30_001 and len({tuple(r["ids"]) for r in out[2:]}) == 2
+    path = token_io.token_path(spark)
+    token_io.write_tokens(docs(spark, rows).limit(0), path, WORD_TOKENIZER)
+    assert token_io.read_tokens(spark, path).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    from helixframe.llm.components import connected_components
+
+    r = random.Random(8)
+    order = r.sample(range(1000, 1060), 60)
+    links = list(zip(order[:-1], order[1:], strict=True)) + [(5, i) for i in range(6, 40)] + [(7, 7), (None, 3), (80, 81), (81, 80)]
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(order, min(order)) | dict.fromkeys(range(5, 40), 5) | {80: 80, 81: 80}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sentencepiece_equals_library(spark):
     import sentencepiece
 
@@ -378,6 +409,8 @@ def test_sentencepiece_equals_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     out = sentencepiece_codec.encode_decode(docs(spark, list(enumerate(texts)) + [(-1, None)]).withColumn("ids", F.lit("clash")), PIECE_MODEL).collect()
     assert len(out) == len(texts) + 1
+    twice = sentencepiece_codec.encode_decode(docs(spark, [(1, "a b"), (1, "a b")]), PIECE_MODEL).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and sentencepiece_codec.encode_decode(docs(spark, [(1, "a")]).limit(0), PIECE_MODEL).count() == 0
     for x in out:
         ids = [*sp.encode("" if x["doc_id"] < 0 else texts[x["doc_id"]]), 2]
         assert x["ids"] == ids and x["decoded"] == sp.decode(ids)
