@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +13,60 @@ from .normalisation import average_rank
 from .survival import t_tail
 
 
+#: Sums over samples, of a target's values x and another gene's values y.
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+#: Samples that are multiplied as one block.
+SAMPLES = 512
+
+
+def _products(rows: DataFrame, targets: list[str]) -> DataFrame:
+    """(target, gene, n, x, y, xx, yy, xy) for blocks of samples: matrix products over the values that both genes have,
+    so that a block gives one row for each pair, not one for each sample."""
+
+    def block(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        wide = pd.concat(parts).pivot_table(index="sample_id", columns="gene", values="value")
+        left = [g for g in targets if g in wide.columns]
+        right = [g for g in wide.columns if g not in own]
+        x, y = wide[left].to_numpy(float), wide[right].to_numpy(float)
+        mx, my = (~np.isnan(m) * 1.0 for m in (x, y))
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        values = {"n": mx.T @ my, "x": x.T @ my, "y": mx.T @ y, "xx": (x * x).T @ my, "yy": mx.T @ (y * y), "xy": x.T @ y}
+        out = pd.DataFrame({"target": np.repeat(np.array(left, object), len(right)), "gene": np.tile(np.array(right, object), len(left)), **{k: v.ravel() for k, v in values.items()}})
+        return out[out["n"] > 0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            both = pd.concat(held)
+            if both["sample_id"].nunique() > SAMPLES:
+                # Rows come sorted, so only the last sample may go on in the next frame.
+                last = both["sample_id"] == both["sample_id"].iloc[-1]
+                yield block([both[~last]])
+                both = both[last]
+            held = [both]
+        if held and len(held[0]):
+            yield block(held)
+
+    own = frozenset(targets)
+    dealt = rows.where(F.col("value").isNotNull()).select("sample_id", "gene", F.col("value").cast("double").alias("value")).repartition("sample_id").sortWithinPartitions("sample_id")
+    return dealt.mapInPandas(run, "target string, gene string, " + ", ".join(f"{c} double" for c in SUMS))
+
+
 def lethality_screen(assay: DataFrame, targets: DataFrame, known: DataFrame, below: float = -0.5, method: str = "spearman", least: int = 3, with_p: bool = False) -> DataFrame:
     """Correlation of each target gene with every other gene over the samples that have both.
 
-    Spearman ranks are taken per gene once.  Targets are an explicit list, so pairs grow as targets x genes.
+    Spearman ranks are taken per gene once.  Targets are an explicit list, so pairs grow as targets x genes; samples are
+    multiplied in blocks.
     """
     rows = assay
     if method == "spearman":
         rows = average_rank(assay, "value", ["gene"]).select("sample_id", "gene", F.col("rank").alias("value"))
-    a = rows.join(targets, "gene", "left_semi").select("sample_id", F.col("gene").alias("target"), F.col("value").alias("x"))
-    b = rows.join(targets, "gene", "left_anti").select("sample_id", "gene", F.col("value").alias("y"))
-    pairs = a.join(b, "sample_id").groupBy("target", "gene").agg(F.corr("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.round("correlation", 9) < below))
+    names = sorted(r["gene"] for r in targets.select("gene").distinct().collect())  # the explicit list
+    sums = _products(rows, names).groupBy("target", "gene").agg(*(F.sum(c).alias(c) for c in SUMS))
+    spread = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
+    corr = F.when(spread > 0, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread))
+    pairs = sums.select("target", "gene", corr.alias("correlation"), F.col("n").cast("long").alias("n")).where((F.col("n") >= least) & (F.round("correlation", 9) < below))
     flag = known.select(F.col("gene").alias("target"), F.col("partner").alias("gene")).distinct().withColumn("known_sl", F.lit(True))
     out = pairs.join(flag, ["target", "gene"], "left").fillna(False, ["known_sl"])
     if with_p:

@@ -49,13 +49,13 @@ def r3(v):
 
 @query("r4_hysteresis", "WITH s AS (SELECT user_id, coalesce(last_value(CASE WHEN value < 20 THEN 0 WHEN value > 60 THEN 1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS o FROM events) SELECT user_id AS subject, CAST(sum(o) AS BIGINT) AS n_on, count(*) AS n FROM s GROUP BY 1")
 def r4(v):
-    stream = _events(v).select(F.col("user_id").alias("subject"), "ts", F.col("event_id").alias("ord"), "value")
+    stream = _events(v).select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), "value")
     # This kind of state needs the RocksDB store; the session's own choice comes back afterwards.
     name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = v.spark.conf.get(name)
     v.spark.conf.set(name, store)
     try:
-        rows = _finished(v, J.hysteresis_stream(stream, 20, 60))
+        rows = _finished(v, J.hysteresis_stream(stream, 20, 60, quiet=400 * 86_400_000))
     finally:
         v.spark.conf.set(name, before)
     return rows.groupBy("subject").agg(F.sum("on").alias("n_on"), F.count(F.lit(1)).alias("n"))

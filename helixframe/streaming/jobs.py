@@ -31,12 +31,17 @@ def annotated_variants(stream: DataFrame, drugs: DataFrame) -> DataFrame:
 
 
 class Hysteresis(StatefulProcessor):
-    """On until below ``low``, off until above ``high``, per subject; a subject starts on.  State: the switch."""
+    """On until below ``low``, off until above ``high``, per subject; a subject starts on.  State: the switch.
 
-    def __init__(self, low: float, high: float):
-        self.low, self.high = low, high
+    With ``quiet``, the state of a subject without rows for so many milliseconds of event time is dropped: it starts on
+    again.
+    """
+
+    def __init__(self, low: float, high: float, quiet: int | None = None):
+        self.low, self.high, self.quiet = low, high, quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.switch = handle.getValueState("switch", T.StructType([T.StructField("on", T.IntegerType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -47,11 +52,23 @@ class Hysteresis(StatefulProcessor):
             on = 0 if value < self.low else 1 if value > self.high else on
             out.append(on)
         self.switch.update((on,))
+        if self.quiet is not None:
+            last = int(pd.Timestamp(frame["ts"].iloc[-1]).timestamp() * 1000)
+            for timer in list(self.handle.listTimers()):
+                last = max(last, timer - self.quiet)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.quiet)
         yield pd.DataFrame({"subject": key[0], "ord": frame["ord"].to_numpy(), "on": out}).astype({"on": "int32"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.switch.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def hysteresis_stream(stream: DataFrame, low: float, high: float) -> DataFrame:
-    return stream.groupBy("subject").transformWithStateInPandas(Hysteresis(low, high), "subject long, ord long, on int", "Append", "None")
+def hysteresis_stream(stream: DataFrame, low: float, high: float, quiet: int | None = None, late: str = "1 day") -> DataFrame:
+    """(subject, ord, on) of each row; ``quiet`` needs ``ts`` as event time, and drops rows later than the watermark."""
+    rows = stream if quiet is None else stream.withWatermark("ts", late)
+    return rows.groupBy("subject").transformWithStateInPandas(Hysteresis(low, high, quiet), "subject long, ord long, on int", "Append", "None" if quiet is None else "EventTime")
