@@ -135,27 +135,30 @@ class FmIndex:
             half = 1 << (len(self.minima) - 1)
             self.minima.append(np.minimum(self.minima[-1][:-half], self.minima[-1][half:]))
 
-    def matching_statistics(self, symbols: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a stream of documents: for each word the length of the longest match that ends there, ``most`` at most,
-        and the suffix range [low, high) of its occurrences.
+    def matching_statistics(self, symbols: np.ndarray, first: np.ndarray, most: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a stream of documents: for each word, or each of ``ends``, the length of the longest match that ends there,
+        ``most`` at most, and the suffix range [low, high) of its occurrences.
 
         ``symbols``: numbers of words, -1 for unknown ones; ``first``: the document's first place, for each word.  All
         places go backwards together, one symbol a step; a place leaves when its range would become empty.
         """
-        length = np.zeros(len(symbols), np.int64)
-        low, high = np.zeros(len(symbols), np.int64), np.full(len(symbols), self.n)
-        alive = np.arange(len(symbols))
+        ends = np.arange(len(symbols)) if ends is None else ends
+        length = np.zeros(len(ends), np.int64)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
+        alive = np.arange(len(ends))
         for step in range(most):
-            at = alive - step
-            alive = alive[at >= first[alive]]
-            code = symbols[alive - step] + 1
+            alive = alive[ends[alive] - step >= first[ends[alive]]]
+            code = symbols[ends[alive] - step] + 1
             known = (code > 0) & (code < len(self.count))
             known[known] = self.count[code[known]] > 0
             alive, code = alive[known], code[known]
             if not len(alive):
                 break
-            both = self.smaller[np.concatenate((code, code))] + self.wavelet.rank(np.concatenate((code, code)), np.concatenate((low[alive], high[alive])))
-            a, b = both[: len(alive)], both[len(alive) :]
+            if step:
+                both = self.smaller[np.concatenate((code, code))] + self.wavelet.rank(np.concatenate((code, code)), np.concatenate((low[alive], high[alive])))
+                a, b = both[: len(alive)], both[len(alive) :]
+            else:
+                a, b = self.smaller[code], self.smaller[code + 1]
             met = a < b
             alive = alive[met]
             low[alive], high[alive], length[alive] = a[met], b[met], step + 1
@@ -243,11 +246,12 @@ def _first_owners(contents: DataFrame, window: int) -> DataFrame:
         symbols, _ = numbered(words, NOT_SPACE)
         index = FmIndex(symbols, words.count, frame["doc"].to_numpy(), 2 * window)
         first, owners = np.repeat(words.first[:-1], words.count), np.zeros(len(symbols), np.int64)
-        for a in range(0, len(words.count), 4_000):
-            i, j = words.first[a], words.first[min(a + 4_000, len(words.count))]
-            length, low, high = index.matching_statistics(symbols[i:j], first[i:j] - i, window)
-            above = np.flatnonzero(length >= window)
-            owners[i + above] = index.smallest_owner(low[above], high[above])
+        full = np.flatnonzero(np.arange(len(symbols)) - first >= window - 1)  # where a window can end
+        for a in range(0, len(full), 100_000):
+            ends = full[a : a + 100_000]
+            length, low, high = index.matching_statistics(symbols, first, window, ends)
+            above = length >= window
+            owners[ends[above]] = index.smallest_owner(low[above], high[above])
         each = [owners[a + window - 1 : b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
         return pd.DataFrame({"shard": frame["shard"], "cid": frame["cid"], "owners": each})
 
