@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -105,4 +106,5 @@ def may_occur(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFram
 
 def swept(spark: SparkSession) -> None:
     """Lets the driver collect garbage: Spark then deletes the shuffle files of tables that nothing refers to."""
+    gc.collect()
     spark._jvm.System.gc()

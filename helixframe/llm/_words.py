@@ -13,7 +13,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MIX_1, _MIX_2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 #: Bytes hashed at a time: bounds the temporary arrays, however long a text is.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 SPACE = b"\t\n\x0b\x0c\r "
 
@@ -57,7 +57,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows whose texts have ``limit`` bytes at most (or one longer text): work arrays are many
     times as large as the texts, so this bounds a task's memory."""
     for batch in batches:

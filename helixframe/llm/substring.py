@@ -298,13 +298,14 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = written(signed.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "firsts")
     later = signed.select("doc", "tid", "uid").distinct().join(firsts, "tid").where("doc > first").select("doc", "tid", "uid")
     later = written(later, "later")
-    unique = signed.join(later.select("uid"), "uid", "left_anti").select("uid", F.explode("anchors").alias("anchor"))
+    told = may_occur(signed.select("uid", "anchors"), "uid", later.select("uid"), "_may")
+    unique = told.where("NOT _may").unionByName(told.where("_may").join(later, "uid", "left_anti")).select("uid", F.explode("anchors").alias("anchor"))
     shared = written(unique.groupBy("anchor").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("anchor", (F.col("m") > HOT).alias("is_hot")), "shared")
     own = unique.join(shared, "anchor")
     by_doc = written(own.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")), "own")
     dropped(signed, firsts, shared)
-    held = may_occur(rows, "uid", by_doc.select("uid"), "_may").where("_may")
     swept(spark)
+    held = may_occur(rows, "uid", by_doc.select("uid"), "_may").where("_may")
     segments = written(_segments(held.join(by_doc, "uid").select("doc", "tid", "text", "anchors", "hot"), window), "segments")
     dropped(by_doc)
     swept(spark)
@@ -313,6 +314,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     placed = segments.withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).withColumn("cid", F.unhex(F.md5(F.col("words").cast("binary"))))
     contents = placed.groupBy("shard", "cid", "words").agg(F.min("doc").alias("doc"))
     owners = written(_first_owners(contents, window), "owners")
+    swept(spark)
     flagged = placed.select("shard", "cid", "doc", "tid", "start").join(owners, ["shard", "cid"])
     starts = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc"), i + F.col("start"))), lambda x: x.isNotNull())
     # The windows of a passage that are repeated stand next to each other but for rare gaps: first and last of each run.
@@ -323,6 +325,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = ranges.withColumn("whole", F.lit(False)).unionByName(later.select("doc", "tid").withColumns({"ranges": F.array().cast("array<int>"), "whole": F.lit(True)}))
     out = written(found.select("doc", "tid", "ranges", "whole"), "ranges")
     dropped(segments, owners, later)
+    swept(spark)
     return out
 
 

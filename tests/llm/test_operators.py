@@ -221,10 +221,12 @@ def test_ngram_join(spark, monkeypatch, k, percent, small):
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = r.choice(voc)
         rows.append((i, " ".join(w[: len(w) - r.choice([0, 0, 4])])))
+    rows.append((151, " ".join(r.choices(voc, k=30_000))))
     frame = docs(spark, rows + rows[-3:]).withColumn("n_shingles", F.lit("clash"))
     out = ngram_join.jaccard_components(frame, k=k, percent=percent, rounds=0 if small else 2).collect()
     assert len(out) == len(rows) + 3
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, k, percent)
+    assert small or ngram_join.jaccard_components(frame.limit(0), k=k, percent=percent).count() == 0
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90])
