@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, sql, substring, token_io, toxicity
+from . import chat, decontaminate, divergence, license_scan, line_runs, ngram_join, quality, sentencepiece_codec, sharding, sql, substring, token_io, toxicity, whitening
 from ._io import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +97,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_runs.without_shared_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -108,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_file": op9_token_file,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -117,4 +133,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": sql.op6_sql(decontaminate.WINDOW),
     "op7_rendezvous_shards": sql.op7_sql(24),
     "op8_substring_dedup": sql.op8_sql(substring.WINDOW),
+    "op11_line_dedup": sql.op11_sql(40, 5),
+    "op13_source_divergence": sql.op13_sql(10, 10),
 }

@@ -135,3 +135,38 @@ r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY 1)
 SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)"""
+
+
+def op11_sql(chars: int, documents: int) -> str:
+    blanks = " || ".join(f"chr({i})" for i in (32, *range(9, 14)))
+    key = f"translate(trim(line, {blanks}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM t),
+keyed AS (SELECT *, {key} AS k FROM e),
+f AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= {chars} GROUP BY 1 HAVING count(DISTINCT doc_id) >= {documents}),
+g AS (SELECT r, keyed.doc_id, line, i, coalesce(keyed.doc_id <> f.top, false) AS gone FROM keyed LEFT JOIN f ON keyed.k = f.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r"""
+
+
+def op13_sql(documents: int, top: int) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= {documents}),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(c) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(c) + 2) // (any_value(m) + 2 * any_value(v)) AS q
+  FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(coalesce(n, 0)) AS m FROM n GROUP BY 1) USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}"""
