@@ -150,7 +150,7 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     lost = written(lost, "lost")
     dropped(shared)
     deleted(spark, [path])
-    joined = docs.join(lost, "_key", "left")
+    joined = docs.join(lost.hint("merge"), "_key", "left")  # one plan at every size
     told = joined.withColumn("_done", _without(chars)(F.when(F.col("_lost").isNotNull(), F.col("_text")), F.col("_lost")))
     whole, n = F.coalesce("_text", F.lit("")), F.coalesce(F.col("_done.n_dropped"), F.lit(0)).cast("long")
     out = told.select(
