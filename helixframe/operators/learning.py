@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from . import cohort, metrics, screens
+from . import cohort, components, metrics, screens
 
 
 def forest(trees: int = 20, depth: int = 4, seed: int = 1) -> RandomForestClassifier:
@@ -50,11 +50,14 @@ def decoded(codes: DataFrame, names: list[str], code: str = "prediction") -> Dat
 
 
 def wide(assay: DataFrame, genes: list[str]) -> DataFrame:
-    """(sample_id, x): values of the listed genes in their order, 0 where there is none."""
-    means = assay.where(F.col("gene").isin(genes)).groupBy("sample_id", "gene").agg(F.avg("value").alias("v"))
-    maps = means.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "v"))).alias("_m"))
-    order = F.array(*map(F.lit, genes))
-    return maps.select("sample_id", F.transform(order, lambda g: F.coalesce(F.col("_m")[g], F.lit(0.0))).alias("x"))
+    """(sample_id, x): values of the listed genes in their order, 0 where there is none.
+
+    A dictionary table numbers the genes; each sample's (number, mean) pairs become one vector.
+    """
+    places = assay.sparkSession.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, at int")
+    means = assay.join(places, "gene").groupBy("sample_id", "at").agg(F.avg("value").alias("v"))
+    maps = means.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("_m"))
+    return maps.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(len(genes) - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("x"))
 
 
 def training_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,17 +118,18 @@ def searched(rows: DataFrame, folds: int = 3, depths: tuple[int, ...] = (2, 4),
 
 
 def compared(variants: dict[str, tuple[DataFrame, object]], base: str, folds: int = 5, repeats: int = 1) -> DataFrame:
-    """Per variant (rows and model): mean and spread of its metrics over the same folds, the difference in F1 to
-    ``base``, and z and p of the paired signed-rank test that ``base`` is better."""
+    """Per variant (rows and model): mean and spread of its metrics over the same folds, the differences in F1 and
+    accuracy to ``base``, and z and p (exact for so few folds) of the paired signed-rank tests that ``base`` is better."""
     runs = {}
     for name, (rows, model) in variants.items():
         runs[name] = written(fold_metrics(cross_validated(rows, model, folds, repeats)).withColumn("variant", F.lit(name)), "folds")
     out = None
     for name, one in runs.items():
         means = one.groupBy("variant").agg(*(f(c).alias(f"{c}{s}") for c in ("accuracy", "f1") for f, s in ((F.avg, ""), (F.stddev_pop, "_std"))), F.count(F.lit(1)).alias("n_folds"))
-        pairs = runs[base].select("repeat", "fold", F.col("f1").alias("a")).join(one.select("repeat", "fold", F.col("f1").alias("b")), ["repeat", "fold"])
-        test = metrics.wilcoxon(pairs).select("z", "p")
-        means = means.join(F.broadcast(pairs.agg(F.avg(F.col("b") - F.col("a")).alias("delta_f1")))).join(F.broadcast(test))
+        for measure, end in (("f1", ""), ("accuracy", "_accuracy")):
+            pairs = runs[base].select("repeat", "fold", F.col(measure).alias("a")).join(one.select("repeat", "fold", F.col(measure).alias("b")), ["repeat", "fold"])
+            test = metrics.wilcoxon(pairs).select(F.col("z").alias(f"z{end}"), F.col("p").alias(f"p{end}"))
+            means = means.join(F.broadcast(pairs.agg(F.avg(F.col("b") - F.col("a")).alias(f"delta_{measure}")))).join(F.broadcast(test))
         out = means if out is None else out.unionByName(means)
     return out
 
@@ -163,10 +167,10 @@ def bootstrap_ensemble(rows: DataFrame, members: int = 3, model: Callable[[int],
     return out
 
 
-def principal_components(rows: DataFrame, k: int = 2, features: str = "features") -> DataFrame:
-    """(sample_id, components): features are centred first, as the projection itself doesn't."""
-    centred = StandardScaler(inputCol=features, outputCol="_c", withMean=True, withStd=False).fit(rows).transform(rows)
-    return PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred).select("sample_id", vector_to_array("_p").alias("components"))
+def principal_components(rows: DataFrame, k: int = 2, features: str = "features") -> tuple[DataFrame, list[tuple[float, float]]]:
+    """((sample_id, components), [(variance, share)]) of feature vectors; see ``components``."""
+    long = rows.select("sample_id", F.posexplode(vector_to_array(features)).alias("dim", "value"))
+    return components.principal_components(long, k, gene="dim")
 
 
 def held_out(rows: DataFrame, model: object) -> DataFrame:
@@ -187,7 +191,7 @@ def fused_rows(assay: DataFrame, genes: list[str], embeddings: DataFrame, labels
     return training_rows(wide(assay, genes).join(z, "sample_id").select("sample_id", F.concat("x", "z").alias("x")), labels)
 
 
-def fitted_fusion(assay: DataFrame, labels: DataFrame, embeddings: DataFrame, drift: DataFrame, k: int = 20, least: int = 5, components: int = 8) -> DataFrame:
+def fitted_fusion(assay: DataFrame, labels: DataFrame, embeddings: DataFrame, drift: DataFrame, k: int = 20, least: int = 5, parts: int = 8) -> DataFrame:
     """The end-to-end ranking: (gene, importance, instability, fusion_index, accuracy, accuracy_std), best first.
 
     Genes with a symbol's name; rare classes merged; a forest whose ``k`` largest importances choose the targets; the
@@ -200,8 +204,8 @@ def fitted_fusion(assay: DataFrame, labels: DataFrame, embeddings: DataFrame, dr
     rows = written(training_rows(wide(assay, genes), labels), "rows")
     top = written(importances(forest().fit(rows), genes, assay.sparkSession, k), "importances")
     fused = embedded_rows(assay, embeddings, labels, top.select("gene", F.col("importance").alias("weight")))
-    parts = principal_components(fused, components).withColumnRenamed("components", "_pc")
-    both = written(rows.join(parts, "sample_id").select("sample_id", F.concat(vector_to_array("features"), "_pc").alias("x")), "fused")
+    projected = principal_components(fused, parts)[0].withColumnRenamed("components", "_pc")
+    both = written(rows.join(projected, "sample_id").select("sample_id", F.concat(vector_to_array("features"), "_pc").alias("x")), "fused")
     scores = fold_metrics(cross_validated(training_rows(both, labels), forest(), *plan_of(rows)))
     scores = scores.agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_std"))
     ranked = top.join(drift.select("gene", F.col("mean").alias("instability")), "gene", "left").fillna(0.0, ["instability"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .cohort import decision_quality
 from .normalisation import quantile_cut
 from .ranks import cumulative
+from .scans import carried, discounted, previous
 from .survival import normal_tail
 
 
@@ -21,9 +22,10 @@ def drift(reference: Column, mutant: Column) -> Column:
 
 
 def drift_statistics(embeddings: DataFrame) -> DataFrame:
-    """Per gene, over its mutants (variant_no > 0) against the reference (variant_no 0)."""
-    reference = embeddings.where("variant_no = 0").select("gene", F.col("embedding").alias("_ref"))
-    each = embeddings.where("variant_no > 0").join(reference, "gene").select("gene", drift(F.col("_ref"), F.col("embedding")).alias("d"))
+    """Per gene, over its mutants against the reference, the variant with the smallest ``variant_no``."""
+    reference = embeddings.groupBy("gene").agg(F.min("variant_no").alias("_first"), F.min_by("embedding", "variant_no").alias("_ref"))
+    mutants = embeddings.join(reference, "gene").where(F.col("variant_no") > F.col("_first"))
+    each = mutants.select("gene", drift(F.col("_ref"), F.col("embedding")).alias("d"))
     return each.groupBy("gene").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.max("d").alias("max"), F.min("d").alias("min"))
 
 
@@ -142,30 +144,51 @@ def exposure(series: DataFrame, effect: Column) -> DataFrame:
     return rows.groupBy("subject").agg(F.max("c").alias("cmax"), F.min("c").alias("cmin"), F.avg("c").alias("cavg"), (F.avg("c") * 24).alias("auc24"), F.max_by("_e", "c").alias("effect_peak"), F.min_by("_e", "c").alias("effect_trough"))
 
 
-def hysteresis(series: DataFrame, low: float, high: float, by: str = "subject", order: list[str] = ("ts", "ord")) -> DataFrame:
-    """On (1) until below ``low``, then off (0) until above ``high``; starts on."""
+def hysteresis(series: DataFrame, low: float, high: float, by: str = "subject", order: list[str] = ("ts", "ord"), quiet: float | None = None) -> DataFrame:
+    """On (1) until below ``low``, then off (0) until above ``high``; starts on, also after more than ``quiet`` seconds
+    without a row.  Rows map the switch to itself or to a constant, and such maps are composed by ranges."""
     signal = F.when(F.col("value") < low, 0).when(F.col("value") > high, 1)
-    rows = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return series.withColumn("on", F.coalesce(F.last(signal, ignorenulls=True).over(rows), F.lit(1)))
+    if quiet is not None:
+        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        gaps = previous(series.withColumn("_at", at), [by], list(order), "_at", "_before")
+        series = gaps.withColumn("_again", F.col("_at") - F.col("_before") > quiet * 1_000_000).drop("_at", "_before")
+        signal = F.coalesce(signal, F.when(F.col("_again"), 1))
+    told = carried(series.withColumn("_signal", signal), [by], list(order), "_signal", "on")
+    return told.withColumn("on", F.coalesce("on", F.lit(1))).drop("_signal", "_again")
 
 
 def returns_to_go(episodes: DataFrame, gamma: float, by: str = "episode", step: str = "t", reward: str = "r") -> DataFrame:
-    ahead = W.partitionBy(by).orderBy(step).rowsBetween(0, W.unboundedFollowing)
-    return episodes.withColumn("g", F.sum(F.col(reward) * F.pow(F.lit(gamma), step)).over(ahead) / F.pow(F.lit(gamma), step))
+    """Adds ``g``, the discounted return from each step on; episodes of any length, steps are whole numbers."""
+    return discounted(episodes, gamma, [by], step, reward, "g")
+
+
+#: Pairs up to which the signed-rank law is exact, if no two differences tie.
+EXACT_PAIRS = 50
+
+
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """P(W+ >= w) over all 2^n sign patterns of the ranks 1..n: rank by rank, the number of patterns with each sum."""
+    zeros = lambda r: F.array_repeat(F.lit(0).cast("long"), r.cast("int"))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1).cast("long")), lambda c, r: F.zip_with(F.concat(c, zeros(r)), F.concat(zeros(r), c), lambda a, b: a + b))
+    at_least = F.aggregate(F.slice(ways, w.cast("int") + 1, F.size(ways)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return at_least / F.pow(F.lit(2.0), n)
 
 
 def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Signed ranks of a - b: n, W+, the one-sided normal approximation z of "greater", and its p.
+    """Signed ranks of a - b: n, W+, the one-sided normal approximation z of "greater", and p.
 
-    Distinct absolute differences are counted, and the counts added up by ranges.  Without differences z and p are null.
+    p is exact up to ``EXACT_PAIRS`` differences without ties, else that of z.  Distinct absolute differences are
+    counted, and the counts added up by ranges.  Without differences z and p are null.
     """
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     cells = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("d") > 0).cast("long")).alias("_p"))
     ranked = cumulative(cells, [], ["m"], ["_n"]).withColumn("_rank", F.col("before__n") + (F.col("_n") + 1) / 2)
-    sums = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_p") * F.col("_rank")), F.lit(0.0)).alias("w_plus"))
+    sums = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_p") * F.col("_rank")), F.lit(0.0)).alias("w_plus"), F.max("_n").alias("_most"))
     n = F.col("n").cast("double")
     z = F.when(n > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
-    return sums.withColumn("z", z).withColumn("p", normal_tail("z"))
+    few = (F.col("_most") == 1) & (F.col("n") <= EXACT_PAIRS)
+    exact = signed_rank_tail(F.when(few, F.col("n")).otherwise(1), F.when(few, F.col("w_plus")).otherwise(0))
+    return sums.withColumn("z", z).withColumn("p", F.when(few, exact).otherwise(normal_tail("z"))).drop("_most")
 
 
 # Folds and samples: a hash of the key takes the place of a random generator.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranks import counted, quantiles
+from .scans import stepped_means
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
@@ -24,36 +26,32 @@ def standard_scale(assay: DataFrame) -> DataFrame:
     return assay.join(moments, "gene").withColumn("value", (F.col("value") - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
 
 
-def _by_index(assay: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The counted values of each gene, and the mean over genes of the values with each index (from 0) in their gene."""
-    values = counted(assay, "value", ["gene"])
-    # Equal values take neighbouring indices.
-    each = values.select("value", F.explode(F.sequence("before__n", F.col("before__n") + F.col("_n") - 1)).alias("_i"))
-    return values, each.groupBy("_i").agg(F.avg("value").alias("_q"))
-
-
 def quantile_normalise(assay: DataFrame) -> DataFrame:
     """Each value becomes the mean, over genes, of the values with its (smallest) rank in its gene."""
-    values, means = _by_index(assay)
-    told = values.select("gene", "value", F.col("before__n").alias("_i")).join(means, "_i")
+    values = counted(assay, "value", ["gene"])
+    told = values.select("gene", "value", F.col("before__n").alias("_i")).join(stepped_means(values, "value"), "_i")
     return assay.join(told, ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
 
 
 def quantile_normalise_to(source: DataFrame, reference: DataFrame) -> DataFrame:
     """Source values take the reference's quantile of their rank; over genes that both have."""
     common = source.select("gene").distinct().join(reference.select("gene").distinct(), "gene")
-    _, quantiles_ = _by_index(reference.join(common, "gene", "left_semi"))
-    size = quantiles_.agg(F.max("_i").alias("_last"))
+    values = counted(reference.join(common, "gene", "left_semi"), "value", ["gene"])
+    size = values.agg((F.max("all__n") - 1).alias("_last"))
     own = source.join(common, "gene", "left_semi")
-    ranked = counted(own, "value", ["gene"]).join(F.broadcast(size)).select("gene", "value", F.least("before__n", "_last").alias("_i"))
-    return own.join(ranked.join(quantiles_, "_i"), ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
+    ranked = written(counted(own, "value", ["gene"]).join(F.broadcast(size)).select("gene", "value", F.least("before__n", "_last").alias("_i")), "ranks")
+    means = stepped_means(values, "value", ranked)
+    return own.join(ranked.join(means, "_i"), ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
 
 
 def combat(rows: DataFrame, batch: str = "batch", parametric: bool = True) -> DataFrame:
     """Batch correction of (sample_id, gene, value, batch): location shrunk towards its mean over genes, scale not.
 
-    With one batch the values stay.
+    With one batch the values stay.  A row without a batch, or a sample in two batches, is an error: batch labels then
+    don't fit the rows.
     """
+    known = F.when(F.col(batch).isNull(), F.raise_error(F.lit("each row needs a batch"))).otherwise(F.col(batch))
+    rows = rows.withColumn(batch, known)
     gene = rows.groupBy("gene").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")).withColumn("_s", F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s")))
     z = rows.join(gene, "gene").withColumn("_z", (F.col("value") - F.col("_m")) / F.col("_s"))
     cell = z.groupBy("gene", batch).agg(F.avg("_z").alias("_g"), F.var_pop("_z").alias("_d"), F.count(F.lit(1)).alias("_n"))

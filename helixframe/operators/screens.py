@@ -36,16 +36,21 @@ def _products(rows: DataFrame, targets: list[str]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        samples, last = 0, None
         for frame in frames:
+            if not len(frame):
+                continue
+            ids = frame["sample_id"]
+            samples += int((ids != ids.shift()).sum()) - int(ids.iloc[0] == last)
+            last = ids.iloc[-1]
             held.append(frame)
-            both = pd.concat(held)
-            if both["sample_id"].nunique() > SAMPLES:
+            if samples > SAMPLES:
                 # Rows come sorted, so only the last sample may go on in the next frame.
-                last = both["sample_id"] == both["sample_id"].iloc[-1]
-                yield block([both[~last]])
-                both = both[last]
-            held = [both]
-        if held and len(held[0]):
+                both = pd.concat(held)
+                open_ = both["sample_id"] == last
+                yield block([both[~open_]])
+                held, samples = [both[open_]], 1
+        if held:
             yield block(held)
 
     own = frozenset(targets)

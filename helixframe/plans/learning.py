@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
+from ..operators import components
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..sources.scratch import written
@@ -82,8 +83,9 @@ def m7(v):
 
 @query("m8_principal_components")
 def m8(v):
-    # The sign of a component is free.
-    return L.principal_components(rows(v)).select("sample_id", *(F.round(F.abs(F.col("components")[i]), 4).alias(f"pc{i + 1}") for i in range(2)))
+    """The first two components of all genes (their sign is free), with the shares of all variance."""
+    scores, variances = components.principal_components(v.assay, 2)
+    return scores.select("sample_id", *(F.round(F.abs(F.col("components")[i]), 4).alias(f"pc{i + 1}") for i in range(2)), *(F.lit(round(s, 6)).alias(f"share{i + 1}") for i, (_, s) in enumerate(variances)))
 
 
 @query("m9a_fusion_weights")

@@ -16,10 +16,8 @@ def rounded(df, digits=5, keep=()):
 
 
 def embeddings(v):
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return v.embeddings.select(F.concat(F.lit("G"), F.col("label").cast("string")).alias("gene"), number.alias("variant_no"), "embedding")
+    """The variant with the smallest number is a gene's reference."""
+    return v.embeddings.select(F.concat(F.lit("G"), F.col("label").cast("string")).alias("gene"), F.col("vec_id").alias("variant_no"), "embedding")
 
 
 EMB = "emb AS (SELECT concat('G', CAST(label AS VARCHAR)) AS gene, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS variant_no, embedding FROM embeddings), refs AS (SELECT gene, embedding AS r FROM emb WHERE variant_no = 0), dr AS (SELECT emb.gene, greatest(0, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(r[i] AS DOUBLE) * embedding[i])) / (sqrt(list_sum(list_transform(r, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))))) AS d FROM emb JOIN refs ON emb.gene = refs.gene WHERE variant_no > 0)"
@@ -200,6 +198,18 @@ def w16(v):
     return M.wilcoxon(rows).withColumns({"z": F.round("z", 4), "p": F.round("p", 6)})
 
 
+#: 2^n sign patterns of a few differences, one of a nation each.
+PAIRS = "c AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 4) AS a FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 4) AS b FROM supplier GROUP BY 1), d AS (SELECT round(a - b, 4) AS d FROM c JOIN s ON c.k = s.k WHERE round(a - b, 4) <> 0)"
+
+
+@query("w16_exact_signed_ranks", f"WITH RECURSIVE {PAIRS}, r AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rk FROM d), t AS (SELECT count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS DOUBLE) AS w_plus FROM r), sums AS (SELECT 0::BIGINT AS step, 0::BIGINT AS s, 1::BIGINT AS ways UNION ALL SELECT step + 1, s + x * (step + 1), CAST(sum(ways) AS BIGINT) FROM sums, (VALUES (0), (1)) b(x) WHERE step < (SELECT n FROM t) GROUP BY 1, 2) SELECT n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 4) AS z, round(CAST((SELECT sum(ways) FROM sums WHERE step = n AND s >= w_plus) AS DOUBLE) / pow(2, n), 9) AS p FROM t")
+def w16_exact(v):
+    c = v.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 4).cast("double").alias("a"))
+    s = v.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 4).cast("double").alias("b"))
+    pairs = c.join(s, "k").select(F.round(F.col("a") - F.col("b"), 4).alias("a"), F.lit(0.0).alias("b"))
+    return M.wilcoxon(pairs).withColumns({"z": F.round("z", 4), "p": F.round("p", 9)})
+
+
 @query("w18_stratified_folds", "WITH f AS (SELECT r, y, (row_number() OVER (PARTITION BY r, y ORDER BY md5(concat(CAST(r AS VARCHAR), '|', CAST(id AS VARCHAR))), id) - 1) % 5 AS fold, id FROM predictions, (SELECT unnest(range(3)) AS r)) SELECT CAST(r AS INTEGER) AS repeat, y, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f GROUP BY 1, 2, 3")
 def w18(v):
     return M.repeated_folds(v.predictions, 5, 3).groupBy("repeat", "y", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
