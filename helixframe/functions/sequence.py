@@ -168,15 +168,29 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 
 def point_mutants(df: DataFrame, mutants: int = 3) -> DataFrame:
-    """Mutants with max(3, length / 100) changed bases, at the places with the smallest hashes: (gene, mutant, seq)."""
-    each = df.where(F.length("seq") > 0).select("gene", F.split("seq", "").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(mutants))).alias("mutant"))
-    draw = lambda i: F.md5(F.concat_ws("|", F.col("gene"), F.col("mutant").cast("string"), i.cast("string")).cast("binary"))
-    n = F.size("b")
-    draws = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(draw(i).alias("h"), i.alias("i")))
-    last = lambda d: F.element_at(F.sort_array(d), F.least(n, F.greatest(F.lit(3), F.floor(n / 100).cast("int"))))
-    # The hash's first digit picks one of the three other bases: the next ones in the cycle A, C, G, T.
-    step = lambda h: F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 3 + 1
+    """Mutants with max(3, length / 100) changed bases (all, if there are fewer): (gene, mutant, seq).
+
+    Places are drawn by a counter: draw j is hash(gene, mutant, j) modulo the length, and the first distinct ones count;
+    a few more draws than changes are made, and should they repeat each other too often, the first places of the
+    sequence that aren't drawn yet follow.  So a mutant costs hashes for its changes, not for its bases.  Letters are
+    ASCII; sequences without letters have no mutants.
+    """
+    n = F.octet_length("seq")
+    size = F.least(n, F.greatest(F.lit(3), F.floor(n / 100).cast("int")))
+    each = df.where(n > 0).select("gene", F.col("seq").cast("binary").alias("s"), n.alias("n"), size.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(mutants))).alias("mutant"))
+    hashed = lambda *parts: F.md5(F.concat_ws("|", F.col("gene"), F.col("mutant").cast("string"), *parts).cast("binary"))
+    number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    draws = F.transform(F.sequence(F.lit(0), F.col("k") + F.floor(F.col("k") / 8).cast("int") + 15), lambda j: (number(hashed(j.cast("string"))) % F.col("n")).cast("int"))
+    places = F.array_sort(F.slice(F.array_distinct(F.concat(draws, F.sequence(F.lit(0), F.col("k") - 1))), 1, F.col("k")))
+    each = each.withColumn("p", places)
+    # One of the three other bases: the next ones in the cycle A, C, G, T.
+    step = lambda at: F.conv(F.substring(hashed(F.lit("b"), at.cast("string")), 1, 1), 16, 10).cast("int") % 3 + 1
+    letter = lambda at: F.substring(F.col("s"), at + 1, F.lit(1)).cast("string")
     place = lambda b: F.when(b == "A", 1).when(b == "C", 2).when(b == "G", 3).otherwise(4)
-    turned = lambda b, h: F.substring(F.lit("ACGTACGT"), place(b) + step(h), F.lit(1))
-    letters = _let(draws, lambda d: _let(last(d), lambda end: F.zip_with("b", d, lambda b, x: F.when(x <= end, turned(b, x["h"])).otherwise(b))))
-    return each.select("gene", "mutant", F.array_join(letters, "").alias("seq"))
+    turned = lambda at: F.substring(F.lit("ACGTACGT"), place(letter(at)) + step(at), F.lit(1))
+    # What lies between two changes is cut from the bytes as one piece.
+    since = lambda i: F.when(i == 0, 0).otherwise(F.element_at("p", F.greatest(i, F.lit(1))) + 1)
+    until = lambda i: F.when(i < F.col("k"), F.element_at("p", F.least(i + 1, F.col("k")))).otherwise(F.col("n"))
+    piece = lambda i: F.substring(F.col("s"), since(i) + 1, until(i) - since(i)).cast("string")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.concat(piece(i), F.when(i < F.col("k"), turned(until(i))).otherwise("")))
+    return each.select("gene", "mutant", F.array_join(pieces, "").alias("seq"))

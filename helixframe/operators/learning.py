@@ -6,28 +6,29 @@ features, label and weight.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from . import cohort, components, metrics, screens
+from .boosting import PARALLEL, ClassBoosting
 
 
 def forest(trees: int = 20, depth: int = 4, seed: int = 1) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted(rounds: int = 3, depth: int = 3, rate: float = 0.3, seed: int = 1) -> OneVsRest:
-    """Multi-class boosting: one boosted ensemble for each class against the rest."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed), featuresCol="features", labelCol="label", weightCol="weight", parallelism=4)
+def boosted(rounds: int = 10, depth: int = 3, rate: float = 0.3, seed: int = 1) -> ClassBoosting:
+    return ClassBoosting(rounds, depth, rate, seed=seed)
 
 
 def baselines() -> dict[str, object]:
@@ -93,28 +94,18 @@ def plan_of(rows: DataFrame) -> tuple[int, int]:
 def cross_validated(rows: DataFrame, model: object, folds: int = 5, repeats: int = 1) -> DataFrame:
     """Predictions of held-out folds: (repeat, fold, id, y, yhat)."""
     split = written(metrics.repeated_folds(rows.withColumnRenamed("label", "y"), folds, repeats).withColumnRenamed("y", "label"), "split")
-    out = None
-    for r in range(repeats):
-        for f in range(folds):
-            part = split.where(F.col("repeat") == r)
-            fitted = model.fit(part.where(F.col("fold") != f))
-            one = fitted.transform(part.where(F.col("fold") == f)).select("repeat", "fold", "id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
-            out = one if out is None else out.unionByName(one)
-    return out
 
+    def one(place: tuple[int, int]) -> DataFrame:
+        part = split.where(F.col("repeat") == place[0])
+        fitted = model.fit(part.where(F.col("fold") != place[1]))
+        return fitted.transform(part.where(F.col("fold") == place[1])).select("repeat", "fold", "id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
 
-def fold_metrics(predictions: DataFrame) -> DataFrame:
-    return metrics.classification_metrics(predictions, ["repeat", "fold"])
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, itertools.product(range(repeats), range(folds))))
 
 
-def searched(rows: DataFrame, folds: int = 3, depths: tuple[int, ...] = (2, 4), trees: tuple[int, ...] = (10, 20), parallelism: int = 4) -> DataFrame:
-    """A row per grid point: depth, trees, mean F1 over the folds."""
-    model = forest()
-    grid = ParamGridBuilder().addGrid(model.maxDepth, depths).addGrid(model.numTrees, trees).build()
-    folded = metrics.stratified_folds(rows.withColumnRenamed("label", "y"), folds).withColumnRenamed("y", "label")
-    fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="fold", parallelism=parallelism).fit(folded)
-    points = [(int(g[model.maxDepth]), int(g[model.numTrees]), float(m)) for g, m in zip(grid, fitted.avgMetrics, strict=True)]
-    return rows.sparkSession.createDataFrame(points, "depth int, trees int, f1 double")
+def fold_metrics(predictions: DataFrame) -> DataFrame:
+    return metrics.classification_metrics(predictions, ["repeat", "fold"])
 
 
 def compared(variants: dict[str, tuple[DataFrame, object]], base: str, folds: int = 5, repeats: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,40 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("node", "type", "degree", F.round(F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0), 6).alias("centrality"))
 
 
+def reach_masks(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((source, block, bit), (block, node, dist, mask)): breadth-first levels of 64 sources at a time.
+
+    A mask has a bit per source of its block that reaches the node first at this level; frontiers are joined with the
+    edges and merged by OR, so a level costs a row per block of sources and node, and the nodes seen are one mask each.
+    """
+    placed = cumulative(sources.select("node").distinct().withColumn("_one", F.lit(1)), [], ["node"], ["_one"])
+    numbers = written(placed.select(F.col("node").alias("source"), F.floor(F.col("before__one") / 64).alias("block"), (F.col("before__one") % 64).cast("int").alias("bit")), "numbers")
+    own = numbers.groupBy("block", F.col("source").alias("node")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    frontier = written(own.withColumn("dist", F.lit(0)), "level")
+    seen, levels, level = frontier.select("block", "node", "mask"), [frontier], 0
+    while depth is None or level < depth:
+        level += 1
+        reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("_new"))
+        met = reached.join(seen.withColumnRenamed("mask", "_old"), ["block", "node"], "left").withColumn("_old", F.coalesce("_old", F.lit(0).cast("long")))
+        fresh = met.withColumn("mask", F.expr("_new & ~_old")).where("mask <> 0")
+        frontier = written(fresh.select("block", "node", "mask", F.lit(level).alias("dist")), "level")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        seen = written(seen.unionByName(frontier.select("block", "node", "mask")).groupBy("block", "node").agg(F.bit_or("mask").alias("mask")), "seen")
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    return numbers, out.select("block", "node", "dist", "mask")
+
+
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, node, dist) of all nodes in reach: the masks' bits as rows."""
+    numbers, masks = reach_masks(edges, sources, depth)
+    bits = masks.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("mask"), b) == 1)))
+    return bits.join(numbers, ["block", "bit"]).select("source", "node", "dist")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
     """(source, node, dist, sigma): breadth-first levels from all sources at once, with the number of shortest paths.
 
@@ -44,28 +80,62 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int | None = Non
     return seen
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Brandes' sums over the sources (all nodes by default), both directions counted, over (n - 1)(n - 2)."""
-    paths = written(shortest_paths(edges, (sources if sources is not None else nodes).select("node")), "paths")
-    n = nodes.count()
+def dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, delta): Brandes' shares of each source's shortest paths that pass through the other nodes."""
+    paths = written(shortest_paths(edges, sources.select("node")), "paths")
     deepest = paths.agg(F.max("dist")).first()[0] or 0
-    delta = None
+    out = paths.select("source", "node", F.lit(0.0).alias("delta")).limit(0)
     below = paths.where(F.col("dist") == deepest).withColumn("delta", F.lit(0.0))
-    for level in range(deepest, 0, -1):
+    for level in range(deepest, 1, -1):
         above = paths.where(F.col("dist") == level - 1)
         step = below.select("source", F.col("node").alias("src"), ((1 + F.col("delta")) / F.col("sigma")).alias("_c")).join(edges, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("_c").alias("_c"))
         below = written(above.join(step, ["source", "node"], "left").withColumn("delta", F.col("sigma") * F.coalesce("_c", F.lit(0.0))).drop("_c"), "delta")
-        if level > 1:
-            part = below.select("node", "delta")
-            delta = part if delta is None else delta.unionByName(part)
-    total = (delta if delta is not None else paths.select("node", F.lit(0.0).alias("delta")).limit(0)).groupBy("node").agg(F.sum("delta").alias("_t"))
+        out = out.unionByName(below.select("source", "node", "delta"))
+    return out
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Brandes' sums over the sources (all nodes by default), both directions counted, over (n - 1)(n - 2)."""
+    n = nodes.count()
+    total = dependencies(edges, sources if sources is not None else nodes).groupBy("node").agg(F.sum("delta").alias("_t"))
     scale = (n - 1) * (n - 2) if n > 2 else 1
     return nodes.join(total, "node", "left").select("node", "type", F.round(F.coalesce("_t", F.lit(0.0)) / scale, 6).alias("betweenness"))
 
 
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, error: float, first: int = 64, doubt: float = 0.05) -> DataFrame:
+    """(node, type, betweenness, standard_error, bound, sources): estimates from sources that a hash picks, without
+    replacement.
+
+    The mean share of the sampled sources stands for all.  A node may owe most of its betweenness to a few sources (a
+    leaf's only neighbour does), which a sample can miss along with its spread; so beside the standard error there is an
+    empirical Bernstein bound, which knows that a share is n - 2 at most: an estimate is further off with a chance of
+    ``doubt`` at most.  Each round doubles the sample, and keeps what the rounds before have summed, until no node's
+    bound passes ``error`` or all nodes are sources; then the result is exact, and error and bound are 0.
+    """
+    n = nodes.count()
+    largest = (n - 2) if n > 2 else 1
+    # A mean share times n sources over (n - 1)(n - 2) pairs.
+    times, chance = n / max(n - 1, 1) / largest, math.log(3 / doubt)
+    placed = cumulative(nodes.select("node", F.md5(F.col("node").cast("string").cast("binary")).alias("_h"), F.lit(1).alias("_one")), [], ["_h", "node"], ["_one"])
+    placed = written(placed.select("node", F.col("before__one").alias("at")), "order")
+    sums, done, size = None, 0, min(first, n)
+    while True:
+        new = dependencies(edges, placed.where((F.col("at") >= done) & (F.col("at") < size))).groupBy("node").agg(F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("q"))
+        sums = written(new if sums is None else sums.unionByName(new).groupBy("node").agg(F.sum("s").alias("s"), F.sum("q").alias("q")), "sums")
+        mean = F.coalesce("s", F.lit(0.0)) / max(size, 1)
+        spread = F.greatest(F.coalesce("q", F.lit(0.0)) / max(size, 1) - mean * mean, F.lit(0.0)) * size / max(size - 1, 1)
+        missing = 0.0 if size >= n else 1.0
+        deviation = F.sqrt(spread / max(size, 1) * ((n - size) / max(n - 1, 1)))
+        bound = (F.sqrt(spread * 2 * chance / max(size, 1)) + 3 * largest * chance / max(size, 1)) * missing
+        out = nodes.join(sums, "node", "left").select("node", "type", (mean * times).alias("betweenness"), (deviation * times).alias("standard_error"), (bound * times).alias("bound"), F.lit(size).alias("sources"))
+        if size >= n or (out.agg(F.max("bound")).first()[0] or 0.0) <= error:
+            return out
+        done, size = size, min(2 * size, n)
+
+
 def combination_targets(nodes: DataFrame, edges: DataFrame, genes: DataFrame, hops: int = 2) -> DataFrame:
     """For each gene: other genes within ``hops`` that have a drug, their drugs, and the pathways shared with it."""
-    near = shortest_paths(edges, genes, hops).where("dist > 0").join(nodes.where("type = 'gene'"), "node")
+    near = distances(edges, genes, hops).where("dist > 0").join(nodes.where("type = 'gene'"), "node")
     by_type = edges.join(nodes.withColumnRenamed("node", "dst"), "dst")
     drugs = by_type.where("type = 'drug'").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("drugs"))
     paths = by_type.where("type = 'pathway'").groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("paths"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..operators import boosting, companion, components
 from ..operators import cohort as C
-from ..operators import components
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..sources.scratch import written
@@ -58,9 +58,20 @@ def m3(v):
     return rounded(M.fold_summary(scores, ["accuracy", "precision", "recall", "f1", "f2"])).withColumns({"folds": F.lit(folds), "repeats": F.lit(repeats)})
 
 
+@query("m1_early_stopping")
+def m1_early(v):
+    """How many rounds each class's ensemble kept, of 12, and the loss over all rows."""
+    data = rows(v)
+    model = L.boosted(12).fit(data)
+    loss = model.log_loss(data)
+    kept = [(int(c), r, loss) for c, r in zip(model.classes, model.rounds, strict=True)]
+    return rounded(v.spark.createDataFrame(kept, "code int, rounds int, log_loss double"))
+
+
 @query("m4_search")
 def m4(v):
-    return rounded(L.searched(rows(v)))
+    """Nine points of nine parameters, on a ninth, a third and all of the rows."""
+    return rounded(boosting.searched(rows(v), boosting.random_points(9)))
 
 
 @query("m5_baselines")
@@ -130,4 +141,7 @@ def m10(v):
 
 @query("m12_fitted_fusion")
 def m12(v):
-    return rounded(L.fitted_fusion(v.assay, v.labels_s, embeddings(v), M.drift_statistics(embeddings(v))))
+    """The flagship: fit, projection, cross-validation, ranking, and annotations of the ranked genes."""
+    ranked = L.fitted_fusion(v.assay, v.labels_s, embeddings(v), M.drift_statistics(embeddings(v)))
+    told = companion.annotations(ranked, v.drug_dim, v.pathway_dim, C.symmetric(v.sl_dim), v.resistance_dim)
+    return rounded(told).orderBy(F.desc("fusion_index"), "gene")

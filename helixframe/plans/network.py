@@ -24,12 +24,19 @@ def g2(v):
     return G.degree_centrality(*graph(v))
 
 
-BFS = "l0 AS MATERIALIZED (SELECT node AS source, node, 0 AS dist, 1.0::DOUBLE AS sigma FROM nodes WHERE type = 'gene')"
 #: More levels than any of the given graphs has.
 DEPTH = 12
-for _k in range(1, DEPTH + 1):
-    _seen = " UNION ALL ".join(f"SELECT source, node FROM l{j}" for j in range(_k))
-    BFS += f", s{_k} AS ({_seen}), l{_k} AS MATERIALIZED (SELECT l.source, e.dst AS node, {_k} AS dist, sum(sigma) AS sigma FROM l{_k - 1} l JOIN edges e ON l.node = e.src LEFT JOIN s{_k} s ON s.source = l.source AND s.node = e.dst WHERE s.node IS NULL GROUP BY 1, 2)"
+
+
+def levels(sources: str) -> str:
+    out = f"l0 AS MATERIALIZED (SELECT node AS source, node, 0 AS dist, 1.0::DOUBLE AS sigma FROM nodes WHERE {sources})"
+    for _k in range(1, DEPTH + 1):
+        _seen = " UNION ALL ".join(f"SELECT source, node FROM l{j}" for j in range(_k))
+        out += f", s{_k} AS ({_seen}), l{_k} AS MATERIALIZED (SELECT l.source, e.dst AS node, {_k} AS dist, sum(sigma) AS sigma FROM l{_k - 1} l JOIN edges e ON l.node = e.src LEFT JOIN s{_k} s ON s.source = l.source AND s.node = e.dst WHERE s.node IS NULL GROUP BY 1, 2)"
+    return out
+
+
+BFS, EVERY = levels("type = 'gene'"), levels("true")
 ALL = " UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(DEPTH + 1))
 
 
@@ -47,10 +54,24 @@ for _k in range(DEPTH, 0, -1):
 FLOW = " UNION ALL ".join(f"SELECT node, delta FROM d{j}" for j in range(1, DEPTH + 1))
 
 
-@query("g4_betweenness", f"WITH {GRAPH}, {BFS}, {BACK}, t AS (SELECT node, sum(delta) AS t FROM ({FLOW}) GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes) SELECT nodes.node, type, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes CROSS JOIN n LEFT JOIN t ON nodes.node = t.node")
+@query("g3_distances", f"WITH {GRAPH}, {EVERY} SELECT source, dist, count(*) AS n FROM ({ALL}) GROUP BY 1, 2")
+def g3_distances(v):
+    nodes, edges = graph(v)
+    return G.distances(edges, nodes).groupBy("source", "dist").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g4_betweenness", f"WITH {GRAPH}, {EVERY}, {BACK}, t AS (SELECT node, sum(delta) AS t FROM ({FLOW}) GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes) SELECT nodes.node, type, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes CROSS JOIN n LEFT JOIN t ON nodes.node = t.node")
 def g4(v):
     nodes, edges = graph(v)
-    return G.betweenness(nodes, edges, nodes.where("type = 'gene'"))
+    return G.betweenness(nodes, edges)
+
+
+@query("g4_sampled_betweenness")
+def g4_sampled(v):
+    """Estimates that are off by 0.1 at most, with a chance of 5 %."""
+    nodes, edges = graph(v)
+    out = G.sampled_betweenness(nodes, edges, 0.1)
+    return out.withColumns({c: F.round(c, 6) for c in ("betweenness", "standard_error", "bound")})
 
 
 @query("g5_combination_targets", f"WITH {GRAPH}, {BFS}, near AS (SELECT a.* FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) a JOIN nodes n ON a.node = n.node AND type = 'gene'), dr AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS drugs FROM edges JOIN nodes ON dst = node AND type = 'drug' GROUP BY 1), pa AS (SELECT src, dst FROM edges JOIN nodes ON dst = node AND type = 'pathway'), sh AS (SELECT x.source, x.node, string_agg(p.dst, ',' ORDER BY p.dst) AS shared FROM near x JOIN pa p ON p.src = x.node JOIN pa q ON q.src = x.source AND q.dst = p.dst GROUP BY 1, 2) SELECT near.source, near.node, near.dist, coalesce(shared, '') AS shared, md5(drugs) AS drugs FROM near JOIN dr ON near.node = dr.src LEFT JOIN sh ON near.source = sh.source AND near.node = sh.node")

@@ -34,13 +34,15 @@ def f4(v):
 
 
 def changes(v):
-    """Missense changes at a place that the document's id sets."""
+    """Missense changes at a place of the whole protein that the document's id sets."""
     aa = F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), (F.col("doc_id") % 20 + 1).cast("int"), F.lit(1))
     kind = F.when(F.col("doc_id") % 3 == 0, "Silent").otherwise("Missense_Mutation")
-    return v.documents.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("gene"), F.concat(F.lit("p.A"), (F.col("doc_id") * 7 % 90 + 1).cast("string"), aa).alias("change"), kind.alias("variant_class"))
+    letters = F.greatest(F.length(F.regexp_replace(F.lower("text"), "[^a-z]", "")), F.lit(1))
+    place = (F.col("doc_id") * 7919 % letters + 1).cast("string")
+    return v.documents.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("gene"), F.concat(F.lit("p.A"), place, aa).alias("change"), kind.alias("variant_class"))
 
 
-CH = "ch AS (SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, concat('p.A', CAST(doc_id * 7 % 90 + 1 AS VARCHAR), substr('ACDEFGHIKLMNPQRSTVWY', CAST(doc_id % 20 + 1 AS INTEGER), 1)) AS change, CASE WHEN doc_id % 3 = 0 THEN 'Silent' ELSE 'Missense_Mutation' END AS variant_class FROM documents)"
+CH = "ch AS (SELECT concat('D', CAST(doc_id AS VARCHAR)) AS gene, concat('p.A', CAST(doc_id * 7919 % greatest(length(regexp_replace(lower(text), '[^a-z]', '', 'g')), 1) + 1 AS VARCHAR), substr('ACDEFGHIKLMNPQRSTVWY', CAST(doc_id % 20 + 1 AS INTEGER), 1)) AS change, CASE WHEN doc_id % 3 = 0 THEN 'Silent' ELSE 'Missense_Mutation' END AS variant_class FROM documents)"
 PEP = f"""{CH}, m AS (SELECT DISTINCT ch.gene, change, seq, CAST(regexp_replace(substr(change, 3, length(change) - 3), '[^0-9]', '', 'g') AS INTEGER) - 1 AS pos, right(change, 1) AS aa FROM ch JOIN proteins p ON ch.gene = p.gene WHERE variant_class = 'Missense_Mutation'),
 l AS (SELECT *, concat(substr(seq, 1, pos), aa, substr(seq, pos + 2)) AS mseq, unnest([8, 9, 10, 11]) AS len FROM m WHERE pos < length(seq)),
 w AS (SELECT *, unnest(range(greatest(0, pos - len + 1), least(pos, length(seq) - len) + 1)) AS start FROM l),
@@ -88,7 +90,7 @@ def a48(v):
     return Q.library_summary(Q.guide_library(v.sequences))
 
 
-@query("f12_point_mutants", "WITH e AS (SELECT gene, length(seq) AS n, b, m, i, md5(concat(gene, '|', CAST(m AS VARCHAR), '|', CAST(i AS VARCHAR))) AS h FROM (SELECT gene, seq, m, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS b FROM sequences, (SELECT unnest(range(1, 4)) AS m) WHERE seq <> '')), r AS (SELECT *, row_number() OVER (PARTITION BY gene, m ORDER BY h, i) AS r FROM e), c AS (SELECT *, r <= least(n, greatest(3, n // 100)) AS hit FROM r) SELECT gene, CAST(m AS INTEGER) AS mutant, string_agg(CASE WHEN hit THEN substr('ACGTACGT', CAST(strpos('ACGT', b) + ('0x' || substr(h, 1, 1))::BIGINT % 3 + 1 AS INTEGER), 1) ELSE b END, '' ORDER BY i) AS seq FROM c GROUP BY gene, m")
+@query("f12_point_mutants", "WITH s AS (SELECT gene, seq, length(seq) AS n, least(length(seq), greatest(3, length(seq) // 100)) AS k, m FROM sequences, (SELECT unnest(range(1, 4)) AS m) WHERE seq <> ''), dr AS (SELECT gene, m, n, k, j, ('0x' || substr(md5(concat(gene, '|', CAST(m AS VARCHAR), '|', CAST(j AS VARCHAR))), 1, 8))::BIGINT % n AS p FROM (SELECT *, unnest(range(0, k + k // 8 + 16)) AS j FROM s) UNION ALL SELECT gene, m, n, k, 1000000000 + i, i FROM (SELECT *, unnest(range(0, k)) AS i FROM s)), fi AS (SELECT gene, m, k, p, min(j) AS j FROM dr GROUP BY ALL), hit AS (SELECT gene, m, p FROM (SELECT *, row_number() OVER (PARTITION BY gene, m ORDER BY j) AS r FROM fi) WHERE r <= k), e AS (SELECT gene, m, unnest(string_split(seq, '')) AS b, unnest(range(0, n)) AS i FROM s) SELECT e.gene, CAST(e.m AS INTEGER) AS mutant, string_agg(CASE WHEN p IS NULL THEN b ELSE substr('ACGTACGT', CAST(strpos('ACGT', b) + ('0x' || substr(md5(concat(e.gene, '|', CAST(e.m AS VARCHAR), '|b|', CAST(i AS VARCHAR))), 1, 1))::BIGINT % 3 + 1 AS INTEGER), 1) END, '' ORDER BY i) AS seq FROM e LEFT JOIN hit ON e.gene = hit.gene AND e.m = hit.m AND e.i = hit.p GROUP BY 1, 2")
 def f12(v):
     return Q.point_mutants(v.sequences)
 

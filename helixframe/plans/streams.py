@@ -16,9 +16,9 @@ def _events(v):
     return v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(f"{v.sf_dir}/event[s].parquet")
 
 
-def _finished(v, stream, mode="append"):
-    """Runs all that is there into a table of files."""
-    root = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex[:10]}"
+def _finished(v, stream, mode="append", root=None):
+    """Runs all that is there into a table of files; with the ``root`` of an earlier run it goes on from there."""
+    root = root or f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex[:10]}"
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -47,15 +47,27 @@ def r3(v):
     return _finished(v, J.annotated_variants(stream, v.drug_dim)).groupBy("gene", "impact").agg(F.max("n_drugs").alias("n_drugs"), F.count(F.lit(1)).alias("n"))
 
 
-@query("r4_hysteresis", "WITH s AS (SELECT user_id, coalesce(last_value(CASE WHEN value < 20 THEN 0 WHEN value > 60 THEN 1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS o FROM events) SELECT user_id AS subject, CAST(sum(o) AS BIGINT) AS n_on, count(*) AS n FROM s GROUP BY 1")
+#: Hours without a row after which a subject starts on again.
+QUIET = 18
+
+
+@query("r4_hysteresis", f"WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT user_id, last_value(CASE WHEN value < 20 THEN 0 WHEN value > 60 THEN 1 WHEN before IS NULL OR ts - before > INTERVAL {QUIET} HOUR THEN 1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM l) SELECT user_id AS subject, CAST(sum(o) AS BIGINT) AS n_on, count(*) AS n FROM s GROUP BY 1")
 def r4(v):
-    stream = _events(v).select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), "value")
+    """The events arrive in four parts, one after the other; the watermark passes quiet subjects' timers in between."""
+    rows = v.events.select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), "value")
+    second = F.unix_seconds("ts")
+    cuts = rows.select(F.percentile_approx(second, [0.25, 0.5, 0.75]).alias("c")).first()["c"]
+    root = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex[:10]}"
     # This kind of state needs the RocksDB store; the session's own choice comes back afterwards.
     name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = v.spark.conf.get(name)
     v.spark.conf.set(name, store)
     try:
-        rows = _finished(v, J.hysteresis_stream(stream, 20, 60, quiet=400 * 86_400_000))
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = rows.where((second > low if low is not None else F.lit(True)) & (second <= high if high is not None else F.lit(True)))
+            part.write.mode("append").parquet(f"{root}/in")
+            stream = v.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+            done = _finished(v, J.hysteresis_stream(stream, 20, 60, quiet=QUIET * 3_600_000, late="0 seconds"), root=root)
     finally:
         v.spark.conf.set(name, before)
-    return rows.groupBy("subject").agg(F.sum("on").alias("n_on"), F.count(F.lit(1)).alias("n"))
+    return done.groupBy("subject").agg(F.sum("on").alias("n_on"), F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,12 @@ def annotated_variants(stream: DataFrame, drugs: DataFrame) -> DataFrame:
 
 
 class Hysteresis(StatefulProcessor):
-    """On until below ``low``, off until above ``high``, per subject; a subject starts on.  State: the switch.
+    """On until below ``low``, off until above ``high``, per subject; a subject starts on.  State: the switch and when
+    the subject was last seen.
 
-    With ``quiet``, the state of a subject without rows for so many milliseconds of event time is dropped: it starts on
-    again.
+    With ``quiet``, a subject without rows for more than so many milliseconds of event time starts on again: the gap
+    decides for a row, and a timer drops the state once the watermark has passed it, so that subjects which never come
+    back are forgotten.
     """
 
     def __init__(self, low: float, high: float, quiet: int | None = None):
@@ -42,23 +45,25 @@ class Hysteresis(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.switch = handle.getValueState("switch", T.StructType([T.StructField("on", T.IntegerType())]))
+        self.switch = handle.getValueState("switch", T.StructType([T.StructField("on", T.IntegerType()), T.StructField("seen", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        on = self.switch.get()[0] if self.switch.exists() else 1
+        on, seen = self.switch.get() if self.switch.exists() else (1, None)
         frame = pd.concat(list(rows)).sort_values(["ts", "ord"], kind="stable")
-        out = []
-        for value in frame["value"]:
-            on = 0 if value < self.low else 1 if value > self.high else on
-            out.append(on)
-        self.switch.update((on,))
+        value = frame["value"]
+        signal = pd.Series(np.select([value < self.low, value > self.high], [0.0, 1.0], np.nan))
+        at = pd.Series(frame["ts"].to_numpy("datetime64[us]").astype("int64"))
+        if self.quiet is not None:
+            before = at.shift(fill_value=at.iloc[0] if seen is None else seen)
+            signal = signal.mask(signal.isna() & (at - before > self.quiet * 1000), 1.0)
+        state = signal.ffill().fillna(on).astype("int32").to_numpy()
+        last = int(at.iloc[-1]) if seen is None else max(int(at.iloc[-1]), seen)
+        self.switch.update((int(state[-1]), last))
         if self.quiet is not None:
-            last = int(pd.Timestamp(frame["ts"].iloc[-1]).timestamp() * 1000)
             for timer in list(self.handle.listTimers()):
-                last = max(last, timer - self.quiet)
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last + self.quiet)
-        yield pd.DataFrame({"subject": key[0], "ord": frame["ord"].to_numpy(), "on": out}).astype({"on": "int32"})
+            self.handle.registerTimer(last // 1000 + self.quiet + 1)
+        yield pd.DataFrame({"subject": key[0], "ord": frame["ord"].to_numpy(), "on": state})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.switch.clear()
