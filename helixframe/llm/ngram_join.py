@@ -298,7 +298,7 @@ def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type:
         return F.when(low > high, 1 << 30).otherwise(F.greatest(F.lit(1), F.least(first, second)))
 
     open_ = F.exists("bands", lambda b: ((b["lo"] != F.col("comp")) | (b["hi"] != F.col("comp"))) & (F.least(b["c"], F.col("c")) >= asked(b)))
-    left = written(rows.join(bands, "token").where(open_).select("token", "rep", "comp", "pos"), "open")
+    left = opened = written(rows.join(bands, "token").where(open_).select("token", "rep", "comp", "pos"), "open")
     spread = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("lo < hi")
     left = left.join(spread.select("token", "cells"), "token")
     whole = held.select("rep", "n", "end", "tokens")
@@ -326,7 +326,7 @@ def _candidates(held: DataFrame, labels: DataFrame | None, rule: Rule, key_type:
             yield _pairs_batch(_block_pairs(block, rule), kind)
 
     found = written(dealt.mapInArrow(run, f"a {key_type}, b {key_type}").distinct(), "pairs")
-    dropped(rows, left)
+    dropped(rows, opened)
     return found
 
 
@@ -348,7 +348,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets; the component is the smallest key reachable by links, itself included.
 
     Null and empty texts have size 0 and link with nothing; equal sets always link; rows with the same key count as one
-    document, that with the smallest text, and all get its result; very long texts are cut into batches of their own,
+    document, that with the smallest text, and all get its result; so do rows without a key, whose component is null
+    unless their text has copies; very long texts are cut into batches of their own,
     never shortened; an empty table gives an empty one; only the two columns are read.
 
     1. Equal sets (128 bits over 63-bit shingles) become one class each; its representative is the smallest key.
@@ -396,4 +397,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         ids = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     whole = members.join(ids.select(*alike, "component_id"), alike, "left")
     whole = whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    return given.select(key).join(whole, key) if repeated else whole
+    if not repeated:
+        return whole
+    named = whole.withColumnRenamed(key, "_key")
+    return given.select(key).join(named, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

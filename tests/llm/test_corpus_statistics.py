@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import _io, divergence, line_runs, whitening
+from helixframe.llm import _io, divergence, line_runs, ngram_join, whitening
 from helixframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -219,3 +219,12 @@ def test_shares_are_exact():
     counts = np.array([0, 1, 10**12, 4 * 10**15])
     total = 8 * 10**15
     assert divergence.shares(counts, total, 7).tolist() == [1 + 10**9 * (int(c) + 2) // (total + 14) for c in counts]
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_rows_without_a_key_stay_in_the_join(spark, repeats):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z w v u"), (3, None)] + ([(1, "a b c d e f")] if repeats else [])
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(
+        [(1, 4, 1), (2, 4, 1), (None, 4, None), (3, 0, 3)] + ([(1, 4, 1)] if repeats else []), key=str
+    )
