@@ -170,6 +170,24 @@ def held_out(rows: DataFrame, model: object) -> DataFrame:
     return model.fit(split.where("NOT is_test")).transform(split.where("is_test")).select(F.lit(0).alias("fold"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
 
 
+def refit_stability(rows: DataFrame, model: object, draws: int = 5, fraction: float = 0.7) -> DataFrame:
+    """One row: mean accuracy and F1 of models fitted on ``draws`` hashed subsamples, each judged by the rows it hasn't
+    seen, and the stability coefficients of both (spread over mean)."""
+    drawn = written(metrics.subsample(rows, draws, fraction).select("draw", "id"), "draws")
+
+    def one(d: int) -> DataFrame:
+        mine = drawn.where(F.col("draw") == d).select("id")
+        got = model.fit(rows.join(mine, "id", "left_semi")).transform(rows.join(mine, "id", "left_anti"))
+        return got.select(F.lit(d).alias("draw"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        judged = reduce(DataFrame.unionByName, pool.map(one, range(draws)))
+    each = written(metrics.classification_metrics(judged, ["draw"]), "stability")
+    parts = [metrics.stability(each, c).select(F.col("stability").alias(f"{c}_stability")) for c in ("accuracy", "f1")]
+    means = each.agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("draws"))
+    return means.join(F.broadcast(parts[0])).join(F.broadcast(parts[1]))
+
+
 def embedded_rows(assay: DataFrame, embeddings: DataFrame, labels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Training rows whose features are the (weighted) embedding sums."""
     z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("x"))

@@ -139,6 +139,12 @@ def m10(v):
     return rounded(M.classification_metrics(L.held_out(rows(v), L.forest()), ["fold"])).drop("fold")
 
 
+@query("a37_refit_stability")
+def a37(v):
+    """How far accuracy and F1 move when the forest is fitted anew on 70 % of the samples."""
+    return rounded(L.refit_stability(rows(v), L.forest()))
+
+
 @query("m12_fitted_fusion")
 def m12(v):
     """The flagship: fit, projection, cross-validation, ranking, and annotations of the ranked genes."""

@@ -98,6 +98,18 @@ def test_a_hold_out_is_never_learned_from(spark, rows):
 
 
 
+def test_stability_over_refits(spark, rows):
+    out = L.refit_stability(rows, L.forest(5, 3), draws=3).first()
+    accuracy = []
+    for d in range(3):
+        mine = M.subsample(rows, 3).where(f"draw = {d}").select("id")
+        got = L.forest(5, 3).fit(rows.join(mine, "id", "left_semi")).transform(rows.join(mine, "id", "left_anti")).collect()
+        accuracy.append(sum(r["label"] == r["prediction"] for r in got) / len(got))
+    mean = sum(accuracy) / 3
+    assert out["draws"] == 3 and out["accuracy"] == pytest.approx(mean)
+    assert out["accuracy_stability"] == pytest.approx(math.sqrt(sum((a - mean) ** 2 for a in accuracy) / 2) / mean)
+
+
 @pytest.fixture()
 def rocks(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
