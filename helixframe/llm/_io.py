@@ -87,6 +87,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unclaimed(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of an operator's own, like ``wanted``, that no input column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits of the map that tells which keys may occur in a list: its size doesn't depend on the data.
 KEY_BITS = 1 << 24
 
@@ -95,13 +107,14 @@ def may_occur(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFram
     """Adds ``flag``: false where ``key`` surely isn't in the table ``keys`` (one column), so that rows without a
     partner needn't be shuffled for a join.  A bit map of the keys' hashes, ``KEY_BITS`` / 64 rows at most, is broadcast.
     """
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BITS))
-    bit = F.expr("shiftleft(1L, CAST(_at % 64 AS INT))")
+    at, word, bits = unclaimed(rows.columns, "at", "word", "bits")
     own = keys.columns[0]
-    words = keys.select(F.pmod(F.xxhash64(F.col(own)), F.lit(KEY_BITS)).alias("_at")).groupBy(F.expr("_at div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    told = rows.withColumn("_at", at).withColumn("_word", F.expr("_at div 64")).join(F.broadcast(words), "_word", "left")
-    met = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
-    return told.withColumn(flag, met).drop("_at", "_word", "_bits")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(KEY_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST({at} % 64 AS INT))")
+    words = keys.select(slot(own).alias(at)).groupBy(F.expr(f"{at} div 64").alias(word)).agg(F.bit_or(bit).alias(bits))
+    told = rows.withColumn(at, slot(key)).withColumn(word, F.expr(f"{at} div 64")).join(F.broadcast(words), word, "left")
+    met = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return told.withColumn(flag, met).drop(at, word, bits)
 
 
 def swept(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import written
+from ._io import unclaimed, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 _BLANKS = "[ \\t-\\r]+"
@@ -53,14 +53,15 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     by_word = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _covered(w).alias("r")))
     by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    w, x, m = unclaimed(df.columns, "w", "l", "m")
     return (
-        df.withColumns({"_w": by_word, "_l": by_line, "_m": F.regexp_replace(value, "[^!-/:-@\\[-`{-~]+", "")})
+        df.withColumns({w: by_word, x: by_line, m: F.regexp_replace(value, "[^!-/:-@\\[-`{-~]+", "")})
         .withColumns({
-            "n_words": F.col("_w.n").cast("long"), "word_chars": F.col("_w.c").cast("long"), "n_repeat_words": F.col("_w.r").cast("long"),
-            "n_lines": F.col("_l.n").cast("long"), "n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("long"), "n_marks": F.length("_m").cast("long"),
-            "n_symbols": F.length(F.regexp_replace("_m", "[^#*$%&|<>]+", "")).cast("long"), "n_stops": F.length(F.regexp_replace("_m", "[^.!?]+", "")).cast("long"),
+            "n_words": F.col(w)["n"].cast("long"), "word_chars": F.col(w)["c"].cast("long"), "n_repeat_words": F.col(w)["r"].cast("long"),
+            "n_lines": F.col(x)["n"].cast("long"), "n_dup_lines": (F.col(x)["n"] - F.col(x)["d"]).cast("long"), "n_marks": F.length(m).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(m, "[^#*$%&|<>]+", "")).cast("long"), "n_stops": F.length(F.regexp_replace(m, "[^.!?]+", "")).cast("long"),
         })
-        .drop("_w", "_l", "_m")
+        .drop(w, x, m)
     )
 
 
@@ -150,10 +151,11 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, t
 
     ``keep`` names the input columns that stay (all by default).  Measures and votes are written once to the shared
     folder, since both learning and judging read them.  Null and empty texts have no words and fail; repeated rows all
-    stay, and each counts; an empty table gives an empty one.  Input columns called like the new ones are replaced.
+    stay, and each counts; an empty table gives an empty one.  Input columns called like the new ones are replaced; all others stay, whatever
+    their names.
     """
     keep = df.columns if keep is None else keep
-    votes = [f"_v{i}" for i in range(len(rules))]
+    votes = unclaimed(df.columns, *(f"v{i}" for i in range(len(rules))))
     new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_stops", "base_failed", "votes", "quality", "kept", *votes]
     keep = [c for c in keep if c not in new]
     rows = measured(df.select(*dict.fromkeys([*keep, text])), text).withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)})

@@ -43,6 +43,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("sentence_ids", ",").alias("sentence_ids"),
         F.array_join("licenses", ",").alias("licenses"),
         "n_unmatched",
+        F.array_join("expressions", ";").alias("expressions"),
     )
 
 

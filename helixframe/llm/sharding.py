@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import unclaimed
+
 #: Hex digits of the hash that parts a shard into sub-groups (16 for each digit), so that no task sorts a whole shard.
 BUCKET_DIGITS = 3
 
@@ -48,22 +50,23 @@ def assign_shards(
     columns, so rows of one key are spread over buckets where ``ties`` differ.  A table of shards x 4096 counts, whose
     size doesn't depend on the data, gives the offsets.  Rows that agree in key and ties can't be told apart: they have
     neighbouring slots, in no order.  A null key counts as the empty one; long texts aren't read; an empty table gives
-    an empty one.  Input columns called like the new ones are replaced.
+    an empty one.  Input columns called like the new ones are replaced; all others stay, whatever their names.
     """
     from pyspark.sql import Window as W
 
+    bucket, n, first, place = unclaimed([*df.columns, shard, slot], "bucket", "n", "from", "place")
     order = [F.col(key), *map(F.col, ties)]
     placed = df.drop(shard, slot).withColumn(shard, rendezvous_shard(F.col(key), weights))
     told = F.concat_ws("|", *(c.cast("string") for c in order))
-    placed = placed.withColumn("_bucket", F.substring(F.md5(told.cast("binary")), 1, BUCKET_DIGITS))
-    counts = placed.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = W.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = placed.withColumn("_place", F.row_number().over(inside) - 1)
+    placed = placed.withColumn(bucket, F.substring(F.md5(told.cast("binary")), 1, BUCKET_DIGITS))
+    counts = placed.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy(shard).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(shard, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    inside = W.partitionBy(shard, bucket).orderBy(*order)
+    numbered = placed.withColumn(place, F.row_number().over(inside) - 1)
     # At most len(weights) * 4096 rows: safe to broadcast at any data size.
     return (
-        numbered.join(F.broadcast(offsets), [shard, "_bucket"])
-        .withColumn(slot, (F.col("_from") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_from", "_place")
+        numbered.join(F.broadcast(offsets), [shard, bucket])
+        .withColumn(slot, (F.col(first) + F.col(place)).cast("long"))
+        .drop(bucket, first, place)
     )

@@ -38,8 +38,8 @@ def _variants(ids: tuple[str, ...]) -> list[list[str]]:
 
 
 def op3_sql() -> str:
-    """Rules over lists of identifiers by position; a used-up element becomes a bar.  Sentences are cut with a look at
-    each line's last sign instead of one pattern over the text."""
+    """Rules over lists of identifiers by position; a used-up element becomes a bar.  Known sentences inside others are
+    found by trying all runs of lines, and no list of telling words decides what is looked up."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.KNOWN.items())
     steps, names = [], []
     for r, (name, ids) in enumerate(license_scan.RULES):
@@ -56,26 +56,37 @@ def op3_sql() -> str:
         names.append(f"l{r}")
     flat = r"regexp_replace(lower({}), '[^a-z0-9.]+', ' ', 'g')"
     key = r"regexp_replace(regexp_replace({}, '[0-9]+([.][0-9]+)*', '#', 'g'), '^[. ]+|[. ]+$', '', 'g')"
-    tag = r"regexp_extract({}, '(?i)spdx-license-identifier:[ \t]*([a-z0-9.+-]*[a-z0-9+])', 1)"
+    unit = r"[A-Za-z0-9]([A-Za-z0-9.:+-]*[A-Za-z0-9+])?([ \t]+WITH[ \t]+[A-Za-z0-9]([A-Za-z0-9.:+-]*[A-Za-z0-9+])?)?"
+    tag = rf"(?i:spdx-license-identifier:)[( \t]*{unit}([) \t]*(AND|OR)[( \t]+{unit})*[) \t]*"
+    most = max(len(k.split()) for k in license_scan.KNOWN)
     return rf"""
 WITH known(key, name) AS (VALUES {known}),
-marked AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '([.!?])[ \t\r]+', '\1' || chr(1), 'g') AS t FROM documents),
+tagged AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '({tag})', chr(1) || '\1' || chr(1), 'g') AS t FROM documents),
+marked AS (SELECT doc_id, regexp_replace(t, '([.!?])[ \t\r]+', '\1' || chr(1), 'g') AS t FROM tagged),
 cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([.!?])\n|(:)[ \t\r]*\n', '\1\2' || chr(1), 'g'), '\n[ \t\r#/*;%-]*\n', chr(1), 'g'), chr(1)) AS p FROM marked),
-sentences AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM cut),
-likely AS (SELECT * FROM sentences WHERE regexp_matches(lower(s), '{license_scan.TRIGGERS}')),
-parts AS (
-  SELECT doc_id, i, 0 AS j, s FROM likely
-  UNION ALL SELECT doc_id, i, unnest(range(1, len(string_split(s, chr(10))) + 1)) AS j, unnest(string_split(s, chr(10))) FROM likely),
-found AS (SELECT doc_id, i, j, CASE WHEN {tag.format("s")} <> '' THEN 'spdx' ELSE name END AS name,
-    CASE WHEN {tag.format("s")} <> '' THEN {tag.format("s")} ELSE regexp_extract({flat.format("s")}, '[0-9]+([.][0-9]+)*') END AS v
-  FROM parts LEFT JOIN known ON key = {key.format(flat.format("s"))}),
-ids AS (SELECT f.* FROM found f WHERE name IS NOT NULL AND (j = 0 OR NOT EXISTS (SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.i = f.i AND g.j = 0 AND g.name IS NOT NULL))),
+every AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM cut),
+tags AS (SELECT doc_id, i, regexp_replace(s, '^(?i:spdx-license-identifier:)[ \t]*', '') AS e FROM every WHERE regexp_full_match(s, '{tag}')),
+units AS (SELECT doc_id, i, unnest(u) AS v, generate_subscripts(u, 1) AS j
+  FROM (SELECT doc_id, i, string_split_regex(trim(regexp_replace(e, '[() \t]+', ' ', 'g')), ' (AND|OR) ') AS u FROM tags)),
+expressions AS (SELECT doc_id, string_agg(trim(replace(replace(regexp_replace(e, '[ \t]+', ' ', 'g'), '( ', '('), ' )', ')')), ';' ORDER BY i) AS expressions FROM tags GROUP BY doc_id),
+sentences AS (SELECT e.doc_id, e.i, e.s, name FROM every e ANTI JOIN tags t ON t.doc_id = e.doc_id AND t.i = e.i LEFT JOIN known ON key = {key.format(flat.format("s"))}),
+lines AS (SELECT doc_id, i, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(lower(x), '[a-z0-9.]')) AS x FROM sentences WHERE name IS NULL),
+starts AS (SELECT *, unnest(range(1, len(x) + 1)) AS a FROM lines WHERE len(x) > 0),
+blocks AS (SELECT doc_id, i, a, unnest(range(a, least(len(x), a + {most}) + 1)) AS z, x FROM starts
+  WHERE len(list_filter({[k.split()[0] for k in license_scan.KNOWN]}, lambda k: contains(lower(x[a]), k))) > 0),
+inside AS (SELECT doc_id, i, a, z, name, array_to_string(x[a:z], ' ') AS s FROM blocks JOIN known ON key = {key.format(flat.format("array_to_string(x[a:z], ' ')"))}),
+longest AS (SELECT doc_id, i, a, max(z) AS z, arg_max(name, z) AS name, arg_max(s, z) AS s FROM inside GROUP BY 1, 2, 3),
+outer_ AS (SELECT * FROM longest l WHERE NOT EXISTS (SELECT 1 FROM longest m WHERE m.doc_id = l.doc_id AND m.i = l.i AND m.a < l.a AND m.z >= l.a)),
+ids AS (
+  SELECT doc_id, i, 0 AS j, name, regexp_extract({flat.format("s")}, '[0-9]+([.][0-9]+)*') AS v FROM sentences WHERE name IS NOT NULL
+  UNION ALL SELECT doc_id, i, a, name, regexp_extract({flat.format("s")}, '[0-9]+([.][0-9]+)*') FROM outer_
+  UNION ALL SELECT doc_id, i, j, 'spdx', v FROM units),
 r_1 AS (SELECT doc_id, list(name ORDER BY i, j) AS s, list(v ORDER BY i, j) AS v, count(*) AS n, string_agg(name || '@' || v, ',' ORDER BY i, j) AS sentence_ids FROM ids GROUP BY doc_id),
 {", ".join(s.replace("FROM r-1", "FROM r_1") for s in steps)}
 SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
   coalesce(array_to_string({" || ".join(names)}, ','), '') AS licenses,
-  coalesce(len(list_filter(s, lambda x: x <> '|')), 0) AS n_unmatched
-FROM documents d LEFT JOIN r{len(license_scan.RULES) - 1} r ON d.doc_id = r.doc_id"""
+  coalesce(len(list_filter(s, lambda x: x <> '|')), 0) AS n_unmatched, coalesce(expressions, '') AS expressions
+FROM documents d LEFT JOIN r{len(license_scan.RULES) - 1} r ON d.doc_id = r.doc_id LEFT JOIN expressions x ON d.doc_id = x.doc_id"""
 
 
 def op5_sql(k: int, percent: int) -> str:

@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import dropped, may_occur, swept, written
+from ._io import dropped, may_occur, swept, unclaimed, written
 from ._words import NOT_SPACE, Words, gather, list_array, mixed, numbered, shingles, sliced
 
 WINDOW = 13
@@ -298,10 +298,10 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = written(signed.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "firsts")
     later = signed.select("doc", "tid", "uid").distinct().join(firsts, "tid").where("doc > first").select("doc", "tid", "uid")
     later = written(later, "later")
-    told = may_occur(signed.select("uid", "anchors"), "uid", later.select("uid"), "_may")
-    unique = told.where("NOT _may").unionByName(told.where("_may").join(later, "uid", "left_anti")).select("uid", F.explode("anchors").alias("anchor"))
-    shared = written(unique.groupBy("anchor").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("anchor", (F.col("m") > HOT).alias("is_hot")), "shared")
-    own = unique.join(shared, "anchor")
+    told = may_occur(signed.select("doc", "tid", "uid", "anchors"), "uid", later.select("uid"), "_may")
+    unique = told.where("NOT _may").unionByName(told.where("_may").join(later, ["doc", "tid"], "left_anti")).select("doc", "uid", F.explode("anchors").alias("anchor"))
+    shared = written(unique.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("anchor", (F.col("m") > HOT).alias("is_hot")), "shared")
+    own = unique.select("uid", "anchor").join(shared, "anchor")
     by_doc = written(own.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")), "own")
     dropped(signed, firsts, shared)
     swept(spark)
@@ -335,25 +335,27 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     A word goes if a window of ``window`` words covers it that also starts in a document with a smaller key; windows
     are judged on the input.  Words are ``[^\\x20\\x09-\\x0D]+``.  Null and empty texts have no words; texts shorter
     than a window stay; rows with one key don't remove each other's words; rows without a key stay whole; very long
-    texts are judged whole; an empty table gives an empty one.  Input columns called like the new ones are replaced.
+    texts are judged whole; an empty table gives an empty one.  Input columns called like the new ones are replaced; all
+    others stay, whatever their names.
     """
     found = repeated_ranges(docs, key, text, window)
     new = ["n_words", "n_removed", kept]
     tid = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     keep = [c for c in docs.columns if c not in new]
-    given = docs.select(*keep).withColumns({"_doc": F.col(key).cast("long"), "_tid": tid})
-    told = found.withColumnsRenamed({"doc": "_doc", "tid": "_tid", "ranges": "_ranges", "whole": "_whole"})
+    doc, mine, may, at, all_of = unclaimed([*docs.columns, *new], "doc", "tid", "may", "ranges", "whole")
+    given = docs.select(*keep).withColumns({doc: F.col(key).cast("long"), mine: tid})
+    told = found.withColumnsRenamed({"doc": doc, "tid": mine, "ranges": at, "whole": all_of})
     # Texts that surely keep all their words aren't shuffled.
-    given = may_occur(given, "_doc", told.select("_doc"), "_may")
-    met = given.where("_may").join(told, ["_doc", "_tid"], "left").select(*keep, "_ranges", "_whole")
-    joined = met.unionByName(given.where("NOT _may").select(*keep, F.lit(None).cast("array<int>").alias("_ranges"), F.lit(None).cast("boolean").alias("_whole")))
+    given = may_occur(given, doc, told.select(doc), may)
+    met = given.where(F.col(may)).join(told, [doc, mine], "left").select(*keep, at, all_of)
+    joined = met.unionByName(given.where(~F.col(may)).select(*keep, F.lit(None).cast("array<int>").alias(at), F.lit(None).cast("boolean").alias(all_of)))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", n_words long, n_removed long, `{kept}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
             words = Words(batch.column(text), NOT_SPACE, lower=False, hashed=False)
             edges = np.zeros(len(words.start) + 1, np.int64)
-            every, whole = batch.column("_ranges").to_pylist(), batch.column("_whole").to_pylist()
+            every, whole = batch.column(at).to_pylist(), batch.column(all_of).to_pylist()
             for i, (flat, all_) in enumerate(zip(every, whole, strict=True)):
                 a = int(words.first[i])
                 if all_ and words.count[i] >= window:

@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, substring, token_io, toxicity
+from helixframe.llm import chat, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, sql, substring, token_io, toxicity
 from helixframe.llm.queries import PIECE_MODEL, WORD_TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,6 +154,53 @@ def test_license_rules(spark):
     assert license_scan.scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
+APACHE = "Licensed under the Apache License, Version 2.0"
+TAG = "SPDX-License-Identifier:"
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "expressions"),
+    [
+        (f"// {TAG} MIT\n// {TAG} Apache-2.0\n", ["MIT", "Apache-2.0"], ["MIT", "Apache-2.0"]),
+        (f"# {TAG} BSD-3-Clause\n{APACHE}.\n", ["Apache-2.0", "BSD-3-Clause"], ["BSD-3-Clause"]),
+        (f"{TAG} MIT OR Apache-2.0", ["MIT", "Apache-2.0"], ["MIT OR Apache-2.0"]),
+        (f"/* {TAG} ( MIT OR  Apache-2.0 ) */", ["MIT", "Apache-2.0"], ["(MIT OR Apache-2.0)"]),
+        (f"{TAG} GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"], ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+        (f"Copyright 2020 Foo\n{APACHE} (the \"License\");\nyou may not use this file except in compliance with the License.", ["Apache-2.0"], []),
+        ("This software is licensed under the MIT license", ["MIT"], []),
+        (f"{TAG} MIT AND (ISC OR (Zlib AND 0BSD)) and prose OR", ["MIT", "ISC", "Zlib", "0BSD"], ["MIT AND (ISC OR (Zlib AND 0BSD))"]),
+        (f"a {TAG} MIT b {TAG} ISC. All rights reserved.", ["MIT", "ISC", "All-rights-reserved"], ["MIT", "ISC"]),
+        (f"{TAG} {' OR '.join(['LicenseRef-a'] * 20_000)}", ["LicenseRef-a"] * 20_000, [" OR ".join(["LicenseRef-a"] * 20_000)]),
+        (f"x\n{APACHE}\ny\nReleased under the MIT License\n" + "z\n" * 50_000, ["Apache-2.0", "MIT"], []),
+        (f"{TAG} \n{TAG}( ) MIT", [], []),
+    ],
+)
+def test_license_expressions_and_headers(spark, tmp_path, text, names, expressions):
+    out = license_scan.scan_licenses(docs(spark, [(1, text)])).first()
+    assert (out["licenses"], out["expressions"]) == (names, expressions)
+    if len(text) < 10_000:
+        pq.write_table(pa.table({"doc_id": [1, 2], "text": [text, None]}), tmp_path / "documents.parquet")
+        told = duckdb.sql(sql.op3_sql().replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).df().set_index("doc_id")
+        assert (told.licenses[1], told.expressions[1], told.n_sentences[2]) == (",".join(names), ";".join(expressions), 0)
+
+
+INNER = ["at", "bits", "bucket", "doc", "from", "l", "m", "may", "n", "part", "place", "ranges", "seq", "tid", "v0", "v1", "w", "whole", "word"]
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [license_scan.scan_licenses, quality.judged, sharding.assign_shards, substring.without_repeats],
+)
+def test_columns_named_like_inner_ones_come_through(spark, operator):
+    rows = prose(11, 12)
+    df = docs(spark, rows)
+    plain = operator(df)
+    clash = df.withColumns({f"_{c}": F.concat(F.lit(c), F.coalesce("text", F.lit(""))) for c in INNER} | {f"__{c}": F.lit(1) for c in INNER})
+    out = operator(clash)
+    assert all((r[f"_{c}"], r[f"__{c}"]) == (c + (r["text"] or ""), 1) for r in out.collect() for c in INNER)
+    assert Counter(map(str, out.select(*plain.columns).collect())) == Counter(map(str, plain.collect()))
+
+
 def measures(t):
     t = t or ""
     w = WORD.findall(t)
