@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,11 @@ REPEATS = (2, 3)
 MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 20_000, 64_000_000
 
 
+#: Ridges on the factors, and shares that they are shrunk to, which validation chooses from.
+RIDGES = (0.001, 0.01, 0.1)
+SHARES = (1.0, 0.7, 0.5, 0.35, 0.25, 0.1, 0.03, 0.01)
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -84,8 +90,9 @@ class FactorizationMachine:
         """Learns from all terms that ``min_texts`` texts have, however harmless each of them is alone.
 
         First the linear weights, for each L1 penalty; the one that does best on every fifth text, kept aside, goes on.
-        Then linear weights and factors together, as long as these texts gain by it: interactions that only fit noise
-        are given up, pairs that matter stay.  At last the logits are scaled to what these texts show.
+        Then linear weights and factors together from there, for each ridge on the factors, as long as these texts gain
+        by it, and the factors are shrunk by the share that suits these texts best: interactions that mostly fit noise
+        count little, pairs that matter stay whole.  At last the logits are scaled to what these texts show.
         """
         base = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
         met = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
@@ -98,7 +105,7 @@ class FactorizationMachine:
         aside = np.arange(len(rows)) % 5 == 0
         data = _Rows(rows, labels, np.flatnonzero(~aside), np.flatnonzero(aside))
         found = min((_Fit(len(known), size, base, p, seed).run(data, False, 8, 3) for p in penalties), key=lambda f: f.best)
-        found.run(data, True, 25, 4)
+        found = min((copy.deepcopy(found).run(data, True, 25, 4, ridge).shrunk(data, found) for ridge in RIDGES), key=lambda f: f.best)
         scale, shift = _calibrated(found.logits(*data.aside, True), labels[aside])
         # Float32 halves what goes to the tasks; a factor takes the root of the scale, since it enters twice.
         return cls(scale * found.bias + shift, (scale * found.linear).astype(np.float32), (np.sqrt(scale) * found.factors).astype(np.float32), place)
@@ -127,10 +134,9 @@ class _Fit:
     def logits(self, rows: np.ndarray, text: np.ndarray, n: int, pairs: bool) -> np.ndarray:
         return FactorizationMachine(self.bias, self.linear, self.factors if pairs else self.factors[:, :0], rows).logits(rows, text, n)
 
-    def run(self, data: _Rows, pairs: bool, rounds: int, patience: int, batch: int = 32) -> _Fit:
+    def run(self, data: _Rows, pairs: bool, rounds: int, patience: int, factor_ridge: float = 0.0, batch: int = 32) -> _Fit:
         """Rounds over the rows until those kept aside gain no more; the best state stays."""
-        start = np.zeros_like(self.factors) if pairs else self.factors
-        kept, since = (self.bias, self.linear.copy(), start), 0
+        self.factor_ridge, self.best, since = factor_ridge, np.inf, 0
         for _ in range(rounds):
             order = self.rng.permutation(data.used)
             for a in range(0, len(order), batch):
@@ -144,6 +150,17 @@ class _Fit:
         self.bias, self.linear, self.factors = kept
         return self
 
+    def shrunk(self, data: _Rows, before: _Fit) -> _Fit:
+        """The factors shrunk to the share of each pair's weight that the rows kept aside like best, beside the linear
+        weights learned with them or those learned ``before``."""
+        pairs = self.logits(*data.aside, True) - self.logits(*data.aside, False)
+        tried = [(_loss(f.logits(*data.aside, False) + x * pairs, data.aside_labels), -x, i) for i, f in enumerate((self, before)) for x in SHARES]
+        self.best, share, i = min(tried)
+        if i:
+            self.bias, self.linear = before.bias, before.linear
+        self.factors *= np.sqrt(-share)
+        return self
+
     def _step(self, rows: np.ndarray, text: np.ndarray, n: int, labels: np.ndarray, pairs: bool) -> None:
         miss = 1 / (1 + np.exp(-np.clip(self.logits(rows, text, n, pairs), -30, 30))) - labels
         each = miss[text]
@@ -156,7 +173,7 @@ class _Fit:
         self.linear[own] = np.where(np.abs(total) <= self.penalty, 0, (np.sign(total) * self.penalty - total) / ((1 + np.sqrt(after)) / self.rate + self.ridge))
         for f in range(self.factors.shape[1] if pairs else 0):
             v = self.factors[rows, f]
-            grad = np.bincount(at, each * (np.bincount(text, v, n)[text] - v), len(own))
+            grad = np.bincount(at, each * (np.bincount(text, v, n)[text] - v) + self.factor_ridge * v, len(own))
             self.factor_squares[own, f] += grad * grad
             self.factors[own, f] -= self.factor_rate * grad / np.sqrt(self.factor_squares[own, f])
         self.bias_squares += miss.sum() ** 2

@@ -94,6 +94,24 @@ def test_toxicity_learns_pairs_and_holds_out(spark, xor):
     assert toxicity.toxicity_scores(docs(spark, rows[:3]).limit(0), spark.createDataFrame(labels[:9], "doc_id long, toxic int")).count() == 0
 
 
+def test_factors_stay_when_single_terms_tell_and_a_planted_pair_counts():
+    r = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(1500):
+        own = set(r.choice(60, 8, replace=False).tolist())
+        one, other, both = r.random() < 0.1, r.random() < 0.5, r.random() < 0.5
+        rows.append(np.array(sorted(own | {100 + i for i, x in enumerate((one, other, both)) if x}), np.int32))
+        labels.append(float(one or (other and both)))
+    m = toxicity.FactorizationMachine.learn(rows, np.array(labels))
+    at = m.place[[100, 101, 102]]
+    pairs = m.factors @ m.factors.T
+    assert np.abs(m.factors).max() > 0
+    # The planted pair weighs more than any pair of harmless terms.
+    rest = np.abs(pairs[np.ix_(m.place[:60], m.place[:60])] - np.diag(np.diag(pairs[np.ix_(m.place[:60], m.place[:60])])))
+    assert pairs[at[1], at[2]] > rest.max()
+    assert m.logits(at[:1], np.array([0]), 1)[0] > 0.5
+
+
 def test_factorization_machine_sums_all_pairs():
     r = np.random.default_rng(2)
     place = np.full(toxicity.BUCKETS, -1, np.int32)
