@@ -18,6 +18,8 @@ SLOTS = 1 << 21
 #: Prefixes are longer by so many tokens, and linking sets must share so many more inside them: sets that share a common
 #: phrase alone are no candidates.
 SHARE = 6
+#: Bytes of texts whose tokens a task counts at a time.
+COUNTED = 16_000_000
 #: Rounds that test each class against one leader of its blocks before the tries take the rest.
 ROUNDS = 2
 #: Sets that one trie holds; a larger block is dealt out as a grid of such cells.
@@ -151,12 +153,12 @@ class PrefixTree:
 def _common(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """How common the tokens of each slot are: the bit length of the number of times.
 
-    A token counts where three documents or more of an Arrow batch have it.  This only decides the global order (common
+    A token counts where three documents or more of ``COUNTED`` bytes of an Arrow batch have it.  This only decides the global order (common
     tokens last), never the result; a rare token in the slot of a common one comes late too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0, COUNTED):
             sets = [s for part in sliced([batch], 0) for s in shingle_sets(part.column(0), k)]
             tokens, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             many = times >= 3

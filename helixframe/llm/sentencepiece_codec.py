@@ -233,8 +233,9 @@ def _cache(path: str) -> WordCache:
     return WordCache(load(path).encode_words)
 
 
-def slices(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of together about ``limit`` characters at most (or one longer text)."""
+def slices(texts: list[str], limit: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of together about ``limit`` characters at most (or one longer text).  Words, ids and symbol arrays
+    take some fifty bytes a character, and a reused Python worker keeps what it has once taken."""
     part, total = [], 0
     for t in texts:
         if part and total + len(t) > limit:
