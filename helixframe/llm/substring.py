@@ -290,23 +290,25 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
        documents.
     4. Each shard numbers the words of its passages and builds an FM-index; matching statistics by backward search give
        the occurrences of every window, and the smallest owner among them.
+
+    All joins merge, so that there is one plan at every size.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("uid", F.xxhash64("doc", "tid"))
     signed = written(_signed(rows, window), "anchors")
     firsts = written(signed.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "firsts")
-    later = signed.select("doc", "tid", "uid").distinct().join(firsts, "tid").where("doc > first").select("doc", "tid", "uid")
+    later = signed.select("doc", "tid", "uid").distinct().join(firsts.hint("merge"), "tid").where("doc > first").select("doc", "tid", "uid")
     later = written(later, "later")
     told = may_occur(signed.select("doc", "tid", "uid", "anchors"), "uid", later.select("uid"), "_may")
-    unique = told.where("NOT _may").unionByName(told.where("_may").join(later, ["doc", "tid"], "left_anti")).select("doc", "uid", F.explode("anchors").alias("anchor"))
+    unique = told.where("NOT _may").unionByName(told.where("_may").join(later.hint("merge"), ["doc", "tid"], "left_anti")).select("doc", "uid", F.explode("anchors").alias("anchor"))
     shared = written(unique.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("anchor", (F.col("m") > HOT).alias("is_hot")), "shared")
-    own = unique.select("uid", "anchor").join(shared, "anchor")
+    own = unique.select("uid", "anchor").join(shared.hint("merge"), "anchor")
     by_doc = written(own.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")), "own")
     dropped(signed, firsts, shared)
     swept(spark)
     held = may_occur(rows, "uid", by_doc.select("uid"), "_may").where("_may")
-    segments = written(_segments(held.join(by_doc, "uid").select("doc", "tid", "text", "anchors", "hot"), window), "segments")
+    segments = written(_segments(held.join(by_doc.hint("merge"), "uid").select("doc", "tid", "text", "anchors", "hot"), window), "segments")
     dropped(by_doc)
     swept(spark)
     windows = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
@@ -315,7 +317,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     contents = placed.groupBy("shard", "cid", "words").agg(F.min("doc").alias("doc"))
     owners = written(_first_owners(contents, window), "owners")
     swept(spark)
-    flagged = placed.select("shard", "cid", "doc", "tid", "start").join(owners, ["shard", "cid"])
+    flagged = placed.select("shard", "cid", "doc", "tid", "start").join(owners.hint("merge"), ["shard", "cid"])
     starts = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc"), i + F.col("start"))), lambda x: x.isNotNull())
     # The windows of a passage that are repeated stand next to each other but for rare gaps: first and last of each run.
     spans = flagged.withColumn("s", starts).where(F.size("s") > 0).withColumn(
@@ -347,7 +349,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     told = found.withColumnsRenamed({"doc": doc, "tid": mine, "ranges": at, "whole": all_of})
     # Texts that surely keep all their words aren't shuffled.
     given = may_occur(given, doc, told.select(doc), may)
-    met = given.where(F.col(may)).join(told, [doc, mine], "left").select(*keep, at, all_of)
+    met = given.where(F.col(may)).join(told.hint("merge"), [doc, mine], "left").select(*keep, at, all_of)
     joined = met.unionByName(given.where(~F.col(may)).select(*keep, F.lit(None).cast("array<int>").alias(at), F.lit(None).cast("boolean").alias(all_of)))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", n_words long, n_removed long, `{kept}` string"
 
