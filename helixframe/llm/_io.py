@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _OPEN: list[list[str]] = []
+#: Folders of applications that are deleted when the driver ends.
+_FOLDERS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing uses yet; ``collected`` lists it."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing uses yet; ``collected`` lists it.
+
+    What is still there when the driver ends is deleted then: a query's result may read its tables until that time.
+    """
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _FOLDERS.add(folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex[:12]}"
     for paths in _OPEN:
         paths.append(path)
     return path

@@ -24,19 +24,24 @@ def field_paths(value: object, at: str = "") -> set[str]:
 
 
 #: Names of fields that say something about a record or a turn but aren't said in it: they don't belong to a layout.
-IGNORED = frozenset(("id", "uuid", "name", "source", "lang", "language", "model", "created", "timestamp", "date", "index", "score", "weight", "category", "topic", "tags", "split", "license", "meta", "metadata"))
+IGNORED = frozenset(("id", "uuid", "name", "source", "lang", "language", "model", "created", "timestamp", "date", "index", "score", "weight", "category", "topic", "tags", "split", "license", "meta", "metadata", "tool_call_id"))
 
 
-def layout_paths(paths: set[str], texts: frozenset[str], ignored: frozenset[str] = IGNORED) -> set[str]:
-    """The paths that tell a layout: without ignored fields and what is below them, and with a text that comes as a list
-    of strings or of {type, text} parts as one text.  ``texts``: paths where mappings expect texts."""
+def layout_paths(paths: set[str], texts: frozenset[str], calls: frozenset[str] = frozenset(), ignored: frozenset[str] = IGNORED) -> set[str]:
+    """The paths that tell a layout: without ignored fields of the record or of a turn and what is below them, and with
+    a text that comes as a list of strings or of parts with a ``type`` as one text, and a call as one value.
+
+    ``texts``: paths where mappings expect texts; ``calls``: paths of calls.  A field inside a part or a call is never
+    ignored, whatever its name.
+    """
     out = set()
     for p in paths:
+        call = next((c for c in calls if p == c or p.startswith((f"{c}[", f"{c}.", f"{c}{{"))), None)
+        parts = next((t for t in texts if p == f"{t}[]" or (p.startswith(f"{t}[].") and (f"{t}[].type" in paths or p == f"{t}[].text"))), None)
         names = [n.replace("[]", "").replace("{}", "") for n in p.split(".")]
-        if p not in texts and any(n in ignored for n in names):
-            continue
-        whole = next((t for t in texts if p in (f"{t}[]", f"{t}[].text", f"{t}[].type")), p)
-        out.add(whole)
+        beside = names[: 2 if p.partition(".")[0].endswith("[]") else 1]
+        if call or parts or p in texts or not any(n in ignored for n in beside):
+            out.add(call or parts or p)
     return out
 
 
@@ -49,40 +54,60 @@ def fingerprint(paths: set[str]) -> str:
 class Mapping:
     """How records with these paths become turns.
 
-    ``each``: the array whose elements are turns, with ``role`` and ``text`` their fields.  Without it, ``parts`` lists
-    (role, paths) pairs: each gives a turn with the texts of the paths, blank ones left out, joined by an empty line;
-    a pair without any such text gives none, but for the role ``assistant``.  ``role`` and ``text`` without ``each``: the
-    record is one turn.  ``optional`` paths may be absent.
+    ``each``: the arrays whose elements are turns, one array after the other, with ``role`` and ``text`` their fields,
+    and ``calls`` fields that may be there too: they are added to the text as JSON.  A text at ``lead`` is a system turn
+    before them, one at ``tail`` an assistant turn after them.  Without ``each``, ``parts`` lists (role, paths) pairs:
+    each gives a turn with the texts of the paths, blank ones left out, joined by an empty line; a pair without any such
+    text gives none, but for the role ``assistant``.  ``role`` and ``text`` without ``each``: the record is one turn.
+    ``optional`` paths may be absent.
     """
 
     name: str
-    each: str | None = None
+    each: tuple[str, ...] = ()
     role: str | None = None
     text: str | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    lead: str | None = None
+    tail: str | None = None
+    calls: tuple[str, ...] = ()
     optional: tuple[str, ...] = ()
     roles: dict[str, str] = field(default_factory=lambda: {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}, hash=False)
 
+    def call_paths(self) -> set[str]:
+        return {f"{e}[].{c}" for e in self.each for c in self.calls}
+
     def paths(self) -> set[str]:
+        """Of texts and roles."""
         if self.each:
-            return {f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"}
+            return {f"{e}[].{f}" for e in self.each for f in (self.role, self.text)} | {p for p in (self.lead, self.tail) if p}
         return {self.role, self.text} if self.role else {p for _, ps in self.parts for p in ps}
 
     def fingerprints(self) -> Iterator[str]:
-        """Of the full layout, and of those without some of the optional paths."""
-        full, out = self.paths(), [set()]
-        for p in self.optional:
+        """Of the full layout, of those without some of the optional paths, and of those whose only array is empty."""
+        out = [set()]
+        for p in [*self.optional, *([self.lead] if self.lead else []), *sorted(self.call_paths())]:
             out += [o | {p} for o in out]
-        return (fingerprint(full - o) for o in out)
+        full = self.paths() | self.call_paths()
+        yield from (fingerprint(full - o) for o in out)
+        if len(self.each) == 1:
+            ends = {p for p in (self.lead, self.tail) if p} | {f"{self.each[0]}[]"}
+            yield from (fingerprint(ends - o) for o in ([set(), {self.lead}] if self.lead else [set()]))
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.each:
-            return [(self._role(_at(t, self.role)), _text(_at(t, self.text))) for t in _at(record, self.each) or []]
+            lead = _text(_at(record, self.lead)) if self.lead else ""
+            out = [("system", lead)] if lead.strip() else []
+            out += [(self._role(_at(t, self.role)), self._said(t)) for e in self.each for t in _at(record, e) or []]
+            return out + ([("assistant", _text(_at(record, self.tail)))] if self.tail else [])
         if self.role:
             return [(self._role(_at(record, self.role)), _text(_at(record, self.text)))]
         said = [(role, [x for p in ps if (x := _text(_at(record, p))).strip()]) for role, ps in self.parts]
         return [(role, "\n\n".join(texts)) for role, texts in said if texts or role == "assistant"]
 
+    def _said(self, turn: dict) -> str:
+        text, calls = _text(_at(turn, self.text)), [c for name in self.calls if (c := _at(turn, name))]
+        return "\n\n".join([*([text] if text or not calls else []), *(_json(c) for c in calls)])
+
     def _role(self, role: object) -> str:
         return self.roles.get(role := _text(role), role)
 
@@ -93,17 +118,25 @@ def _at(record: object, path: str) -> object:
     return record
 
 
+def _json(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _text(value: object) -> str:
-    """A list of strings and {type, text} parts is their texts, one after the other."""
-    if isinstance(value, list) and all(isinstance(x, str) or (isinstance(x, dict) and isinstance(x.get("text"), str)) for x in value):
-        return "".join(x if isinstance(x, str) else x["text"] for x in value)
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A list of strings and parts is their texts, one after the other; a part that says more than its text is JSON."""
+    if isinstance(value, list) and all(isinstance(x, str) or (isinstance(x, dict) and ("type" in x or "text" in x)) for x in value):
+        return "".join(x if isinstance(x, str) else x["text"] if isinstance(x.get("text"), str) and x.keys() <= {"type", "text"} else _json(x) for x in value)
+    return "" if value is None else value if isinstance(value, str) else _json(value)
 
 
+CALLS = ("tool_calls", "function_call")
 MAPPINGS = (
     Mapping("turn row", role="role", text="text", roles={}),
-    Mapping("messages", each="messages", role="role", text="content"),
-    Mapping("sharegpt", each="conversations", role="from", text="value"),
+    Mapping("messages", each=("messages",), role="role", text="content", lead="system", calls=CALLS),
+    Mapping("sharegpt", each=("conversations",), role="from", text="value", lead="system"),
+    Mapping("prompt messages", each=("prompt", "completion"), role="role", text="content"),
+    Mapping("prompt messages, response", each=("prompt",), role="role", text="content", tail="response"),
+    Mapping("prompt messages, completion", each=("prompt",), role="role", text="content", tail="completion"),
     Mapping("instruction", parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
     Mapping("prompt", parts=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("completion", parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -118,12 +151,14 @@ def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[M
 
     ``record`` holds JSON objects.  Their nested field paths, but for ``ignored`` fields, are hashed; the hash selects a
     mapping.  A record whose fingerprint no mapping has keeps one row with a null layout, role and text (an unparsable
-    or null record also a null fingerprint), so that nothing goes unseen; ``layouts`` counts them.  A null text is empty,
-    a text in parts is joined; repeated rows all stay; an empty table gives none.  Only the two columns are read, so
-    other columns may have any name.
+    or null record also a null fingerprint), and a mapped record without turns one with a null role and text, so that
+    nothing goes unseen; ``layouts`` counts them.  Rows that are turns are those with a role.  A null text is empty, a
+    text in parts is joined, parts that are no text and tool calls are JSON in their places; repeated rows all stay; an
+    empty table gives none.  Only the two columns are read, so other columns may have any name.
     """
     by = {f: m for m in mappings for f in m.fingerprints()}
     texts = frozenset(p for m in mappings for p in m.paths())
+    calls = frozenset(p for m in mappings for p in m.call_paths())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -133,9 +168,9 @@ def canonical_turns(records: DataFrame, key: str, record: str, mappings: tuple[M
                     value = json.loads(raw)
                 except (TypeError, ValueError):
                     value = None
-                print_ = None if value is None else fingerprint(layout_paths(field_paths(value), texts, ignored))
+                print_ = None if value is None else fingerprint(layout_paths(field_paths(value), texts, calls, ignored))
                 m = by.get(print_)
-                turns = m.turns(value) if m else [(None, None)]
+                turns = (m.turns(value) if m else []) or [(None, None)]
                 out += [(k, m.name if m else None, print_, i, *t) for i, t in enumerate(turns)]
             yield pd.DataFrame(out, columns=["key", "layout", "fingerprint", "step", "role", "text"])
 

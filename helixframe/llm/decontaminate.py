@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import dropped, viewed, written
+from ._io import dropped, may_occur, unclaimed, written
 from ._words import ALNUM, Words, gather, shingles, sliced
 
 WINDOW = 10
@@ -20,6 +21,8 @@ SLOTS = 1 << 18
 LANE = 512
 #: Bytes of item texts that one pass over the documents searches for; more items take more passes.
 MAX_ITEM_BYTES = 8_000_000
+#: Tasks over which the rows of one text are dealt when they meet its occurrences.
+PARTS = 16
 
 
 def _same_bytes(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
@@ -123,17 +126,24 @@ def _searchers(texts: pa.Array, window: int) -> list[WuManber]:
     return out
 
 
-def _item_blocks(items: DataFrame, limit: int) -> Iterator[pa.Table]:
-    """Distinct items in blocks of at most ``limit`` bytes (or one longer item); one block at a time on the driver."""
+def _item_blocks(items: DataFrame, limit: int) -> list[DataFrame]:
+    """Distinct items in blocks of at most ``limit`` bytes (or one longer item)."""
     at, k = F.xxhash64("item", "text"), 1
     while True:
-        sizes = items.groupBy(F.pmod(at, F.lit(k)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.lit(1)).alias("n"), F.count_distinct(at).alias("d")).collect()
+        sizes = items.groupBy(F.pmod(at, F.lit(k)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.count_distinct(at).alias("d")).collect()
         # Rows of one hash can't be parted further.
         if all(r["s"] <= limit or r["d"] == 1 for r in sizes):
             break
         k *= 2
-    for r in sorted(sizes, key=lambda r: r["b"]):
-        yield items.where(F.pmod(at, F.lit(k)) == r["b"]).toArrow()
+    return [items.where(F.pmod(at, F.lit(k)) == b) for b in sorted(r["b"] for r in sizes)]
+
+
+def _result(docs: DataFrame, keep: list[str], item: T.DataType) -> tuple[DataFrame, T.StructType]:
+    """The columns ``keep`` with results that are empty yet, and the schema of that."""
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", spans), T.StructField("items", T.ArrayType(item))])
+    none = F.lit(0).cast("long")
+    return docs.select(*keep, none.alias("n_words"), none.alias("n_hit"), F.array().cast(spans).alias("hits"), F.array().cast(schema["items"].dataType).alias("items")), schema
 
 
 def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -143,28 +153,46 @@ def search_items(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     An occurrence is one of ``window`` consecutive words of an item, or all words of a shorter one.  Null or empty
     texts have no words, hence no occurrence; items without words never occur; repeated rows and items all count, and
     an identifier with several texts has all of them; very long texts are searched whole; without documents or items
-    there are no occurrences.  Nothing is shuffled: a block of items, whose bytes are checked against ``limit``, is
-    indexed as numpy arrays and sent to all tasks.  More items take more passes over the documents: the result of a
-    pass is written before the next block is fetched, so driver and tasks hold one block at a time.  Input columns
-    called like the new ones are replaced.
+    there are no occurrences.  Input columns called like the new ones are replaced.
+
+    A block of items, whose bytes are checked against ``limit``, is indexed as numpy arrays and sent to all tasks;
+    driver and tasks hold one block at a time.  With one block nothing is shuffled.  More blocks take a pass over the
+    texts each, which writes the occurrences of the texts that have some, never texts; these lists then meet the rows by
+    the MD5 of the text.
     """
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "hits", "items"]
     keep = [c for c in docs.columns if c not in new]
     listed = items.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     kind = listed.schema["item"].dataType
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(kind))])
-    out = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(schema["hits"].dataType).alias("hits"), F.array().cast(schema["items"].dataType).alias("items"))
-    sent = None
-    for block in _item_blocks(listed, limit):
-        if sent:
-            done, last = written(out, "pass"), out
-            dropped(last)
-            sent.destroy()
-            out = done
-        sent = spark.sparkContext.broadcast((block.column("item").to_pylist(), _searchers(block.column("text").combine_chunks(), window)))
-        out = viewed(_pass(out, text, keep, schema, sent), out)
-    return out if sent else _pass(out, text, keep, schema, spark.sparkContext.broadcast(([], [])))
+    out, schema = _result(docs, keep, kind)
+    blocks = _item_blocks(listed, limit)
+
+    def sent(block: DataFrame):
+        rows = block.toArrow()
+        return spark.sparkContext.broadcast((rows.column("item").to_pylist(), _searchers(rows.column("text").combine_chunks(), window)))
+
+    nothing = spark.sparkContext.broadcast(([], []))
+    if len(blocks) < 2:
+        return _pass(out, text, keep, schema, sent(blocks[0]) if blocks else nothing)
+    tid, may, part, more_hits, more_items = unclaimed([*keep, *new], "tid", "may", "part", "hits", "items")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    bare, bare_schema = _result(docs, [text], kind)
+    lists = []
+    for block in blocks:
+        index = sent(block)
+        met = _pass(bare, text, [text], bare_schema, index).where("n_hit > 0")
+        lists.append(written(met.groupBy(digest.alias(tid)).agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "hits"))
+        index.destroy()
+    every = reduce(DataFrame.unionByName, lists).groupBy(tid).agg(F.flatten(F.collect_list("hits")).alias(more_hits), F.flatten(F.collect_list("items")).alias(more_items))
+    found = written(every, "found")
+    dropped(*lists)
+    # Texts that surely have no occurrence aren't shuffled; rows of one text are dealt over PARTS tasks.
+    given = may_occur(out.withColumn(tid, digest), tid, found.select(tid), may)
+    dealt = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = given.where(may).withColumn(part, F.spark_partition_id() % PARTS).join(dealt.hint("merge"), [tid, part], "left")
+    met = met.select(*keep, "n_words", "n_hit", F.col(more_hits).alias("hits"), F.col(more_items).alias("items"))
+    return _pass(met.unionByName(given.where(~F.col(may)).select(*met.columns)), text, keep, schema, nothing)
 
 
 def _pass(docs: DataFrame, text: str, keep: list[str], schema: T.StructType, sent) -> DataFrame:

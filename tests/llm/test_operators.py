@@ -69,6 +69,33 @@ def test_chat_layouts_and_round_trip(spark):
     assert read == {1: (3, 0), 2: (1, 0)}
 
 
+U, A = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}
+
+
+@pytest.mark.parametrize(
+    "record,layout,turns",
+    [
+        ({"system": "s", "conversations": [{"from": "human", "value": "q"}]}, "sharegpt", [("system", "s"), ("user", "q")]),
+        ({"system": " ", "messages": [U, A]}, "messages", [("user", "q"), ("assistant", "a")]),
+        ({"messages": [U, {"role": "assistant", "content": None, "tool_calls": [{"id": "c", "function": {"name": "f"}}]}, {"role": "tool", "tool_call_id": "c", "content": "3"}]}, "messages", [("user", "q"), ("assistant", '[{"id": "c", "function": {"name": "f"}}]'), ("tool", "3")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "image_url", "image_url": {"url": "u"}}]}]}, "messages", [("user", 'x{"type": "image_url", "image_url": {"url": "u"}}')]),
+        ({"prompt": [U], "completion": [A]}, "prompt messages", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": [U], "response": "r"}, "prompt messages, response", [("user", "q"), ("assistant", "r")]),
+        ({"messages": []}, "messages", [(None, None)]),
+        ({"messages": [{"role": "user", "content": {"id": 3}}]}, None, [(None, None)]),
+        ({"messages": [{"role": "user", "content": "x", "more": {"id": 3}}]}, None, [(None, None)]),
+    ],
+)
+def test_chat_mixed_layouts(spark, record, layout, turns):
+    rows = chat.canonical_turns(spark.createDataFrame([(1, json.dumps(record))], "id long, record string"), "id", "record").orderBy("step").collect()
+    assert [(r["role"], r["text"]) for r in rows] == turns and {r["layout"] for r in rows} == {layout}
+
+
+def test_every_fingerprint_has_one_mapping():
+    all_ = [(f, m.name) for m in chat.MAPPINGS for f in set(m.fingerprints())]
+    assert len({f for f, _ in all_}) == len(all_)
+
+
 def test_fingerprint_ignores_order():
     assert chat.fingerprint(chat.field_paths({"a": 1, "b": [{"c": 2}, {"d": 3}]})) == chat.fingerprint(chat.field_paths({"b": [{"d": 0, "c": 0}], "a": ""}))
 
@@ -351,7 +378,7 @@ def brute_hits(rows, items):
     return want
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     r = random.Random(4)
     voc = [f"v{i}" for i in range(30)]
     items = [(i, " ".join(r.choices(voc, k=r.randint(1, 25)))) for i in range(12)] + [(50, None), (51, ""), (52, "Solo"), (53, "solo"), (3, "another text of item three"), (None, "no name at all"), (None, "no name again")]
@@ -362,11 +389,14 @@ def test_decontamination(spark):
             w += (r.choice(items)[1] or "").upper().split()
         rows.append((i, "; ".join(w)))
     want, bench = brute_hits(rows, items), spark.createDataFrame(items, "item_id long, text string")
+    kept, write = [], decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, tag: kept.append(df.columns) or write(df, tag))
     for limit in (decontaminate.MAX_ITEM_BYTES, 200, 20):
         out = decontaminate.search_items(docs(spark, rows).withColumn("n_hit", F.lit("clash")), bench, limit=limit).collect()
         assert len(out) == len(rows)
         assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in out} == want
         assert all(sum(s["end"] - s["start"] for s in x["hits"]) == x["n_hit"] for x in out)
+    assert kept and all("text" not in columns for columns in kept)  # only occurrences are written
     assert decontaminate.search_items(docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.search_items(docs(spark, rows).limit(0), bench).count() == 0
 
