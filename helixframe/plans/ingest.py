@@ -97,11 +97,16 @@ def s13(v):
     return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
+def _page():
+    """Documents come in pages, as from the services: one page has the rows of 10,000 part keys at most."""
+    return F.floor(F.col("p_partkey") / 10_000).alias("page")
+
+
 @query("s15_flatten_targets", "SELECT p_brand AS gene, count(*) AS n, round(max(p_size / 50.0::DOUBLE), 4) AS overall, count(DISTINCT p_type) AS n_diseases FROM part GROUP BY 1")
 def s15(v):
     rows = F.collect_list(F.struct((F.col("p_size") / 50.0).alias("score"), F.struct(F.col("p_type").alias("name")).alias("disease")))
     tract = F.array(F.struct(F.lit("small molecule").alias("label"), F.lit(True).alias("value")))
-    docs = v.part.groupBy(F.col("p_brand").alias("approvedSymbol")).agg(F.struct(rows.alias("rows")).alias("associatedDiseases")).withColumn("tractability", tract)
+    docs = v.part.groupBy(F.col("p_brand").alias("approvedSymbol"), _page()).agg(F.struct(rows.alias("rows")).alias("associatedDiseases")).drop("page").withColumn("tractability", tract)
     flat = R.flatten_targets(docs.select(F.to_json(F.struct("*")).alias("json")))
     return flat.groupBy("gene").agg(F.count("disease").alias("n"), F.round(F.max("overall"), 4).alias("overall"), F.count_distinct("disease").alias("n_diseases"))
 
@@ -109,8 +114,8 @@ def s15(v):
 @query("s16_flatten_civic", "SELECT p_brand AS gene, p_type AS variant, count(*) AS n, min(p_name) AS first FROM part GROUP BY 1, 2")
 def s16(v):
     item = F.struct(F.lit("B").alias("evidenceLevel"), F.lit("Sensitivity").alias("significance"), F.array(F.struct(F.col("p_name").alias("name"))).alias("therapies"))
-    variants = v.part.groupBy("p_brand", "p_type").agg(F.collect_list(item).alias("items")).select("p_brand", F.struct(F.col("p_type").alias("name"), F.struct(F.col("items").alias("nodes")).alias("evidenceItems")).alias("v"))
-    genes = variants.groupBy("p_brand").agg(F.collect_list("v").alias("vs"))
+    variants = v.part.groupBy("p_brand", "p_type", _page()).agg(F.collect_list(item).alias("items")).select("p_brand", "page", F.struct(F.col("p_type").alias("name"), F.struct(F.col("items").alias("nodes")).alias("evidenceItems")).alias("v"))
+    genes = variants.groupBy("p_brand", "page").agg(F.collect_list("v").alias("vs"))
     node = F.struct(F.col("p_brand").alias("name"), F.struct(F.col("vs").alias("nodes")).alias("variants"))
     docs = genes.select(F.to_json(F.struct(F.array(node, node).alias("nodes"))).alias("json"))
     return R.flatten_civic(docs).groupBy("gene", "variant").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("therapies", F.lit(0))).alias("first"))

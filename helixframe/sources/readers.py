@@ -132,7 +132,11 @@ def flatten_targets(raw: DataFrame, column: str = "json") -> DataFrame:
     """Per disease row: target, disease, score, tractability labels, and the target's highest score (0 without any)."""
     rows = raw.select(F.from_json(column, EVIDENCE_SCHEMA).alias("t"))
     scores = F.coalesce(F.col("t.associatedDiseases.rows"), F.array().cast("array<struct<score:double,disease:struct<name:string>>>"))
-    rows = rows.select(F.col("t.approvedSymbol").alias("gene"), F.coalesce(F.array_max(F.transform(scores, lambda r: r["score"])), F.lit(0.0)).alias("overall"), F.map_from_entries(F.coalesce("t.tractability", F.array().cast("array<struct<label:string,value:boolean>>"))).alias("tractability"), F.explode_outer(scores).alias("r"))
+    labels = F.map_from_entries(F.coalesce("t.tractability", F.array().cast("array<struct<label:string,value:boolean>>")))
+    rows = rows.select(F.col("t.approvedSymbol").alias("gene"), labels.alias("tractability"), scores.alias("_rows"))
+    # The highest score is a column of its own below the explosion: beside it, each disease's row would carry and search all.
+    rows = rows.withColumn("overall", F.coalesce(F.array_max(F.transform("_rows", lambda r: r["score"])), F.lit(0.0)))
+    rows = rows.select("gene", "overall", "tractability", F.explode_outer("_rows").alias("r"))
     return rows.select("gene", "overall", "tractability", F.col("r.disease.name").alias("disease"), F.col("r.score").alias("score"))
 
 
