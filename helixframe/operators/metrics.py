@@ -133,8 +133,10 @@ def best_response(trajectory: DataFrame, by: list[str]) -> DataFrame:
 
 
 def response_percent(trajectory: DataFrame, by: list[str]) -> DataFrame:
+    """Percent of the first value that is gone at each row, to two places; null where the first value isn't above 0."""
     first = trajectory.groupBy(*by).agg(F.min(F.struct("ts", "value"))["value"].alias("_first"))
-    return trajectory.join(first, by).withColumn("response", F.round((F.col("_first") - F.col("value")) / F.col("_first") * 100, 2)).drop("_first")
+    share = F.when(F.col("_first") > 0, (F.col("_first") - F.col("value")) / F.col("_first"))
+    return trajectory.join(first, by).withColumn("response", F.round(share * 100, 2)).drop("_first")
 
 
 def exposure(series: DataFrame, effect: Column) -> DataFrame:
