@@ -57,7 +57,7 @@ FLOW = " UNION ALL ".join(f"SELECT node, delta FROM d{j}" for j in range(1, DEPT
 @query("g3_distances", f"WITH {GRAPH}, {EVERY} SELECT source, dist, count(*) AS n FROM ({ALL}) GROUP BY 1, 2")
 def g3_distances(v):
     nodes, edges = graph(v)
-    return G.distances(edges, nodes).groupBy("source", "dist").agg(F.count(F.lit(1)).alias("n"))
+    return G.distance_counts(nodes, edges)
 
 
 @query("g4_betweenness", f"WITH {GRAPH}, {EVERY}, {BACK}, t AS (SELECT node, sum(delta) AS t FROM ({FLOW}) GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes) SELECT nodes.node, type, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes CROSS JOIN n LEFT JOIN t ON nodes.node = t.node")
