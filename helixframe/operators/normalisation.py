@@ -11,7 +11,11 @@ from .scans import stepped_means
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
-    """Average rank of ``value`` within ``by``: equal values are counted first, and counts are added up by ranges."""
+    """Average rank of ``value`` within ``by``: equal values are counted first, and counts are added up by ranges.
+
+    Rows are written once, as ranks come back by value: a mean computed anew may differ in its last bit and be lost.
+    """
+    df = written(df, "unranked")
     ranks = counted(df, value, by).select(*by, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
@@ -28,6 +32,7 @@ def standard_scale(assay: DataFrame) -> DataFrame:
 
 def quantile_normalise(assay: DataFrame) -> DataFrame:
     """Each value becomes the mean, over genes, of the values with its (smallest) rank in its gene."""
+    assay = written(assay, "assay")  # means come back by value, so they are computed once
     values = counted(assay, "value", ["gene"])
     told = values.select("gene", "value", F.col("before__n").alias("_i")).join(stepped_means(values, "value"), "_i")
     return assay.join(told, ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
@@ -38,7 +43,7 @@ def quantile_normalise_to(source: DataFrame, reference: DataFrame) -> DataFrame:
     common = source.select("gene").distinct().join(reference.select("gene").distinct(), "gene")
     values = counted(reference.join(common, "gene", "left_semi"), "value", ["gene"])
     size = values.agg((F.max("all__n") - 1).alias("_last"))
-    own = source.join(common, "gene", "left_semi")
+    own = written(source.join(common, "gene", "left_semi"), "own")  # as above
     ranked = written(counted(own, "value", ["gene"]).join(F.broadcast(size)).select("gene", "value", F.least("before__n", "_last").alias("_i")), "ranks")
     means = stepped_means(values, "value", ranked)
     return own.join(ranked.join(means, "_i"), ["gene", "value"]).select("sample_id", "gene", F.col("_q").alias("value"))
