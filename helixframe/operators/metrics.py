@@ -47,8 +47,17 @@ def pathway_attribution(importance: DataFrame, pathways: DataFrame) -> DataFrame
 
 
 def top_attributions(attribution: DataFrame, k: int) -> DataFrame:
-    rows = attribution.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc(F.abs("value")), "feature"))).where(F.col("rank") <= k)
-    return rows.withColumn("direction", F.when(F.col("value") >= 0, "increases").otherwise("decreases"))
+    """The k largest of each sample, with rank and direction.
+
+    Sizes are compared at twelve decimals of the sample's largest, so that equal means whose sums of doubles ran in
+    different orders stand in the order of their features.
+    """
+    size, sample = F.abs("value"), W.partitionBy("sample_id")
+    largest = F.max(F.when(size < float("inf"), size)).over(sample)
+    rows = attribution.withColumn("_size", F.when(largest > 0, F.round(size / largest, 12)).otherwise(size))
+    rows = rows.withColumn("rank", F.row_number().over(sample.orderBy(F.desc("_size"), "feature"))).where(F.col("rank") <= k)
+    up = (F.col("value") >= 0) | (F.col("_size") == 0)
+    return rows.withColumn("direction", F.when(up, "increases").otherwise("decreases")).drop("_size")
 
 
 def ensemble_prediction(members: DataFrame, alpha: float = 0.05) -> DataFrame:
