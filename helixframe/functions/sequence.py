@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cohort import priority
 
@@ -28,11 +32,6 @@ POSITION_WEIGHTS = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` over ``value``, computed once a row even where ``body`` names it inside other lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def gc_content(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, (F.length(seq) - F.length(F.regexp_replace(F.upper(seq), "[GC]", ""))) / F.length(seq)).otherwise(0.0)
 
@@ -113,18 +112,75 @@ def neoantigen_summary(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), best["score"].alias("best_score"), best["mut"].alias("best_peptide"))
 
 
-def guides(df: DataFrame) -> DataFrame:
-    """20-base spacers before an NGG on both strands, without N: (gene, strand, position, spacer).
+#: Letters of sequences that a task looks at together.
+LETTERS = 1_000_000
+_COMPLEMENT = np.full(128, ord("N"), np.uint32)
+_COMPLEMENT[[*map(ord, "ACGT")]] = [*map(ord, "TGCA")]
 
-    One pass of a pattern gives the spacers, one over the letters their places, in the same order.
-    """
-    both = df.select("gene", F.upper("seq").alias("s"), F.lit("+").alias("strand")).union(df.select("gene", reverse_complement(F.col("seq")), F.lit("-")))
-    rows = both.select("gene", "strand", F.regexp_extract_all("s", F.lit("(?s)(?=(.{20}).GG)"), F.lit(1)).alias("spacers"), F.split("s", "").alias("b"), F.length("s").alias("n"))
-    inside = F.when(F.col("n") >= 23, F.sequence(F.lit(20), F.col("n") - 3))
-    places = _let(F.col("b"), lambda b: F.filter(inside, lambda i: (b[i + 1] == "G") & (b[i + 2] == "G")))
-    rows = rows.select("gene", "strand", "n", F.explode(F.arrays_zip(places.alias("i"), F.col("spacers").alias("spacer"))).alias("x"))
-    position = F.when(F.col("strand") == "+", F.col("x.i")).otherwise(F.col("n") - F.col("x.i"))
-    return rows.where(~F.col("x.spacer").contains("N")).select("gene", "strand", position.alias("position"), "x.spacer")
+
+def _complement(codes: np.ndarray) -> np.ndarray:
+    return _COMPLEMENT[np.where(codes < 128, codes, 0)]
+
+
+def _scores(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``on_target`` and ``off_target`` of the rows of a matrix, 20 letters each: the same sums in the same order."""
+    gc = ((m == ord("G")) | (m == ord("C"))).sum(1) / 20
+    on = np.full(len(m), 0.5)
+    for place, w in POSITION_WEIGHTS.items():
+        on += np.select([m[:, place] == ord(x) for x in w], [*w.values()], 0.0)
+    on += np.select([(gc >= 0.4) & (gc <= 0.7), (gc < 0.3) | (gc > 0.8)], [0.15, -0.2], 0.0)
+    t = m == ord("T")
+    on -= np.where((t[:, :-3] & t[:, 1:-2] & t[:, 2:-1] & t[:, 3:]).any(1), 0.3, 0.0)
+    on -= 0.2 * (m[:, 8:] == _complement(m[:, :7:-1])).sum(1) / 12
+    wide = m.astype(np.int64)
+    trimers = np.sort(wide[:, :-2] << 42 | wide[:, 1:-1] << 21 | wide[:, 2:], axis=1)
+    few = ((trimers[:, 1:] != trimers[:, :-1]).sum(1) + 1) / 18 < 0.5
+    return np.clip(on, 0, 1), np.clip(0.3 + np.abs(gc - 0.41) * 0.5 + np.where(few, 0.25, 0.0), 0, 1)
+
+
+def _sites(genes: pa.Array, texts: list[str], scored: bool) -> Iterator[pa.RecordBatch]:
+    """Guides of some sequences, a batch per strand: places of GG, and of CC for the other strand."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(x) for x in texts])
+    for strand, letter in (("+", "G"), ("-", "C")):
+        hit = codes == ord(letter)
+        at = np.flatnonzero(hit[:-1] & hit[1:])
+        row = np.searchsorted(ends, at, side="right")
+        start, end = np.concatenate([[0], ends])[row], ends[row]
+        inside = (at + 2 <= end) & (at - start >= 21 if strand == "+" else at + 23 <= end)
+        at, row, start = at[inside], row[inside], start[inside]
+        first = at - 21 if strand == "+" else at + 3
+        m = codes[first[:, None] + np.arange(20)]
+        m = m if strand == "+" else _complement(m[:, ::-1])
+        known = (m != ord("N")).all(1)
+        m, place = m[known], (first + 20 if strand == "+" else first)[known] - start[known]
+        text = np.ascontiguousarray(m, "<u4").tobytes().decode("utf-32-le")
+        columns = {"gene": genes.take(pa.array(row[known])), "strand": pa.array([strand] * len(m), pa.string()), "position": pa.array(place, pa.int32()), "spacer": pa.array([text[i : i + 20] for i in range(0, len(text), 20)], pa.string())}
+        if scored:
+            columns |= {n: pa.array(x) for n, x in zip(("on_target", "off_target"), _scores(m), strict=True)}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _scanned(df: DataFrame, scored: bool) -> DataFrame:
+    rows = df.select("gene", F.upper("seq").alias("s")).where("s IS NOT NULL")
+    kind = T.StructType([rows.schema["gene"]]).add("strand", "string").add("position", "integer").add("spacer", "string")
+    kind = kind.add("on_target", "double").add("off_target", "double") if scored else kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, low, held = batch["s"].to_pylist(), 0, 0
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held >= LETTERS or i + 1 == len(texts):
+                    yield from _sites(batch["gene"][low : i + 1], texts[low : i + 1], scored)
+                    low, held = i + 1, 0
+
+    return rows.mapInArrow(run, kind)
+
+
+def guides(df: DataFrame) -> DataFrame:
+    """20-base spacers before an NGG on both strands, without N: (gene, strand, position, spacer)."""
+    return _scanned(df, False)
 
 
 def on_target(spacer: Column) -> Column:
@@ -155,11 +211,12 @@ def _product(on: Column, off: Column) -> Column:
 
 def guide_library(df: DataFrame, k: int = 4, least: float = 0.25) -> DataFrame:
     """Scored guides, the k best per gene."""
-    rows = guides(df).withColumn("on_target", F.round(on_target(F.col("spacer")), 4)).withColumn("off_target", F.round(off_target(F.col("spacer")), 4))
+    rows = _scanned(df, True).withColumns({c: F.round(c, 4) for c in ("on_target", "off_target")})
     rows = rows.withColumn("score", _product(F.col("on_target"), F.col("off_target"))).where(F.col("score") >= least)
-    rows = rows.withColumn("guide_id", F.concat(F.lit("sg_"), F.col("gene"), F.lit("_"), F.substring(F.md5(F.col("spacer").cast("binary")), 1, 8)))
     best = W.partitionBy("gene").orderBy(F.desc("score"), "strand", "position")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    name = F.concat(F.lit("sg_"), F.col("gene"), F.lit("_"), F.substring(F.md5(F.col("spacer").cast("binary")), 1, 8))
+    return rows.select(*rows.columns[:-1], name.alias("guide_id"), "rank")
 
 
 def library_summary(library: DataFrame) -> DataFrame:
