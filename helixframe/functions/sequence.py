@@ -85,7 +85,9 @@ def mutant_peptides(variants: DataFrame, proteins: DataFrame, lengths: tuple[int
 
     ``variants`` has gene and change; genes without a protein give nothing.
     """
-    rows = variants.join(proteins, "gene").withColumn("_p", parse_protein_change(F.col("change"))).where("_p IS NOT NULL")
+    # Exploded, so that the test for null isn't pushed below, where it would make each change several times over.
+    told = variants.select("gene", "change", F.explode(F.array(parse_protein_change(F.col("change")))).alias("_p")).where("_p IS NOT NULL")
+    rows = told.join(proteins, "gene")
     pos, n = F.col("_p.position"), F.length("seq")
     # Only the part of the protein that a window can reach travels on.
     reach = max(lengths) - 1
