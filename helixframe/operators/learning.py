@@ -178,17 +178,15 @@ def synergy(compared_: DataFrame, neither: str, a: str, b: str, both: str) -> Da
     return row.select((F.col("ab") - F.col("n")).alias("gain_both"), (F.col("a") - F.col("n")).alias("gain_a"), (F.col("b") - F.col("n")).alias("gain_b"), (F.col("ab") - F.col("a") - F.col("b") + F.col("n")).alias("synergy"))
 
 
-def row_feature_use(assay: DataFrame, labels: DataFrame, genes: list[str]) -> DataFrame:
+def row_feature_use(assay: DataFrame, labels: DataFrame, genes: list[str], full: DataFrame | None = None) -> DataFrame:
     """One row: mean mutual information of the row features with the label, and the share of them that a forest over
-    genes and row features uses."""
+    genes and row features (``full``, if they are there) uses."""
     features = cohort.row_features(assay)
     names = [c for c in features.columns if c != "sample_id"]
     told = written(features.join(labels.select("sample_id", "label"), "sample_id"), "features")
-    info = None
-    for c in names:
-        one = metrics.mutual_information(told.where(F.col(c).isNotNull()), "label", c)
-        info = one if info is None else info.unionByName(one)
-    model = forest().fit(with_row_features(assay, labels, genes))
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        info = reduce(DataFrame.unionByName, pool.map(lambda c: metrics.mutual_information(told.where(F.col(c).isNotNull()), "label", c), names))
+    model = forest().fit(written(with_row_features(assay, labels, genes), "full") if full is None else full)
     used = sum(1 for x in model.featureImportances.toArray()[len(genes) :] if x > 0) / len(names)
     return info.agg(F.avg("mi").alias("information")).withColumn("used", F.lit(float(used)))
 

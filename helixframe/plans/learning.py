@@ -16,8 +16,8 @@ from .metrics import embeddings, rounded
 GENES = [f"G{i}" for i in range(40)]
 
 
-def rows(v):
-    return written(L.training_rows(L.wide(v.assay, GENES), v.labels_s), "rows")
+def rows(v, assay=None):
+    return written(L.training_rows(L.wide(assay or v.assay, GENES), v.labels_s), "rows")
 
 
 @query("m1a_label_codes", "SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code, label AS decoded, count(*) AS n FROM labels_s GROUP BY 1")
@@ -45,9 +45,10 @@ def m1b(v):
 
 @query("m9_row_features")
 def m9(v):
-    data, full = rows(v), written(L.with_row_features(v.assay, v.labels_s, GENES), "full")
+    assay = written(v.assay, "assay")
+    data, full = rows(v, assay), written(L.with_row_features(assay, v.labels_s, GENES), "full")
     out = L.compared({"genes and rows": (full, L.forest()), "genes": (data, L.forest())}, "genes and rows", *L.plan_of(data))
-    return rounded(out.join(F.broadcast(L.row_feature_use(v.assay, v.labels_s, GENES))))
+    return rounded(out.join(F.broadcast(L.row_feature_use(assay, v.labels_s, GENES, full))))
 
 
 @query("m3_cross_validation")
