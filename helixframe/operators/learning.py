@@ -7,20 +7,23 @@ features, label and weight.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import written
-from . import cohort, components, metrics, screens
+from . import cohort, components, metrics
 from .boosting import PARALLEL, ClassBoosting
 
 
@@ -232,15 +235,47 @@ def refit_stability(rows: DataFrame, model: object, draws: int = 5, fraction: fl
     return means.join(F.broadcast(parts[0])).join(F.broadcast(parts[1]))
 
 
+def embedded(assay: DataFrame, embeddings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(sample_id, z): ``screens.embedding_sum`` as one vector of norm 1 per sample.
+
+    A row per sample and gene goes through one grouping, instead of a row per sample, gene and dimension through three.
+    Each task has the genes' mean vectors; dimensions that a gene's vector lacks are 0.
+    """
+    listed = embeddings if weights is None else embeddings.join(weights.select("gene"), "gene", "left_semi")
+    dims = listed.select("gene", F.posexplode("embedding").alias("dim", "e")).groupBy("gene", "dim").agg(F.avg(F.col("e").cast("double")).alias("e"))
+    held = dims.groupBy("gene").agg(F.collect_list(F.struct("dim", F.coalesce("e", F.lit(0.0)).alias("e"))).alias("v")).orderBy("gene").collect()
+    matrix = np.zeros((len(held), max((d for r in held for d, _ in r["v"]), default=-1) + 1))
+    for i, r in enumerate(held):
+        for d, e in r["v"]:
+            matrix[i, d] = e
+    places = assay.sparkSession.createDataFrame([(r["gene"], i) for i, r in enumerate(held)], "gene string, at int")
+    rows = assay if weights is None else assay.join(F.broadcast(weights.select("gene", F.col("weight").alias("_w"))), "gene").withColumn("value", F.col("value") * F.col("_w"))
+    told = rows.join(F.broadcast(places), "gene").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v")))).alias("_m"))
+    flat = told.select("sample_id", F.col("_m.at").alias("at"), F.col("_m.v").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 1_000_000 // max(*matrix.shape, 1))
+        for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
+            at, v = batch["at"], batch["v"]
+            x = np.zeros((batch.num_rows, len(matrix)))
+            np.add.at(x, (np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()), v.flatten().to_numpy())
+            z = x @ matrix
+            norm = np.sqrt((z * z).sum(1))
+            z /= np.where(norm < 1e-10, 1.0, norm)[:, None]
+            offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1])
+            yield pa.RecordBatch.from_arrays([batch["sample_id"], pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))], ["sample_id", "z"])
+
+    return flat.mapInArrow(run, T.StructType([flat.schema["sample_id"], T.StructField("z", T.ArrayType(T.DoubleType()))]))
+
+
 def embedded_rows(assay: DataFrame, embeddings: DataFrame, labels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Training rows whose features are the (weighted) embedding sums."""
-    z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("x"))
-    return training_rows(z, labels)
+    return training_rows(embedded(assay, embeddings, weights).withColumnRenamed("z", "x"), labels)
 
 
 def fused_rows(assay: DataFrame, genes: list[str], embeddings: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:
     """Training rows of gene values and weighted embedding sums side by side."""
-    z = screens.embedding_sum(assay, embeddings, weights).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("z"))
+    z = embedded(assay, embeddings, weights)
     return training_rows(wide(assay, genes).join(z, "sample_id").select("sample_id", F.concat("x", "z").alias("x")), labels)
 
 
@@ -256,7 +291,7 @@ def fitted_fusion(assay: DataFrame, labels: DataFrame, embeddings: DataFrame, dr
     genes = sorted(r["gene"] for r in assay.select("gene").distinct().collect())  # the columns of the matrix
     rows = written(training_rows(wide(assay, genes), labels), "rows")
     top = written(importances(forest().fit(rows), genes, assay.sparkSession, k), "importances")
-    fused = embedded_rows(assay, embeddings, labels, top.select("gene", F.col("importance").alias("weight")))
+    fused = written(embedded_rows(assay, embeddings, labels, top.select("gene", F.col("importance").alias("weight"))), "embedded")
     projected = principal_components(fused, parts)[0].withColumnRenamed("components", "_pc")
     both = written(rows.join(projected, "sample_id").select("sample_id", F.concat(vector_to_array("features"), "_pc").alias("x")), "fused")
     scores = fold_metrics(cross_validated(training_rows(both, labels), forest(), *plan_of(rows)))
