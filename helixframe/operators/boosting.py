@@ -37,12 +37,14 @@ class ClassBoosting:
     keeps aside grows again or falls by less than ``tolerance`` of it.
 
     ``fit`` takes rows with features, label, weight and id; its model's ``transform`` adds ``probability`` (an array, the
-    classes' probabilities made to add up to 1) and ``prediction``.
+    classes' probabilities made to add up to 1) and ``prediction``.  Estimators with the same ``key`` fit the same model:
+    the rate weighs the trees after an ensemble's first, so with one round it changes nothing.
     """
 
     def __init__(self, rounds: int = 12, depth: int = 3, rate: float = 0.3, least_rows: int = 1, least_gain: float = 0.0, row_share: float = 1.0, column_share: float = 1.0, bins: int = 32, least_weight: float = 0.0, aside: float = 0.2, tolerance: float = 0.01, seed: int = 1):
         self.params = {"maxIter": rounds, "maxDepth": depth, "stepSize": rate, "minInstancesPerNode": least_rows, "minInfoGain": least_gain, "subsamplingRate": row_share, "featureSubsetStrategy": str(float(column_share)), "maxBins": bins, "minWeightFractionPerNode": least_weight, "validationTol": tolerance, "seed": seed}
         self.aside = aside
+        self.key = (aside, *((k, v) for k, v in self.params.items() if k != "stepSize" or rounds > 1))
 
     def fit(self, rows: DataFrame) -> BoostedClasses:
         told = rows.select("features", "label", "weight", (metrics.hashed("aside", F.col("id")) < self.aside).alias("_aside"))
