@@ -52,11 +52,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Spark's reader decodes up to 4,096 rows of a row group at once; ``group_rows`` bounds them where rows are large.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

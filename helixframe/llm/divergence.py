@@ -23,6 +23,8 @@ LEVELS = (2, 4, 6, 8)
 FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Cells of the work matrices of a task.
 CELLS = 1 << 20
+#: Blocks (of 1 MB of text each) that a task decodes at once, and pairs of document and term that it joins.
+GROUP_ROWS, PAIRS = 16, 1 << 21
 
 _BLOCK = "lang string, sources array<string>, source array<int>, sizes array<int>, terms array<binary>, term array<int>, n array<int>"
 
@@ -89,6 +91,16 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Record
             yield lang, batch.filter(pc.equal(langs.indices, i))
 
 
+def _held(batches: Iterator[pa.RecordBatch], pairs: int = PAIRS) -> Iterator[tuple[str, _Held]]:
+    """The blocks of each language, joined while they have ``pairs`` pairs at most (or one longer block)."""
+    for lang, rows in _by_lang(batches):
+        ends, at = np.cumsum(pc.list_value_length(rows.column("term")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < rows.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs, "right")))
+            yield lang, _Held(rows.slice(at, to - at))
+            at = to
+
+
 def _prefixes(terms: pa.Array, size: int | None) -> pa.DictionaryArray:
     return (terms if size is None else pc.binary_slice(terms, 0, size)).dictionary_encode()
 
@@ -118,8 +130,7 @@ def _documents(blocks: DataFrame, size: int | None, parents: PrefixMap | None) -
     prefixes of the level before may be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, rows in _by_lang(batches):
-            held = _Held(rows)
+        for lang, held in _held(batches):
             if parents:
                 held.keep(parents.may_hold(lang, held.terms))
             told = _prefixes(held.terms, size)
@@ -154,8 +165,7 @@ def kept_terms(blocks: DataFrame, documents: int, levels: tuple[int, ...] = LEVE
 
 def _counts(blocks: DataFrame, kept: PrefixMap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, rows in _by_lang(batches):
-            held = _Held(rows)
+        for lang, held in _held(batches):
             held.keep(kept.may_hold(lang, held.terms))
             told = held.terms.dictionary_encode()
             width = max(len(told.dictionary), 1)
@@ -235,7 +245,7 @@ def source_divergence(docs: DataFrame, documents: int = 10, top: int = 10, level
     an empty table gives an empty one; other columns aren't read.  A task holds the counts of one language's sources for
     one term at least.
     """
-    blocks = written(term_blocks(docs), "blocks")
+    blocks = written(term_blocks(docs), "blocks", GROUP_ROWS)
     kept = kept_terms(blocks, documents, levels)
     few = PrefixMap(kept, None)
     cells = written(_counts(blocks, few).join(kept.select("lang", "prefix"), ["lang", "prefix"], "left_semi"), "cells")

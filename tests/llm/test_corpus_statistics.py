@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,22 @@ def test_prefix_levels_discard(spark, monkeypatch):
     assert levels[2] == {"ab": 6, "zz": 2}
 
 
+def test_tasks_decode_and_join_few_blocks_at_once(spark, monkeypatch):
+    """Spark decodes a row group of large rows whole, and a task joins the blocks of an Arrow batch."""
+    rows = [(f"l{i:02}", "s", f"alpha beta gamma{i}") for i in range(divergence.GROUP_ROWS + 24)]
+    seen, real = [], divergence.kept_terms
+    monkeypatch.setattr(divergence, "kept_terms", lambda blocks, *a: seen.append([pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]) or real(blocks, *a))
+    divergence.source_divergence(spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1))
+    sizes = [m.row_group(i).num_rows for m in seen[0] for i in range(m.num_row_groups)]
+    assert sum(sizes) == len(rows) and max(sizes) <= divergence.GROUP_ROWS
+    blocks = divergence.term_blocks(spark.createDataFrame([("en", "s", f"alpha beta gamma{i}") for i in range(9)], "lang string, source string, text string").repartition(9))
+    batch = blocks.toArrow().combine_chunks().to_batches()[0]
+    whole, parts = list(divergence._held(iter([batch]))), list(divergence._held(iter([batch]), 6))
+    assert len(whole) == 1 and len(parts) > 1 and all(len(h.term) <= max(6, *batch["term"].value_lengths().to_pylist()) for _, h in parts)
+    told = lambda held: sorted(h.terms[int(t)].as_py() for _, h in held for t in h.term)
+    assert told(parts) == told(whole)
+
+
 def test_shares_are_exact():
     counts = np.array([0, 1, 10**12, 4 * 10**15])
     total = 8 * 10**15
