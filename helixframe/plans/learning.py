@@ -119,7 +119,7 @@ def m9b(v):
     data = rows(v)
     arms = {f"depth={d}": (data, L.forest(depth=d)) for d in (2, 4, 6)}
     arms |= {f"trees={t}": (data, L.forest(trees=t)) for t in (10, 40)}
-    arms |= {f"rate={r}": (data, L.boosted(1, 2, r)) for r in (0.1, 0.5)}
+    arms |= {f"rate={r}": (data, L.boosted(rate=r)) for r in (0.1, 0.5)}
     out = L.compared(arms, "depth=4", 3)
     return rounded(out.withColumns({"parameter": F.substring_index("variant", "=", 1), "setting": F.substring_index("variant", "=", -1).cast("double")}).drop("variant"))
 
