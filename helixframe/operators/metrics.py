@@ -151,7 +151,35 @@ def response_percent(trajectory: DataFrame, by: list[str]) -> DataFrame:
     """Percent of the first value that is gone at each row, to two places; null where the first value isn't above 0."""
     first = trajectory.groupBy(*by).agg(F.min(F.struct("ts", "value"))["value"].alias("_first"))
     share = F.when(F.col("_first") > 0, (F.col("_first") - F.col("value")) / F.col("_first"))
-    return trajectory.join(first, by).withColumn("response", F.round(share * 100, 2)).drop("_first")
+    return trajectory.join(first, by).withColumn("response", _rounded(share * 100, 2)).drop("_first")
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    """As SQL rounds doubles: a whole number of the digits' unit, without a way over the decimals that print ``x``."""
+    return F.round(x * 10**digits) / 10**digits
+
+
+def response_total(responses: DataFrame, by: list[str], most: int = 100_000) -> DataFrame:
+    """(by, n, total): rows and sum of their responses, to one place; groups without a response are left out.
+
+    Sums of responses end in x.x5 often, and the last bits of a sum of doubles then round it; they depend on the order
+    of the additions, which is that of time.  Groups of more than ``most`` rows are added up in runs of time, so that no
+    task holds a long trajectory.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    sizes = responses.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_from"), F.max(at).alias("_to"))
+    place = F.floor(F.ceil(F.col("_rows") / most) * (at - F.col("_from")) / (F.col("_to") - F.col("_from")))
+    run = F.when((F.col("_rows") > most) & (F.col("_to") > F.col("_from")), F.coalesce(place, F.lit(-1))).otherwise(0)
+    runs = responses.join(sizes, by).withColumn("_run", run)
+
+    def added(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
+        own = W.partitionBy(*group).orderBy(*order)
+        told = rows.select(*group, "_n", F.row_number().over(own).alias("_at"), F.sum(column).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_sum"))
+        return told.groupBy(*group).agg(F.sum("_n").alias("_n"), F.max_by("_sum", "_at").alias("_sum"))
+
+    each = added(runs.withColumn("_n", F.lit(1)), [*by, "_run"], ["ts", "value"], "response")
+    out = added(each, by, ["_run"], "_sum").where("_sum IS NOT NULL")
+    return out.select(*by, F.col("_n").alias("n"), _rounded(F.col("_sum"), 1).alias("total"))
 
 
 def exposure(series: DataFrame, effect: Column) -> DataFrame:

@@ -152,9 +152,7 @@ def a41(v):
 
 @query("a42_response_percent", "WITH f AS (SELECT user_id, min(struct_pack(a := ts, b := value)).b AS f FROM events GROUP BY 1) SELECT e.user_id AS subject, count(*) AS n, round(sum(round((f - value) / f * 100, 2)), 1) AS total FROM events e JOIN f ON e.user_id = f.user_id WHERE f > 0 GROUP BY 1")
 def a42(v):
-    rows = M.response_percent(trajectory(v), ["subject"]).where("response IS NOT NULL")
-    exact = F.sum(F.col("response").cast("decimal(28,2)"))  # a sum of doubles depends on their order where it is rounded
-    return rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.round(exact, 1).cast("double").alias("total"))
+    return M.response_total(M.response_percent(trajectory(v), ["subject"]), ["subject"])
 
 
 @query("a43_regimen_comparison", f"WITH {BEST} SELECT regimen, round(min(change), 4) AS best_change, round(avg(change), 4) AS mean_change, count(*) FILTER (change <= -30) AS responders, count(*) AS n FROM ch GROUP BY 1 ORDER BY 2")
